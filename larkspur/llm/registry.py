@@ -11,6 +11,7 @@ from larkspur.llm.common import table, tokenizer_path
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.tokencount import count_tokens
+from larkspur.llm.toxicity import fit, score_toxicity
 from larkspur.llm.warc import archive_round_trip
 
 
@@ -30,6 +31,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_round_trip(table(spark, sf_dir, "pages"))
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_chat, op4_token_counts, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op2_packing, op3_chat, op4_token_counts, op6_toxicity, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
