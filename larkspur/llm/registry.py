@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.chat import digest_examples, expand_replies
 from larkspur.llm.common import table, tokenizer_path
+from larkspur.llm.html import extract_main_text
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.tokencount import count_tokens
@@ -15,6 +16,10 @@ from larkspur.llm.toxicity import fit, score_toxicity
 from larkspur.llm.warc import archive_round_trip
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -46,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_chat, op4_token_counts, op6_toxicity, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op6_toxicity, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
