@@ -11,6 +11,7 @@ from larkspur.llm.common import table, tokenizer_path
 from larkspur.llm.html import extract_main_text
 from larkspur.llm.imatch import fingerprint_edits
 from larkspur.llm.mixing import mix_sources
+from larkspur.llm.ngramjoin import near_duplicates
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.tokencount import count_tokens
 from larkspur.llm.toxicity import fit, score_toxicity
@@ -46,6 +47,10 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_round_trip(table(spark, sf_dir, "pages"))
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op6_toxicity, op7_imatch, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op6_toxicity, op7_imatch, op8_ngram_jaccard, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
