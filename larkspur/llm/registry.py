@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm.chat import digest_examples, expand_replies
 from larkspur.llm.common import table, tokenizer_path
@@ -15,6 +16,7 @@ from larkspur.llm.ngramjoin import near_duplicates
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.tokencount import count_tokens
 from larkspur.llm.toxicity import fit, score_toxicity
+from larkspur.llm.vectors import nearest_neighbours
 from larkspur.llm.warc import archive_round_trip
 
 
@@ -38,6 +40,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op6_toxicity, op7_imatch, op8_ngram_jaccard, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op5_posting_lists, op6_toxicity, op7_imatch, op8_ngram_jaccard, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
