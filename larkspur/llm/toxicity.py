@@ -306,11 +306,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Model, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; texts are read whole, in one pass without a shuffle.
+def score_toxicity(docs: DataFrame, model: Model, columns: tuple[str, str] = ("doc_id", "text"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, and the columns of docs to carry; in one pass without a shuffle.
 
-    Null and empty texts get the score of a text without hits. Null ids are scored and not held out; repeated rows
-    get equal scores. An empty table gives no rows. Extra columns are ignored.
+    Texts are read whole. Null and empty texts get the score of a text without hits. Null ids are scored and not
+    held out; repeated rows get equal scores. An empty table gives no rows. Extra columns are ignored.
     """
     key, text = columns
 
@@ -322,8 +322,11 @@ def score_toxicity(docs: DataFrame, model: Model, columns: tuple[str, str] = ("d
             for t in batch.column(2):
                 x = features(t.as_py() or "", match)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + sum(i * j for i, j in zip(b, x, strict=True)))))))
-            got = pa.array(out, pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got, pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
-
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+            got, also = pa.array(out, pa.float64()), range(3, 3 + len(carried))
+            columns = [batch.column(0), batch.column(1), got, pa.array([int(s >= 0.5) for s in out], pa.int32()), *(batch.column(i) for i in also)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", *carried])
+
+    carried = [c for c in carry if c != "doc_id"]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text_scored"), *carried)
+    kinds = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in carried)
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int" + kinds)
