@@ -5,11 +5,159 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
+from larkspur.plans.twins import SQL
+from larkspur.sources.adapters import clickstream, retail
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+#: The day that recency and churn count from where a variant wants one given.
+AS_OF = "2001-08-01"
+CUTOFF = "2001-02-01"
+WEEKS = range(0, 12)
+#: Pairs are rare in the driver's baskets.
+SUPPORT = 2
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles to a few places: sums of doubles depend on their order."""
+    return df.select(*(F.round(F.col(f"`{c}`").cast("double"), places).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def _segmented(events: DataFrame) -> DataFrame:
+    return rfm.rfm_segments(rfm.rfm_base(events))
+
+
+def _features(events: DataFrame) -> DataFrame:
+    return features.feature_table(star.dim_users(events), _segmented(events), features.session_features(star.sessions(events)))
+
+
+def _rules(events: DataFrame) -> DataFrame:
+    return affinity.affinity_rules(events, SUPPORT)
+
+
+def _experiment(events: DataFrame) -> DataFrame:
+    """Users split by remainder, which both engines know; converted if they bought anything."""
+    users = star.dim_users(events)
+    return users.select("user_id", F.when(F.col("user_id") % 2 == 0, "control").otherwise("treatment").alias("variant"), F.col("purchase_count").__gt__(12).cast("int").alias("converted"))
+
+
+def _scored(events: DataFrame) -> DataFrame:
+    """A fixed score of recency and activity, to measure."""
+    frame = propensity.propensity_frame(events, CUTOFF)
+    return frame.select("user_id", "target", (F.col("events") / (1.0 + F.col("recency_days"))).alias("score"))
+
+
+def _propensity_scores(events: DataFrame) -> DataFrame:
+    frame = propensity.propensity_frame(events, CUTOFF)
+    fit, test = propensity.stratified_split(frame)
+    return propensity.score(propensity.train(fit, rounds=20), test)
+
+
+def _importance(events: DataFrame) -> DataFrame:
+    fit, _ = propensity.stratified_split(propensity.propensity_frame(events, CUTOFF))
+    return propensity.feature_importance(propensity.train(fit, rounds=20))
+
+
+#: Name -> the log it reads and what it computes.
+_PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[DataFrame], DataFrame]]] = {
+    "dim_products_f": (retail, star.dim_products),
+    "dim_products_c": (clickstream, lambda e: star.dim_products(e, drop_null_key=True)),
+    "dim_users_f": (clickstream, star.dim_users),
+    "dim_users_c": (retail, lambda e: star.dim_users(e, "c")),
+    "favorite_category": (clickstream, star.favorite_category),
+    "daily_kpis_f": (retail, star.daily_kpis),
+    "daily_kpis_c": (clickstream, lambda e: star.daily_kpis(e, "c")),
+    "sessions_f": (clickstream, star.sessions),
+    "sessions_c": (clickstream, star.compact_sessions),
+    "rfm_f": (retail, _segmented),
+    "rfm_c": (retail, lambda e: rfm.rfm_segments(rfm.rfm_base(e, "c", AS_OF), "c")),
+    "rfm_base": (retail, rfm.rfm_base),
+    "affinity_f": (retail, _rules),
+    "affinity_c": (retail, lambda e: affinity.affinity_rules(e, SUPPORT, "c")),
+    "affinity_nofilter": (retail, lambda e: affinity.affinity_rules(e, SUPPORT, "c", None)),
+    "session_funnel": (clickstream, lambda e: funnel.session_funnel(star.sessions(e))),
+    "session_stats": (clickstream, lambda e: funnel.session_stats(star.sessions(e))),
+    "session_features": (clickstream, lambda e: features.session_features(star.sessions(e))),
+    "feature_table": (clickstream, _features),
+    "segment_profile": (retail, lambda e: rfm.segment_profile(_segmented(e))),
+    "segment_coverage": (clickstream, lambda e: rfm.segment_coverage(_features(e))),
+    "rfm_scatter_sample": (retail, lambda e: rfm.rfm_scatter_sample(_segmented(e), 500)),
+    "weekly_retention": (retail, lambda e: retention.weekly_retention(e, star.dim_users(e))),
+    "retention_matrix": (retail, lambda e: retention.retention_matrix(retention.weekly_retention(e, star.dim_users(e)), WEEKS)),
+    "churn_status": (retail, lambda e: retention.churn_status(star.dim_users(e), e, AS_OF)),
+    "churn_counts": (retail, lambda e: retention.churn_counts(retention.churn_status(star.dim_users(e), e))),
+    "baskets": (clickstream, affinity.baskets),
+    "product_pairs": (retail, lambda e: affinity.product_pairs(affinity.baskets(e), SUPPORT)),
+    "product_support": (retail, lambda e: affinity.product_support(affinity.baskets(e))),
+    "total_purchase_sessions": (clickstream, affinity.total_purchase_sessions),
+    "top_pairs_preview": (retail, lambda e: affinity.top_pairs_preview(_rules(e), star.dim_products(e))),
+    "brands_with_rules": (retail, lambda e: affinity.brands_with_rules(_rules(e), star.dim_products(e))),
+    "products_with_rules": (retail, lambda e: affinity.products_with_rules(_rules(e), star.dim_products(e), "Brand#11")),
+    "recommend_topk": (retail, lambda e: affinity.recommend_all(_rules(e), 6)),
+    "dataset_overview": (clickstream, report.dataset_overview),
+    "event_mix": (clickstream, report.event_mix),
+    "event_funnel": (clickstream, funnel.event_funnel),
+    "distinct_session_funnel": (clickstream, funnel.distinct_session_funnel),
+    "daily_trend": (clickstream, report.daily_trend),
+    "daily_trend_stats": (clickstream, report.daily_trend_stats),
+    "price_percentiles": (retail, report.price_percentiles),
+    "price_bands": (clickstream, report.price_bands),
+    "top_categories": (clickstream, report.top_categories),
+    "top_brands": (clickstream, report.top_brands),
+    "category_performance": (retail, report.category_performance),
+    "brand_performance": (clickstream, lambda e: report.brand_performance(report.product_summary(e))),
+    "activity_histogram": (clickstream, lambda e: report.activity_histogram(star.dim_users(e))),
+    "user_stats": (retail, lambda e: report.user_stats(star.dim_users(e))),
+    "user_engagement": (clickstream, lambda e: report.user_engagement(report.user_summary(e))),
+    "buyer_tiers": (clickstream, lambda e: report.buyer_tiers(report.user_summary(e))),
+    "product_stats": (clickstream, lambda e: report.product_stats(report.product_summary(e))),
+    "top_products": (clickstream, report.top_products),
+    "daily_aggregates": (clickstream, lambda e: report.daily_aggregates(report.daily_summary(e))),
+    "null_profile": (clickstream, report.null_profile),
+    "profile": (retail, report.profile),
+    "events_per_session": (clickstream, report.events_per_session),
+    "session_characteristics": (clickstream, lambda e: funnel.session_characteristics(star.sessions(e))),
+    "session_conversion": (clickstream, lambda e: funnel.session_conversion(star.sessions(e))),
+    "key_metrics": (clickstream, lambda e: report.key_metrics(report.user_summary(e))),
+    "executive_kpis": (clickstream, lambda e: report.executive_kpis(star.daily_kpis(e, "c"))),
+    "sanity_totals": (clickstream, lambda e: report.sanity_totals(star.daily_kpis(e), star.dim_users(e))),
+    "row_counts": (clickstream, lambda e: report.row_counts({"dim_products": star.dim_products(e), "dim_users": star.dim_users(e), "fact_daily_kpis": star.daily_kpis(e), "fact_sessions": star.sessions(e)})),
+    "product_summary": (clickstream, report.product_summary),
+    "user_summary": (clickstream, report.user_summary),
+    "daily_summary": (clickstream, report.daily_summary),
+    "user_modulo_sample": (clickstream, lambda e: e.filter(F.col("user_id") % 10 == 0)),
+    "stratified_sample": (retail, lambda e: sampling.stratified_user_sample(e, 20.0)),
+    "compare_mix": (clickstream, lambda e: sampling.compare_mix(e, e.filter(F.col("user_id") % 10 == 0))),
+    "temporal_coverage": (clickstream, sampling.temporal_coverage),
+    "segment_population": (clickstream, lambda e: experiment.segment_population(_features(e), "Champions")),
+    "variant_assignment": (clickstream, lambda e: experiment.assign_variants(star.dim_users(e).select("user_id"), "checkout")),
+    "variant_summary": (clickstream, lambda e: experiment.variant_summary(_experiment(e))),
+    "ab_statistics": (clickstream, lambda e: experiment.ab_statistics(_experiment(e))),
+    "ab_readout": (clickstream, lambda e: experiment.ab_readout(_experiment(e))),
+    "propensity_frame": (retail, lambda e: propensity.propensity_frame(e, CUTOFF)),
+    "class_balance": (retail, lambda e: propensity.class_balance(propensity.propensity_frame(e, CUTOFF))),
+    "topk_precision_recall": (retail, lambda e: propensity.top_share_metrics(_scored(e))),
+    "propensity_scores": (retail, _propensity_scores),
+    "feature_importance": (retail, _importance),
+}
+
+
+def _query(name: str) -> Query:
+    log, plan = _PLANS[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(plan(log(spark, sf_dir)))
+
+    query.__name__ = name
+    return query
+
+
+def queries() -> dict[str, Query]:
+    return {name: _query(name) for name in _PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
