@@ -53,7 +53,7 @@ def format_compact(column: str) -> Column:
     out = F.format_string("%.0f", x)
     for size, unit in reversed(steps):
         out = F.when(F.abs(x) >= size, F.format_string(f"%.1f{unit}", x / size)).otherwise(out)
-    return out
+    return F.when(x.isNotNull(), out)
 
 
 def format_usd(column: str) -> Column:

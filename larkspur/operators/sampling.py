@@ -39,7 +39,7 @@ def stratified_users(df: DataFrame, pct: float = 3.0, seed: int = 5) -> DataFram
 
 def stratified_user_sample(df: DataFrame, pct: float = 3.0, keep: float = 0.5, seed: int = 5) -> DataFrame:
     """About `keep` of the events of a stratified sample of users."""
-    return thin_rows(df.join(stratified_users(df, pct, seed), "user_id", "left_semi"), keep, seed)
+    return thin_rows(df.join(stratified_users(df, pct, seed), "user_id", "left_semi").select(df.columns), keep, seed)
 
 
 def compare_mix(original: DataFrame, sample: DataFrame) -> DataFrame:
