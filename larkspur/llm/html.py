@@ -45,7 +45,7 @@ COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond di
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>",
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>|<[a-zA-Z/][^>]*\Z",
     re.S,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
@@ -253,16 +253,11 @@ def main_text(html: str, cut: frozenset[int] = frozenset()) -> str:
     nodes, blocks = parse(html)
     inside = {x.article for x in nodes if not x.noise}
     only = "article" if "article" in inside else "main" if "main" in inside else None
-    gone: dict[int, bool] = {}
-
-    def dropped(x: Node | None) -> bool:
-        if x is None:
-            return False
-        if id(x) not in gone:
-            gone[id(x)] = x.noise or not x.article and x.key in cut or dropped(x.parent)
-        return gone[id(x)]
-
-    return "\n".join(t for x, t in blocks if (only is None or x.article == only) and not dropped(x))
+    gone: set[int] = set()
+    for x in nodes:  # parents come before their children
+        if x.noise or not x.article and x.key in cut or id(x.parent) in gone:
+            gone.add(id(x))
+    return "\n".join(t for x, t in blocks if (only is None or x.article == only) and id(x) not in gone)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -107,6 +107,8 @@ def _record(data: bytes, at: int) -> tuple[Found, int]:
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise ValueError("headers have no end")
+    if _VERSION.search(data, version.end(), end + 2):
+        raise ValueError("another record begins among the headers")
     headers = _headers(data[version.end() : end])
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no content length")
