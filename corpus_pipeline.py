@@ -14,11 +14,6 @@ from larkspur.llm.toxicity import fit, score_toxicity
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; null ids match."""
-    return docs.join(ids.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*_COLUMNS)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic. The model learns from labelled documents of this stage's input."""
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -28,8 +23,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays; documents without words are components of their own."""
     found = near_duplicates(docs)
-    kept = found.filter("doc_id IS NULL OR component_id = doc_id").select("doc_id").distinct()
-    return _kept(docs, staged(kept, "kept"))
+    whole = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    gone = staged(whole.filter("NOT stays").select("doc_id"), "near-copies")
+    # the ids that go are the fewer: broadcast while their file is small, else the join is shuffled
+    return docs.join(gone, "doc_id", "left_anti").select(*_COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
