@@ -18,26 +18,24 @@ WORDS, PERCENT = 5, 75
 FREQUENT = 0.001
 #: Frequent shingles that are put last, the most frequent first; the choice changes the work, not the result.
 MOST_FREQUENT = 200_000
-#: Bits of a set's signature, sets in a leaf of a signature tree, and sets that one tree holds.
-BITS, LEAF, TREE = 2048, 16, 4096
+#: Least and most bits of a set's signature; a set has 4 to 8 bits a shingle between them.
+LEAST_BITS, MOST_BITS = 2048, 65_536
+#: Sets in a leaf of a signature tree, and sets that one tree holds.
+LEAF, TREE = 16, 4096
 #: A frequent shingle's documents are dealt to so many groups when hubs are chosen.
 SALTS = 64
+#: Likeliest partners that each set is compared with first, and pairs that two components are first tried by.
+HUBS, TRIES = 3, 4
 #: Members that are compared with one copy of a hub's text.
 CHUNK = 256
-#: Word hashes that a task remembers.
-CACHE_WORDS = 1_000_000
+#: Bytes of text that are hashed at a time.
+LOT_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
+#: A word's hash is the sum of a random number for each byte times a power of an odd number, modulo 2**64.
+_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -46,17 +44,58 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, hashes: dict) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; two different ones in a corpus of n meet by chance once in 2**64 / n."""
-    words = text.encode().lower().split() if text else []  # for bytes, both know ASCII alone
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(WORDS, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - k + 1 + i]
-    return np.unique(_mixed(out))
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word."""
+    white = _WHITE[raw]
+    starts = np.flatnonzero(~white & np.append(True, white[:-1]))
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    lengths = np.diff(starts, append=len(raw))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
+    value = np.where(white, np.uint64(0), _BYTES[raw])[starts[0] :]
+    ends = np.flatnonzero(white & np.append(False, ~white[:-1]))  # powers reach as far as the longest word, not the longest gap
+    longest = int((np.append(ends, len(raw))[: len(starts)] - starts).max())
+    power = np.cumprod(np.append(np.uint64(1), np.full(longest, _POWER)), dtype=np.uint64)
+    return _mixed(np.add.reduceat(value * power[np.minimum(place, longest)], starts - starts[0])), starts
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles, worked out for many texts at a time.
+
+    Two different shingles in a corpus of n meet by chance once in 2**64 / n. A-Z are lower-cased and ASCII white
+    space ends words; no other character is touched.
+    """
+    for lot in _lots([(t or "").encode().lower() for t in texts]):
+        h, starts = _word_hashes(np.frombuffer(b"\n".join(lot), np.uint8))
+        firsts = np.cumsum([0, *(len(t) + 1 for t in lot)])
+        cuts = np.searchsorted(starts, firsts)
+        full = np.full(max(0, len(h) - WORDS + 1), WORDS, np.uint64)
+        for i in range(WORDS):
+            full = full * _POWER + h[i : len(h) - WORDS + 1 + i] if len(full) else full
+        full = _mixed(full)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi - lo >= WORDS:
+                own = np.sort(full[lo : hi - WORDS + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
+            elif hi > lo:
+                one = np.full(1, hi - lo, np.uint64)
+                for x in h[lo:hi]:
+                    one = one * _POWER + x
+                yield _mixed(one)
+            else:
+                yield np.empty(0, np.uint64)
+
+
+def _lots(texts: list[bytes]) -> Iterator[list[bytes]]:
+    lot, size = [], 0
+    for t in texts:
+        if lot and size + len(t) > LOT_BYTES:
+            yield lot
+            lot, size = [], 0
+        lot.append(t)
+        size += len(t)
+    if lot:
+        yield lot
 
 
 def set_id(own: np.ndarray) -> int:
@@ -65,15 +104,20 @@ def set_id(own: np.ndarray) -> int:
 
 
 def signature(own: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(own >> np.uint64(20)) % np.uint64(BITS)] = 1
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(own) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(own >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Signatures at a smaller width: a bit's place is a hash modulo a power of two."""
+    return bits if bits.shape[1] == words else np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
     for batch in batches:
-        sets = {own.tobytes(): own for (t,) in rows_of(batch, "text") if len(own := shingles(t, hashes))}
+        sets = {own.tobytes(): own for own in shingle_sets(batch.column(0).to_pylist()) if len(own)}
         if sets:
             every = np.sort(np.concatenate(list(sets.values())))
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
@@ -99,14 +143,12 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
     late = spark.sparkContext.broadcast(frequent_shingles(docs))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
         order = np.argsort(late.value)
         known = late.value[order]
         for batch in batches:
             ids, nodes, sizes, keys, froms, sigs = [], [], [], [], [], []
             seen = set()
-            for doc, t in rows_of(batch, "doc_id", "text"):
-                own = shingles(t, hashes)
+            for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                 node, n = set_id(own), len(own)
                 ids.append(doc)
                 nodes.append(node)
@@ -160,15 +202,18 @@ def shared_keys(sets: DataFrame) -> DataFrame:
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
-    """a, b: each set and its likeliest hubs, hubs and the sets before them, and the groups of frequent keys: where links are most likely."""
+    """a, b: each set and those it shares most keys with, among the hubs and the next smaller sets under its keys.
+
+    The groups that a frequent key's sets are dealt to are linked by their first sets.
+    """
     to_hub = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("a_n"), F.col("n").alias("b_n"))
-    to_prev = shared.filter("node = hub AND prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("a_n"), F.col("n").alias("b_n"))
+    to_prev = shared.filter("prev IS NOT NULL AND prev <> hub").select(F.col("prev").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("a_n"), F.col("n").alias("b_n"))
     across = Window.partitionBy("key").orderBy("n", "node")
     starts = shared.filter("salt >= 0 AND prev IS NULL").select("key", "node", "n")
     starts = starts.withColumns({"a": F.lag("node").over(across), "a_n": F.lag("n").over(across)}).filter("a IS NOT NULL").select("a", F.col("node").alias("b"), "a_n", F.col("n").alias("b_n"))
     pairs = to_hub.unionByName(to_prev).unionByName(starts).filter(similar_sizes("a_n", "b_n")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("b_n").alias("b_n"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    return pairs.filter("16 * shared >= 0.25D * b_n").withColumn("best", best).filter("best <= 2").select("a", "b")
+    return pairs.filter("16 * shared >= 0.25D * b_n").withColumn("best", best).filter(F.col("best") <= HUBS).select("a", "b")
 
 
 class SignatureTree:
@@ -260,15 +305,29 @@ def tree_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFra
                 sides.setdefault(part, []).append((n, node, label, sig))
             if group is None or group[1] != group[2] and len(sides) < 2:
                 return
-            trees, nodes = [], []
-            for part in sorted(sides):
-                n, node, label, sig = zip(*sides[part], strict=True)
-                bits = np.frombuffer(b"".join(sig), np.uint64).reshape(len(n), -1)
-                trees.append(SignatureTree(np.array(n, np.int64), np.array(label, np.int64), bits))
-                nodes.append(np.array(node, np.int64))
-            for i, j in trees[0].pairs(trees[-1]):
-                a, b = nodes[0][i], nodes[-1][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            classes: dict[int, list[list]] = {}
+            for side, part in enumerate(sorted(sides)):
+                for row in sides[part]:
+                    classes.setdefault(len(row[3]) // 8, [[], []])[side].append(row)
+            # sets of one width meet at it; those of two widths, if they can link at all, at the smaller one
+            for width, own in sorted(classes.items()):
+                for other in (width, 2 * width):
+                    if other in classes:
+                        for x, y in {(0, 0)} if len(sides) == 1 else {(0, 1)} if width == other else {(0, 1), (1, 0)}:
+                            yield from matched(own[x], classes[other][y], width, width == other and x == y)
+
+        def matched(left: list, right: list, width: int, same: bool) -> Iterator[pa.RecordBatch]:
+            if not left or not right:
+                return
+            (a, x), (b, y) = (grown(side, width) for side in ((left, left) if same else (left, right)))
+            b, y = (a, x) if same else (b, y)
+            for i, j in a.pairs(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j]))], names=["a", "b"])
+
+        def grown(rows: list, width: int) -> tuple[SignatureTree, np.ndarray]:
+            n, node, label, sig = zip(*rows, strict=True)
+            bits = np.frombuffer(b"".join(sig), np.uint64).reshape(len(n), -1)
+            return SignatureTree(np.array(n, np.int64), np.array(label, np.int64), _folded(bits, width)), np.array(node, np.int64)
 
         for batch in batches:
             for key, p, q, *row in rows_of(batch, "key", "p", "q", "part", "n", "node", "label", "sig"):
@@ -281,6 +340,17 @@ def tree_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFra
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n", "node").mapInArrow(search, "a long, b long").distinct()
 
 
+def between(pairs: DataFrame, labels: DataFrame, tries: int | None) -> DataFrame:
+    """a, b, tried: the pairs of different components; tried are `tries` of each two components, or all."""
+    for x in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    pairs = pairs.filter("label_a <> label_b")
+    if tries is None:
+        return pairs.select("a", "b", F.lit(True).alias("tried"))
+    two = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy(F.xxhash64("a", "b"), "a", "b")
+    return pairs.select("a", "b", (F.row_number().over(two) <= tries).alias("tried"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs a, b whose sets link by their texts. reps: node, doc (a document that has the set).
 
@@ -294,15 +364,14 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     texts = docs.join(needed, docs["doc_id"] == needed["doc"]).select("a", "chunk", "node", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, head, own = _WordHashes(), None, np.empty(0, np.uint64)
+        head, own = None, np.empty(0, np.uint64)
         for batch in batches:
             out = []
-            for a, chunk, node, text in rows_of(batch, "a", "chunk", "node", "text"):
+            for (a, chunk, node), other in zip(rows_of(batch, "a", "chunk", "node"), shingle_sets(batch.column(3).to_pylist()), strict=True):
                 if a == node:
                     if (a, chunk) != head or set_id(own) != a:
-                        head, own = (a, chunk), shingles(text, hashes)
+                        head, own = (a, chunk), other
                     continue
-                other = shingles(text, hashes)
                 if head != (a, chunk) or set_id(own) != a or set_id(other) != node:
                     continue  # another text under the same doc_id
                 both = len(np.intersect1d(own, other, assume_unique=True))
@@ -351,9 +420,16 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, str] = ("doc_id", "text
     reps = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")), "reps")
     near = staged(verified(hub_pairs(shared), docs, reps), "links")
     labels = components(near)
-    far = staged(verified(tree_pairs(shared, sets, labels), docs, reps), "links")
-    if not far.isEmpty():
-        labels = components(near.unionByName(far))
+    rest = staged(tree_pairs(shared, sets, labels), "tree-pairs")
+    for tries in (TRIES, None):
+        # two components that link are mostly found to at the first pairs; pairs within one add nothing
+        rest = staged(between(rest, labels, tries), "tree-pairs")
+        tried = rest.filter("tried").select("a", "b")
+        if tried.isEmpty():
+            break
+        near = near.unionByName(staged(verified(tried, docs, reps), "links"))
+        labels = components(near)
+        rest = rest.filter("NOT tried").select("a", "b")
     whole = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = whole.groupBy("label").agg(F.min("doc").alias("component_id"))
     of = whole.join(smallest, "label").select("node", "component_id")
