@@ -90,7 +90,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
             block += 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by pre-token: the count of a run is taken once. Sums by block are kept and handed on in lots."""
+        """Rows sorted by the hash of the pre-token: the count of a run is taken once. Sums by block are kept and handed on in lots."""
         encode = library_tokenizer(tokenizer).encode_batch
         last, pieces = None, 0
         sums: dict[int, np.ndarray] = {}
@@ -163,6 +163,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
     rows = texts.mapInArrow(frequencies, _FREQ)
-    dealt = rows.repartition(F.coalesce("piece", F.col("block").cast("string")), "salt").sortWithinPartitions("piece")
+    dealt = rows.repartition(F.coalesce("piece", F.col("block").cast("string")), "salt").sortWithinPartitions(F.xxhash64("piece"))
     parts = dealt.mapInArrow(counted, _PART).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
     return parts.mapInArrow(totals, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
