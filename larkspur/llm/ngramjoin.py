@@ -281,15 +281,15 @@ class SignatureTree:
 def tree_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b: all pairs of sets with a common key that lie in different components and that signatures can't tell apart.
 
-    Keys whose sets are all in one component have nothing to add; of keys with the same sets one is enough. A key's
-    sets meet in trees of TREE sets at most; a larger key is dealt to all pairs of its trees.
+    Keys whose sets are all in one component have nothing to add. Keys whose smallest component is the same have
+    mostly the same sets, which are searched once for all of them. Their sets meet in trees of TREE sets at most; a
+    larger group is dealt to all pairs of its trees.
     """
     rows = shared.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "node"), 20)).alias("s"))
-    keys = keys.filter("lo <> hi").groupBy("size", "x", "s").agg(F.min("key").alias("key"))
-    trees = F.ceil(F.col("size") / TREE).cast("int")
-    rows = rows.join(keys.select("key", trees.alias("trees")), "key")
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    rows = rows.join(keys.select("key", "lo"), "key").groupBy(F.col("lo").alias("key"), "node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
     rows = staged(rows, "mixed-keys")
+    rows = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees")), "key")
     sigs = sets.filter("sig IS NOT NULL").select("node", "sig").join(rows.select("node").distinct(), "node").groupBy("node").agg(F.first("sig").alias("sig"))
     part = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
     rows = rows.join(sigs, "node").withColumn("part", part)
