@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import library_tokenizer
 
-_FREQ = "block long, piece string, docs binary, freqs binary, salt int, ids array<long>, n_bytes array<long>"
-_PART = "block long, docs binary, sums binary, ids array<long>, n_bytes array<long>"
-_LISTS = pa.list_(pa.int64())
+_FREQ = "block long, piece string, pairs binary, salt int"
+_PART = "block long, docs binary, sums binary, listing boolean"
+_PAIR = np.dtype([("doc", "<u4"), ("freq", "<u4")])
 #: Blocks whose sums a counting task holds before it hands them on.
 OPEN_BLOCKS = 512
 #: A pre-token in more than this share of a block's documents is dealt to SALTS tasks, by block.
@@ -77,16 +77,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
             pair = codes * n + np.repeat(np.arange(n), [len(c) for c in coded])
             pair.sort()
             first = np.flatnonzero(np.diff(pair, prepend=-1))
-            freqs = np.diff(first, append=len(pair)).astype("<u4")
-            piece, doc = pair[first] // n, (pair[first] % n).astype("<u4")
-            at = np.searchsorted(piece, np.arange(len(uniques) + 1)).astype(np.int32) * 4
-            cut = pa.py_buffer(at)  # binary columns share one buffer, which the offsets cut by pre-token
-            binary = [pa.Array.from_buffers(pa.binary(), len(uniques), [None, cut, pa.py_buffer(x.tobytes())]) for x in (doc, freqs)]
-            salt = np.where(np.diff(at) > 4 * HOT_SHARE * n, hash(block) % SALTS, 0).astype(np.int32)
-            empty = pa.nulls(len(uniques), _LISTS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniques), block)), pa.array(uniques, pa.string()), *binary, pa.array(salt), empty, empty], names=names)
-            lists = [pa.array([batch.column(c).to_pylist()], _LISTS) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([0], pa.int32()), *lists], names=names)
+            pairs = np.empty(len(first), _PAIR)
+            pairs["doc"], pairs["freq"] = pair[first] % n, np.diff(first, append=len(pair))
+            at = np.searchsorted(pair[first] // n, np.arange(len(uniques) + 1)).astype(np.int32)
+            # the offsets cut one buffer of pairs by pre-token
+            binary = pa.Array.from_buffers(pa.binary(), len(uniques), [None, pa.py_buffer(at * np.int32(_PAIR.itemsize)), pa.py_buffer(pairs.tobytes())])
+            salt = np.where(np.diff(at) > HOT_SHARE * n, hash(block) % SALTS, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniques), block)), pa.array(uniques, pa.string()), binary, pa.array(salt)], names=names)
+            # a row without a pre-token lists the block's documents: ids, which may be null, and bytes
+            listing = json.dumps([batch.column(c).to_pylist() for c in (0, 1)]).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.array([listing], pa.binary()), pa.array([0], pa.int32())], names=names)
             block += 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +98,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
 
         def handed() -> pa.RecordBatch:
             held = [(b, np.flatnonzero(s).astype("<u4"), s) for b, s in sums.items()]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _, _ in held], pa.int64()), pa.array([i.tobytes() for _, i, _ in held], pa.binary()), pa.array([s[i].astype("<u8").tobytes() for _, i, s in held], pa.binary()), *[pa.nulls(len(held), _LISTS)] * 2],
-                names=names,
-            )
+            cols = [pa.array([b for b, _, _ in held], pa.int64()), pa.array([i.tobytes() for _, i, _ in held], pa.binary()), pa.array([s[i].astype("<u8").tobytes() for _, i, s in held], pa.binary()), pa.array([False] * len(held))]
             sums.clear()
-            return out
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
             words = batch.column(1)
@@ -111,7 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
             rows = np.flatnonzero(named)
             if len(rows) < len(named):
                 listed = batch.filter(pa.array(~named))
-                yield pa.RecordBatch.from_arrays([listed.column(0), *[pa.nulls(len(listed), pa.binary())] * 2, listed.column(5), listed.column(6)], names=names)
+                yield pa.RecordBatch.from_arrays([listed.column(0), listed.column(2), pa.nulls(len(listed), pa.binary()), pa.array([True] * len(listed))], names=names)
             if not len(rows):
                 continue
             kept = batch.filter(pa.array(named))
@@ -123,12 +120,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
             last, pieces = own[-1], int(each[-1])
             per_row = np.repeat(each, np.diff(starts, append=len(own)))
             blocks = kept.column(0).to_numpy()
-            docs, freqs = (kept.column(c) for c in (2, 3))
-            lengths = np.diff(np.frombuffer(docs.buffers()[1], dtype=np.int32)[docs.offset : docs.offset + len(docs) + 1]) // 4
-            lo = np.frombuffer(docs.buffers()[1], dtype=np.int32)[docs.offset] // 4
-            doc = np.frombuffer(docs.buffers()[2], dtype="<u4")[lo : lo + lengths.sum()]
-            lo = np.frombuffer(freqs.buffers()[1], dtype=np.int32)[freqs.offset] // 4
-            gain = np.frombuffer(freqs.buffers()[2], dtype="<u4")[lo : lo + lengths.sum()] * np.repeat(per_row, lengths)
+            packed = kept.column(2)
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // _PAIR.itemsize
+            lengths, pairs = np.diff(ends), np.frombuffer(packed.buffers()[2], _PAIR, count=int(ends[-1]))[ends[0] :]
+            doc, gain = pairs["doc"], pairs["freq"] * np.repeat(per_row, lengths)
             of = np.repeat(blocks, lengths)
             order = np.argsort(of, kind="stable")
             of, doc, gain = of[order], doc[order], gain[order]
@@ -152,17 +147,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
         for batch in batches:
-            for b, docs, sums, listed, sizes in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if b != of:
+            for b, docs, sums, listing in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if listing:
                     yield out()
-                    ids, size, total, of = listed, sizes, np.zeros(len(listed), np.int64), b
-                else:
+                    (ids, size), of = json.loads(docs), b
+                    total = np.zeros(len(ids), np.int64)
+                elif b == of:
                     total[np.frombuffer(docs, "<u4")] += np.frombuffer(sums, "<u8").astype(np.int64)
         yield out()
 
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
     rows = texts.mapInArrow(frequencies, _FREQ)
-    dealt = rows.repartition(F.coalesce("piece", F.col("block").cast("string")), "salt").sortWithinPartitions(F.xxhash64("piece"))
-    parts = dealt.mapInArrow(counted, _PART).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
+    dealt = rows.repartition(F.coalesce("piece", F.col("block").cast("string")), "salt").sortWithinPartitions("piece")
+    parts = dealt.select("block", "piece", "pairs").mapInArrow(counted, _PART).repartition("block").sortWithinPartitions("block", F.desc("listing"))
     return parts.mapInArrow(totals, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
