@@ -22,9 +22,9 @@ def weekly_retention(df: DataFrame, users: DataFrame) -> DataFrame:
     return joined.select("cohort_week", "weeks_since_first", "cohort_size", "active_users", (F.col("active_users") / F.col("cohort_size")).alias("retention_rate"))
 
 
-def retention_matrix(retention: DataFrame, weeks: Sequence[int]) -> DataFrame:
-    """Cohorts by weeks since, to 3 places. The weeks are given, so that no pass is needed to find them."""
-    return retention.groupBy("cohort_week").pivot("weeks_since_first", list(weeks)).agg(F.first(F.round("retention_rate", 3)))
+def retention_matrix(retention: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:
+    """Cohorts by weeks since, to 3 places. All weeks that occur, for which Spark runs the aggregate once ahead to find them, or only those given."""
+    return retention.groupBy("cohort_week").pivot("weeks_since_first", None if weeks is None else list(weeks)).agg(F.first(F.round("retention_rate", 3)))
 
 
 def churn_status(users: DataFrame, events: DataFrame, as_of: str | None = None, at_risk: int = 7, churned: int = 14) -> DataFrame:

@@ -14,6 +14,7 @@ from larkspur.sources.adapters import clickstream, retail
 #: The day that recency and churn count from where a variant wants one given.
 AS_OF = "2001-08-01"
 CUTOFF = "2001-02-01"
+#: The weeks of retention_matrix, as its SQL has them; retention_matrix_all has every week.
 WEEKS = range(0, 12)
 #: Pairs are rare in the driver's baskets.
 SUPPORT = 2
@@ -87,6 +88,7 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "rfm_scatter_sample": (retail, lambda e: rfm.rfm_scatter_sample(_segmented(e), 500)),
     "weekly_retention": (retail, lambda e: retention.weekly_retention(e, star.dim_users(e))),
     "retention_matrix": (retail, lambda e: retention.retention_matrix(retention.weekly_retention(e, star.dim_users(e)), WEEKS)),
+    "retention_matrix_all": (retail, lambda e: retention.retention_matrix(retention.weekly_retention(e, star.dim_users(e)))),
     "churn_status": (retail, lambda e: retention.churn_status(star.dim_users(e), e, AS_OF)),
     "churn_counts": (retail, lambda e: retention.churn_counts(retention.churn_status(star.dim_users(e), e))),
     "baskets": (clickstream, affinity.baskets),

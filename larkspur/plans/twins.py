@@ -171,6 +171,8 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
     "segment_coverage": _with(*_FEATURES) + "SELECT rfm_segment, count(*) AS users FROM wide GROUP BY 1",
     "weekly_retention": _with(_RETAIL, _WEEKLY) + "SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, weeks_since_first, cohort_size, active_users, round(retention_rate, 4) AS retention_rate FROM weekly",
     "retention_matrix": _with(_RETAIL, _WEEKLY) + "SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, " + ", ".join(f'max(round(retention_rate, 3)) FILTER (WHERE weeks_since_first = {w}) AS "{w}"' for w in range(12)) + " FROM weekly GROUP BY 1",
+    "retention_matrix_all": _with(_RETAIL, _WEEKLY, "cells AS (SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, weeks_since_first, round(retention_rate, 3) AS rate FROM weekly)")
+    + "SELECT * FROM (PIVOT cells ON weeks_since_first USING max(rate) GROUP BY cohort_week)",
     "churn_status": _with(_RETAIL, _users("r"))
     + "SELECT user_id, last_seen, CAST(d AS INTEGER) AS days_inactive, CASE WHEN d > 14 THEN 'Churned' WHEN d > 7 THEN 'At Risk' ELSE 'Active' END AS status FROM (SELECT *, date_diff('day', CAST(last_seen AS DATE), DATE '2001-08-01') AS d FROM users)",
     "churn_counts": _with(_RETAIL, _users("r"))

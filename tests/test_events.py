@@ -175,6 +175,13 @@ def test_variants_are_stable_and_even(spark):
     assert abs(n["control"] - 5000) < 250
 
 
+def test_retention_matrix_has_every_week(spark):
+    df = log(spark, *((a, "view", 1, 1, "s") for a in ("2024-01-01T00:00:00", "2024-03-26T00:00:00", "2024-12-31T00:00:00")))
+    weekly = retention.weekly_retention(df, star.dim_users(df))
+    assert retention.retention_matrix(weekly).columns == ["cohort_week", "0", "12", "52"]
+    assert retention.retention_matrix(weekly, range(2)).columns == ["cohort_week", "0", "1"]
+
+
 def test_top_share_with_ties(spark):
     df = spark.createDataFrame([(i, float(i >= 90), int(i % 2 == 0)) for i in range(100)], "user_id long, score double, target int")
     r = propensity.top_share_metrics(df).first()
