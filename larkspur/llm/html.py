@@ -42,6 +42,9 @@ DROP_WORDS = frozenset(
     "recommended recommendations pagination pager comment comments commentlist reply replies respond disqus widget toolbar skip form search".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+# fixed values: elements that hold an article's own text, whose class and id name its subject
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|"
@@ -159,15 +162,29 @@ def _prior(name: str, attrs: dict[str, str], above: Node) -> tuple[bool, str | N
     if name == "header" and not above.article:
         return True, above.article
     if attrs:
-        words = set(_WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+        names = attrs.get("class", "").lower(), attrs.get("id", "").lower()
         if name in ("article", "main", "body", "html"):
-            if words & COMMENT_WORDS and name == "article":
+            if set(_WORDS.findall(" ".join(names))) & COMMENT_WORDS and name == "article":
                 return True, above.article
-        elif words & DROP_WORDS and not (above.article and words & DROP_WORDS == {"header"}) or attrs.get("role", "").lower() in DROP_ROLES:
+        elif _named_noise(name, *names, bool(above.article)) or attrs.get("role", "").lower() in DROP_ROLES:
             return True, above.article
     return False, inside
 
 
+def _named_noise(name: str, classes: str, own_id: str, inside: bool) -> bool:
+    """Whether class or id tell noise. Ids of prose and sections are slugs of their headings.
+
+    Inside article and main only whole class names of other elements count, and whole ids of comments; elsewhere any
+    word of a class or id does, but of a section's id only the whole.
+    """
+    if inside:
+        return name not in PROSE and bool(set(classes.split()) & (DROP_WORDS - {"header"}) or name != "section" and own_id in COMMENT_WORDS)
+    if name in PROSE:
+        return bool(set(classes.split()) & DROP_WORDS)
+    slug = {own_id} if name == "section" else set(_WORDS.findall(own_id))
+    return bool((set(_WORDS.findall(classes)) | slug) & DROP_WORDS)
+
+
 def _host(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:/?#]*:?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 

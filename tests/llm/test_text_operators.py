@@ -138,6 +138,15 @@ def test_style_tree_takes_what_a_site_repeats(spark):
     assert got[3] == "Text number 3\nand 9" and got[100] == "Same text"  # copies of one page are no boilerplate
 
 
+def test_slugs_of_headings_and_sections_are_no_noise():
+    body = "<h2 id='related-work'>Related work</h2><section id='search-methods' class='foot-notes'><p id='side-effects'>Side effects</p></section><p class='notice'>Note</p><div id='search'>Found</div>"
+    text = "Related work\nSide effects\nNote\nFound"
+    for tag in ("article", "main"):
+        assert html.main_text(f"<body><{tag}>{body}<div class='box share'>share</div><ul class='related'><li>x</ul><div id='comments'>c</div></{tag}></body>") == text
+    bare = html.main_text("<body><div><h2 id='related-work'>Related work</h2><section id='search-methods'><p id='side-effects'>Side effects</p></section></div><div id='site-search'>s</div><section id='comments'>c</section></body>")
+    assert bare == "Related work\nSide effects"
+
+
 def toxic_corpus(n=400):
     rng = np.random.default_rng(5)
     plain = [f"w{i:03d}ord" for i in range(300)]
