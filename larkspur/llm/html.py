@@ -190,28 +190,24 @@ def _host(url: str) -> F.Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page adds to its site's tree: the styles and contents of every node, counted within the batch."""
+    """What each page adds to its site's tree: the styles and contents of every node, once a batch for each page.
+
+    Inside article and main their texts stand for the page, so an article copied to many pages is one.
+    """
     for batch in batches:
-        seen: dict[tuple, list] = {}
+        seen: set[tuple] = set()
         for host, html in rows_of(batch, "host", "html"):
-            page = _hash(html)
             nodes, blocks = parse(html)
-            rows = {(host, x.key, x.parent.key if x.parent else 0, 0, _hash(" ".join(dict.fromkeys(x.children)))) for x in nodes}
-            rows |= {(host, x.key, x.parent.key if x.parent else 0, 1, _hash(text)) for x, text in blocks}
-            for r in rows:
-                if (s := seen.get(r)) is None:
-                    seen[r] = [1, page, page]
-                else:
-                    s[0] += 1
-                    s[1] = min(s[1], page)
-                    s[2] = max(s[2], page)
-        cols = list(zip(*((*k, *v) for k, v in seen.items()), strict=True)) or [[]] * 8
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "parent", "kind", "value", "n", "first", "last"])
+            page, copy = _hash(html), _hash("\n".join(t for x, t in blocks if x.article and not x.noise))
+            seen |= {(host, x.key, x.parent.key if x.parent else 0, 0, _hash(" ".join(dict.fromkeys(x.children))), copy if x.article else page) for x in nodes}
+            seen |= {(host, x.key, x.parent.key if x.parent else 0, 1, _hash(text), copy if x.article else page) for x, text in blocks}
+        cols = list(zip(*seen, strict=True)) or [[]] * 6
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "parent", "kind", "value", "page"])
 
 
 def _importance(rows: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of one site whose branch is unimportant.
+    """The nodes of one site and the importance of their branches.
 
     A node's own importance is the entropy of its presentation styles, or of its contents where it has texts, to
     the base of its pages (1 if it is on one page). It fades into the mean importance of its children by DECAY a
@@ -240,41 +236,53 @@ def _importance(rows: pd.DataFrame) -> pd.DataFrame:
         fade = DECAY ** (level[n] + 1)
         whole[n] = own[n] if not below else (1 - fade) * own[n] + fade * sum(whole[c] * pages[c] for c in below) / sum(pages[c] for c in below)
         most[n] = max([whole[n], *(most[c] for c in below)])
-    cut = [n for n in order if most[n] < LEAST_IMPORTANCE and pages[n] >= LEAST_PAGES]
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "cut": pd.Series([cut], dtype=object)})
+    known = [n for n in order if most[n] < 1 and pages[n] >= LEAST_PAGES]
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "nodes": pd.Series([known], dtype=object), "weights": pd.Series([[most[n] for n in known]], dtype=object)})
 
 
 def site_style_trees(pages: DataFrame) -> DataFrame:
-    """host, cut: the nodes of each site's style tree whose branches are to go.
+    """host, nodes, weights: the nodes of each site's style tree and the importance of their branches, where below 1.
 
-    Pages of a host are merged: nodes are elements by their path of tags and class words. Copies of one page count
-    once. All counting is in aggregates that start inside the scanning tasks; a site meets in one task only as its
-    tree, one row a node, of those nodes that LEAST_PAGES pages share.
+    Pages of a host are merged: nodes are elements by their path of tags and class words. Copies of one page, or of
+    one article, count once. All counting is in aggregates that start inside the scanning tasks; a site meets in one
+    task only as its tree, one row a node, of those nodes that LEAST_PAGES pages share.
     """
-    counted = pages.mapInArrow(_features, "host string, node long, parent long, kind int, value long, n long, first long, last long")
-    values = counted.groupBy("host", "node", "parent", "kind", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    n = F.when(F.col("first") == F.col("last"), F.lit(1)).otherwise(F.col("n")).cast("double")
+    counted = pages.mapInArrow(_features, "host string, node long, parent long, kind int, value long, page long")
+    values = counted.groupBy("host", "node", "parent", "kind", "value").agg(F.count_distinct("page").alias("n"))
+    n = F.col("n").cast("double")
     kinds = [(name, F.when(F.col("kind") == k, n)) for k, name in enumerate(("styles", "texts"))]
     sums = [x for name, v in kinds for x in (F.coalesce(F.sum(v), F.lit(0.0)).alias(f"{name}_n"), F.coalesce(F.sum(v * F.log(v)), F.lit(0.0)).alias(f"{name}_l"))]
     nodes = values.groupBy("host", "node", "parent").agg(*sums).filter(F.greatest("styles_n", "texts_n") >= LEAST_PAGES)
     entropy = [F.when(F.col(f"{k}_n") > 0, F.log(f"{k}_n") - F.col(f"{k}_l") / F.col(f"{k}_n")).otherwise(0.0).alias(f"{k}_h") for k in ("styles", "texts")]
-    return nodes.select("host", "node", "parent", "styles_n", "texts_n", *entropy).groupBy("host").applyInPandas(_importance, "host string, cut array<long>").filter("size(cut) > 0")
+    return nodes.select("host", "node", "parent", "styles_n", "texts_n", *entropy).groupBy("host").applyInPandas(_importance, "host string, nodes array<long>, weights array<double>").filter("size(nodes) > 0")
 
 
-def main_text(html: str, cut: frozenset[int] = frozenset()) -> str:
-    """The page's article: its text blocks joined by newlines, without noise elements and branches in `cut`.
+def main_text(html: str, weights: dict[int, float] | None = None) -> str:
+    """The page's article: its text blocks joined by newlines, without noise elements and branches of low weight.
 
-    If the page has article elements, only they count; else the main element, else all of the body. Inside an
-    article the style tree takes nothing away, as copies of articles would look like a site's boilerplate.
+    If the page has article elements, they count alone, else the main element, else all of the body; but main counts
+    whole if its texts beside the articles weigh more than they, and so does the body on a site whose tree is known.
+    A text weighs its length times its branch's importance. Inside article and main no heading goes on its own, and
+    prose only by its class or id: bare elements are shared by a site's own texts and its boilerplate.
     """
+    weights = weights or {}
     nodes, blocks = parse(html)
-    inside = {x.article for x in nodes if not x.noise}
-    only = "article" if "article" in inside else "main" if "main" in inside else None
     gone: set[int] = set()
     for x in nodes:  # parents come before their children
-        if x.noise or not x.article and x.key in cut or id(x.parent) in gone:
+        held = x.article and (x.tag in HEADINGS or x.tag in PROSE and x.sign == f"{x.tag}.")
+        # what the tree doesn't know is rare on the site, and stays within an unimportant branch too
+        if weights.get(x.key, 1.0) < LEAST_IMPORTANCE and (not held or id(x.parent) in gone):
             gone.add(id(x))
-    return "\n".join(t for x, t in blocks if (only is None or x.article == only) and id(x) not in gone)
+    kept = [(x, t) for x, t in blocks if not x.noise and id(x) not in gone]
+    mass = dict.fromkeys(("article", "main", None), 0.0)
+    for x, t in kept:
+        mass[x.article] += len(t) * weights.get(x.key, 1.0)
+    inside = {x.article for x in nodes if not x.noise}
+    if "article" in inside and mass["main"] <= mass["article"] and not (weights and "main" not in inside and mass[None] > mass["article"]):
+        kept = [(x, t) for x, t in kept if x.article == "article"]
+    elif "main" in inside:
+        kept = [(x, t) for x, t in kept if x.article]
+    return "\n".join(t for _, t in kept)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -285,14 +293,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     length are read whole; nested elements cost memory in proportion.
     """
     rows = pages.select("page_id", "url", _host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    cuts = staged(site_style_trees(rows.select("host", "html")), "style-trees")
+    trees = staged(site_style_trees(rows.select("host", "html")), "style-trees")
     # a small table of trees is broadcast by its size on disk, else the join is shuffled and AQE splits hot sites
-    joined = rows.join(cuts, "host", "left")
+    joined = rows.join(trees, "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, frozenset(c or ())) for h, c in rows_of(batch, "html", "cut")]
+            texts = [main_text(h, dict(zip(n or (), w or (), strict=True))) for h, n, w in rows_of(batch, "html", "nodes", "weights")]
             n = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays([batch.column(n("page_id")), batch.column(n("url")), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "cut").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "nodes", "weights").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

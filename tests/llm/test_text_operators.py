@@ -147,6 +147,20 @@ def test_slugs_of_headings_and_sections_are_no_noise():
     assert bare == "Related work\nSide effects"
 
 
+def test_importance_decides_inside_articles(spark):
+    page = "<html><body><{0}><h1>{1}</h1><p>Text number {2} and {3}</p><h2>Method</h2><p>More of {3}</p><div class='box'><p>Written by our editors</p></div></{0}></body></html>"
+    rows = [(i, f"http://{tag}.com/{i}", page.format(tag, f"Title {i}", i, i * i)) for tag in ("article", "main") for i in range(12)]
+    # one article on 12 pages that differ outside it
+    rows += [(100 + i, f"http://copies.com/{i}", f"<body><div>Page {i} of the list</div><article><div class='lead'>Copied lead</div><p>Copied text</p></article></body>") for i in range(12)]
+    # the text beside the articles, which are teasers
+    rows += [(200 + i, f"http://teasers.com/{i}", f"<body><main><div class='text'>A long text of its own, number {i}, about {i * i}</div><article class='teaser'>Read more</article></main></body>") for i in range(12)]
+    got = {r.url: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for tag in ("article", "main"):
+        assert got[f"http://{tag}.com/3"] == "Title 3\nText number 3 and 9\nMethod\nMore of 9"
+    assert got["http://copies.com/3"] == "Copied lead\nCopied text"
+    assert got["http://teasers.com/3"] == "A long text of its own, number 3, about 9"
+
+
 def toxic_corpus(n=400):
     rng = np.random.default_rng(5)
     plain = [f"w{i:03d}ord" for i in range(300)]
