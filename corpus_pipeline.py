@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import staged, table, tokenizer_path
@@ -21,20 +21,34 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; documents without words are components of their own."""
-    found = near_duplicates(docs)
-    whole = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
-    gone = staged(whole.filter("NOT stays").select("doc_id"), "near-copies")
-    # the ids that go are the fewer: broadcast while their file is small, else the join is shuffled
-    return docs.join(gone, "doc_id", "left_anti").select(*_COLUMNS)
+    """The row with the smallest id of each component stays, null last; rows without words are components of their own.
+
+    Rows are told apart by a hash of id and text, as ids may be null or repeat.
+    """
+    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    found = staged(near_duplicates(keyed, ("row", "text")).filter("n_shingles > 0").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"), F.count("*").alias("times")), "components")
+    ids = keyed.groupBy("row").agg(F.min("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = found.join(ids, "row").groupBy("component").agg(F.min_by("row", order).alias("first"))
+    told = found.join(first, "component").withColumn("stays", F.col("row") == F.col("first"))
+    gone = staged(told.filter("NOT stays").select("row"), "near-copies")
+    repeated = staged(told.filter("stays AND times > 1").select("row"), "repeats")
+    # the rows that go are the fewer: broadcast while their file is small, else the join is shuffled
+    kept = keyed.join(gone, "row", "left_anti")
+    once = kept.join(repeated, "row", "left_anti").unionByName(kept.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+    return once.select(*_COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mix = mix_sources(docs).select("doc_id", "copies").filter("copies > 0")
-    copies = staged(mix.groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).withColumnRenamed("doc_id", "mixed_id"), "copies")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.select(*_COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    """Every row as often as the mix takes it. Rows are told apart by a hash of their columns; equal ones share their copies."""
+    keyed = docs.withColumn("row", F.xxhash64(*(F.struct(F.col(c).isNull(), c) for c in _COLUMNS)))
+    mix = mix_sources(keyed, columns=("row", "text", "source")).groupBy("doc_id").agg(F.sum("copies").alias("all"), F.count("*").alias("times"))
+    copies = staged(mix.filter("all > 0").withColumnRenamed("doc_id", "row"), "copies")
+    even = keyed.join(copies.filter("all % times = 0"), "row").withColumn("copies", F.expr("all DIV times"))
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    odd = keyed.join(copies.filter("all % times > 0"), "row").withColumn("copies", F.expr("all DIV times") + (nth <= F.expr("all % times")).cast("long"))
+    joined = even.unionByName(odd).filter("copies > 0")
+    return joined.select(*_COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def keyed_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n, and for the first copy of a set in its batch keys, frequent_from and sig.
+    """doc_id, ref, node, n, and for the first copy of a set in its batch keys, frequent_from and sig.
 
     keys are the set's first n - ceil(0.75 n) + 1 shingles in an order of all shingles that ends with the frequent
     ones: two sets that link share one of them at least. Those from frequent_from on are frequent.
@@ -170,11 +170,11 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
                 keys.append(np.concatenate([light, heavy])[:m].view(np.int64))
                 sigs.append(signature(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(froms, pa.int32()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "node", "n", "keys", "frequent_from", "sig"],
+                [pa.array(ids, pa.int64()), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(froms, pa.int32()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "ref", "node", "n", "keys", "frequent_from", "sig"],
             )
 
-    return docs.mapInArrow(key, "doc_id long, node long, n int, keys array<long>, frequent_from int, sig binary")
+    return docs.mapInArrow(key, "doc_id long, ref long, node long, n int, keys array<long>, frequent_from int, sig binary")
 
 
 def similar_sizes(a: str, b: str) -> Column:
@@ -352,7 +352,7 @@ def between(pairs: DataFrame, labels: DataFrame, tries: int | None) -> DataFrame
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets link by their texts. reps: node, doc (a document that has the set).
+    """The pairs a, b whose sets link by their texts. reps: node, doc and ref (a document that has the set; ref tells those without id).
 
     The sets that one set is compared with come in chunks, each with a copy of that set's text.
     """
@@ -361,7 +361,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     heads = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("node"))
     members = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("node"))
     needed = staged(heads.unionByName(members).join(reps, "node"), "needed")
-    texts = docs.join(needed, docs["doc_id"] == needed["doc"]).select("a", "chunk", "node", "text")
+    same = docs["doc_id"].eqNullSafe(needed["doc"]) & docs["ref"].eqNullSafe(needed["doc_ref"])
+    texts = docs.join(needed, same).select("a", "chunk", "node", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, np.empty(0, np.uint64)
@@ -409,15 +410,20 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, str] = ("doc_id", "text
        don't rule out is compared by text. So every link within or between components is accounted for, and a
        group of copies costs in proportion to its size.
 
-    Null and empty texts have no shingles and link with nothing. A row with a null id takes part through its equal
-    texts only. Repeated rows share their component; if rows of one id differ, each text is a set of its own. An
+    Null and empty texts have no shingles and link with nothing. A row with a null id takes part by its text.
+    Repeated rows share their component; if rows of one id differ, each text is a set of its own. An
     empty table gives no rows. Extra columns are ignored.
     """
     key, text = columns
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.withColumn("ref", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     sets = staged(keyed_sets(docs), "sets")
     shared = staged(shared_keys(sets), "shared-keys")
-    reps = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc")), "reps")
+    reps = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("ref").alias("doc_ref")), "reps")
+    reps = reps.withColumn("doc_ref", F.when(F.col("doc").isNull(), F.col("doc_ref")))
+    # each text without id once, however many rows have it
+    nameless = staged(docs.filter("doc_id IS NULL").dropDuplicates(["ref"]), "nameless")
+    docs = docs.filter("doc_id IS NOT NULL").unionByName(nameless)
     near = staged(verified(hub_pairs(shared), docs, reps), "links")
     labels = components(near)
     rest = staged(tree_pairs(shared, sets, labels), "tree-pairs")

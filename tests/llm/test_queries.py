@@ -103,3 +103,26 @@ def test_pipeline_stages(spark):
     assert sum(size[i] * n for i, n in copies.items()) == pytest.approx(1.5 * sum(size.values()), rel=0.01)
     packed = c.packing(spark, mixed, DATA).collect()
     assert collections.Counter((r.doc_id) for r in packed if r.start == 0) == copies
+
+
+def test_pipeline_tells_rows_apart(spark):
+    import corpus_pipeline as c
+
+    a, b, n = (" ".join(f"{x}{i}" for i in range(60)) for x in "abn")
+    rows = [(1, a), (1, a), (2, b), (1, b), (None, n), (None, n), (None, n + " more"), (None, a), (3, "x y z"), (4, ""), (3, "another text here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    alone = c.staged(c.ngram_jaccard_join(spark, docs, DATA), "alone")
+    got = sorted(((r.doc_id, r.text) for r in alone.collect()), key=str)
+    assert len(got) == 6 and {(1, a), (1, b), (3, "x y z"), (3, "another text here"), (4, "")} < set(got)
+    assert [i for i, t in got if t.startswith("n")] == [None]
+    taken = c.mixing(spark, alone, DATA).count()
+    want = c.mix_sources(alone.withColumn("doc_id", F.xxhash64("doc_id", "text"))).agg(F.sum("copies")).first()[0]
+    assert abs(taken - want) <= 2
+
+
+def test_null_ids_link_by_their_texts(spark):
+    chain = [" ".join(f"w{i}" for i in range(s, s + 40)) for s in (0, 4, 8)]  # the ends link through the middle only
+    df = spark.createDataFrame([(7, chain[0]), (None, chain[1]), (9, chain[2])], "doc_id long, text string")
+    from larkspur.llm.ngramjoin import near_duplicates
+
+    assert {r.component_id for r in near_duplicates(df).collect()} == {7}
