@@ -54,12 +54,18 @@ def _scored(events: DataFrame) -> DataFrame:
 def _propensity_scores(events: DataFrame) -> DataFrame:
     frame = propensity.propensity_frame(events, CUTOFF)
     fit, test = propensity.stratified_split(frame)
-    return propensity.score(propensity.train(fit, rounds=20), test)
+    return propensity.score(propensity.train(fit), test)
+
+
+def _evaluation(events: DataFrame) -> DataFrame:
+    """Precision, recall and lift of the model's top scores, and its ROC-AUC."""
+    scored = _propensity_scores(events)
+    return propensity.top_share_metrics(scored).withColumn("roc_auc", F.lit(propensity.roc_auc(scored)))
 
 
 def _importance(events: DataFrame) -> DataFrame:
     fit, _ = propensity.stratified_split(propensity.propensity_frame(events, CUTOFF))
-    return propensity.feature_importance(propensity.train(fit, rounds=20))
+    return propensity.feature_importance(propensity.train(fit))
 
 
 #: Name -> the log it reads and what it computes.
@@ -143,6 +149,7 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "class_balance": (retail, lambda e: propensity.class_balance(propensity.propensity_frame(e, CUTOFF))),
     "topk_precision_recall": (retail, lambda e: propensity.top_share_metrics(_scored(e))),
     "propensity_scores": (retail, _propensity_scores),
+    "propensity_evaluation": (retail, _evaluation),
     "feature_importance": (retail, _importance),
 }
 

@@ -198,6 +198,11 @@ def test_propensity_model_learns(spark, tmp_path):
     propensity.save_model(model, str(tmp_path / "model"))
 
 
+def test_training_stops_by_the_validation_rows():
+    assert propensity.best_round([3.0, 2.0, 1.0, 1.5, 0.5], 2) == (5, False)  # one worse round is no end
+    assert propensity.best_round([3.0, 2.0, 1.0, 1.5, 1.5, 0.5], 2) == (3, True)
+
+
 def test_text_forms(spark):
     df = spark.createDataFrame([(1234567.0,), (999.0,), (1500.0,), (None,)], "x double")
     assert [tuple(r) for r in df.select(format_compact("x"), format_usd("x")).collect()] == [("1.2M", "$1,234,567.00"), ("999", "$999.00"), ("1.5K", "$1,500.00"), (None, None)]
