@@ -39,7 +39,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut of the lineage that survives lost executors."""
     path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that staged() wrote. What is still to be run must not read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tokenizer_path(name: str) -> str:

@@ -3,33 +3,31 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import rows_of, staged
+from larkspur.llm.common import discard, rows_of, staged
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 5, 75
-#: A shingle in this share of a batch's documents counts as frequent and comes late in the order of keys.
-FREQUENT = 0.001
-#: Frequent shingles that are put last, the most frequent first; the choice changes the work, not the result.
-MOST_FREQUENT = 200_000
+#: A set of n shingles has 1 + n // EXTRA keys more than one common key takes: sets that link share as many keys.
+EXTRA = 8
 #: Least and most bits of a set's signature; a set has 4 to 8 bits a shingle between them.
 LEAST_BITS, MOST_BITS = 2048, 65_536
-#: Sets in a leaf of a signature tree, and sets that one tree holds.
-LEAF, TREE = 16, 4096
-#: A frequent shingle's documents are dealt to so many groups when hubs are chosen.
-SALTS = 64
-#: Likeliest partners that each set is compared with first, and pairs that two components are first tried by.
-HUBS, TRIES = 3, 4
-#: Members that are compared with one copy of a hub's text.
-CHUNK = 256
-#: Bytes of text that are hashed at a time.
-LOT_BYTES = 1 << 20
+#: Sets in a leaf of a signature tree; sets and shingles that one tree holds.
+LEAF, TREE, TREE_SHINGLES = 32, 4096, 1 << 21
+#: A key in this share of a lot's sets is dealt to so many tasks by lot.
+HOT_SHARE, SALTS = 0.05, 64
+#: Keys by which each set is first joined with others.
+FIRST_KEYS = 2
+#: Bytes of text that are hashed at a time, and whose keys are looked at together.
+LOT_BYTES, KEY_LOT_BYTES = 1 << 20, 1 << 24
 
 #: A word's hash is the sum of a random number for each byte times a power of an odd number, modulo 2**64.
 _BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -115,112 +113,88 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits if bits.shape[1] == words else np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = {own.tobytes(): own for own in shingle_sets(batch.column(0).to_pylist()) if len(own)}
-        if sets:
-            every = np.sort(np.concatenate(list(sets.values())))
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-            n = np.diff(first, append=len(every))
-            kept = n >= max(4, FREQUENT * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(every[first][kept].view(np.int64)), pa.array(n[kept])], names=["h", "n"])
+def prefix_length(n: int) -> int:
+    """Keys of a set of n shingles: of its shingles in order of hash, so many that two sets that link share 1 + n // EXTRA of the smaller one's."""
+    return n - (PERCENT * n + 99) // 100 + 1 + n // EXTRA
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Frequent shingles, the most frequent last. A set of m shingles on average allows m / FREQUENT of them a batch."""
-    counts = docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    return got.column("h").to_numpy()[::-1].view(np.uint64).copy()
+def least_shared(n: str) -> Column:
+    """Keys that a set of this size shares at least with any set it links with, which may have PERCENT of its size."""
+    return F.expr(f"1 + ((({PERCENT} * CAST({n} AS LONG) + 99) DIV 100) DIV {EXTRA})")
 
 
-def keyed_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, ref, node, n, and for the first copy of a set in its batch keys, frequent_from and sig.
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every key of every distinct set of a lot of texts.
 
-    keys are the set's first n - ceil(0.75 n) + 1 shingles in an order of all shingles that ends with the frequent
-    ones: two sets that link share one of them at least. Those from frequent_from on are frequent.
+    Rows of a key that many sets of the lot have are salted, and a row without a node marks the key as shared.
     """
-    spark = docs.sparkSession
-    late = spark.sparkContext.broadcast(frequent_shingles(docs))
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(late.value)
-        known = late.value[order]
-        for batch in batches:
-            ids, nodes, sizes, keys, froms, sigs = [], [], [], [], [], []
-            seen = set()
-            for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
-                node, n = set_id(own), len(own)
-                ids.append(doc)
-                nodes.append(node)
-                sizes.append(n)
-                if not n or node in seen:
-                    keys.append(None)
-                    froms.append(None)
-                    sigs.append(None)
-                    continue
-                seen.add(node)
-                m = n - (PERCENT * n + 99) // 100 + 1
-                light, heavy = own, np.empty(0, np.uint64)
-                if len(known):
-                    at = np.searchsorted(known, own)
-                    at[at == len(known)] = 0
-                    is_late = known[at] == own
-                    light, heavy = own[~is_late], own[is_late][np.argsort(order[at[is_late]])]
-                froms.append(min(m, len(light)))
-                keys.append(np.concatenate([light, heavy])[:m].view(np.int64))
-                sigs.append(signature(own))
+    for batch in batches:
+        texts, lots, size = batch.column(0), [0], 0
+        for i, length in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+            size += length
+            if size > KEY_LOT_BYTES:
+                lots.append(i + 1)
+                size = 0
+        for lo, hi in zip(lots, [*lots[1:], len(texts)], strict=True):
+            sets = {set_id(own): own for own in shingle_sets(texts[lo:hi].to_pylist()) if len(own)}
+            if not sets:
+                continue
+            sizes = np.array([len(own) for own in sets.values()])
+            lengths = [prefix_length(int(n)) for n in sizes]
+            key = np.concatenate([own[:m] for own, m in zip(sets.values(), lengths, strict=True)]).view(np.int64)
+            own, again, times = np.unique(key, return_inverse=True, return_counts=True)
+            hot = times >= max(8, HOT_SHARE * len(sets))
+            salt = np.where(hot[again], next(iter(sets)) % SALTS, -1)
+            marks = own[hot]
+            node = np.concatenate([np.repeat(np.fromiter(sets, np.int64, len(sets)), lengths), np.zeros(len(marks), np.int64)])
+            none = np.arange(len(node)) >= len(key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(froms, pa.int32()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "ref", "node", "n", "keys", "frequent_from", "sig"],
+                [pa.array(np.concatenate([key, marks])), pa.array(node, mask=none), pa.array(np.append(np.repeat(sizes, lengths), np.zeros(len(marks), int)).astype(np.int32)), pa.array(np.append(salt, np.full(len(marks), -1)).astype(np.int32))],
+                names=["key", "node", "n", "salt"],
             )
 
-    return docs.mapInArrow(key, "doc_id long, ref long, node long, n int, keys array<long>, frequent_from int, sig binary")
 
+def keyed_sets(docs: DataFrame) -> DataFrame:
+    """node, n, keys: the sets that share as many keys with others as a link takes, with those keys.
+
+    No key meets whole in one task: where it is frequent its rows are salted, and only marks meet.
+    """
+    rows = docs.select("text").mapInArrow(_keys, "key long, node long, n int, salt int")
+    w = Window.partitionBy("key", "salt").orderBy("node")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"before": F.lag("node").over(w), "lo": F.min("node").over(whole), "hi": F.max("node").over(whole), "marked": F.max(F.col("node").isNull()).over(whole)})
+    shared = rows.filter("node IS NOT NULL AND (before IS NULL OR before <> node) AND (salt >= 0 OR marked OR lo <> hi)")  # a node once: copies come from many lots
+    return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("key").alias("keys")).filter(F.size("keys") >= least_shared("n"))
 
-def similar_sizes(a: str, b: str) -> Column:
-    """Whether sets of these sizes can link."""
-    return (100 * F.least(a, b).cast("long")) >= (PERCENT * F.greatest(a, b).cast("long"))
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(set_id(own), len(own)) for own in shingle_sets(batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "ref", "node", "n"])
 
-def shared_keys(sets: DataFrame) -> DataFrame:
-    """key, node, n, salt, hub, hub_n, prev, prev_n: sets under keys that several sets have.
 
-    Under each key the sets are in order of size; those of a band of sizes have its first one as hub, and the first
-    of a band has the set before it as prev.
-    """
-    rows = sets.filter("keys IS NOT NULL").select("node", "n", F.col("frequent_from"), F.posexplode("keys").alias("pos", "key"))
-    salt = F.when(F.col("pos") >= F.col("frequent_from"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(-1)
-    rows = rows.select("key", salt.alias("salt"), "n", "node", F.floor(F.log("n") / F.log(F.lit(1.15))).cast("int").alias("band"))
-    w = Window.partitionBy("key", "salt").orderBy("n", "node")
-    rows = rows.withColumn("same", F.lag("node").over(w)).filter("same IS NULL OR same <> node").drop("same")  # copies from other batches
-    rows = rows.withColumns({"prev": F.lag("node").over(w), "prev_n": F.lag("n").over(w), "prev_band": F.lag("band").over(w), "next": F.lead("node").over(w)})
-    rows = rows.filter("salt >= 0 OR prev IS NOT NULL OR next IS NOT NULL")
-    band = Window.partitionBy("key", "salt").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.when(F.col("prev_band").isNull() | (F.col("prev_band") != F.col("band")), F.struct("node", "n"))
-    rows = rows.withColumn("hub", F.last(first, ignorenulls=True).over(band))
-    return rows.select("key", "node", "n", "salt", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "prev", "prev_n")
-
-
-def hub_pairs(shared: DataFrame) -> DataFrame:
-    """a, b: each set and those it shares most keys with, among the hubs and the next smaller sets under its keys.
-
-    The groups that a frequent key's sets are dealt to are linked by their first sets.
-    """
-    to_hub = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("a_n"), F.col("n").alias("b_n"))
-    to_prev = shared.filter("prev IS NOT NULL AND prev <> hub").select(F.col("prev").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("a_n"), F.col("n").alias("b_n"))
-    across = Window.partitionBy("key").orderBy("n", "node")
-    starts = shared.filter("salt >= 0 AND prev IS NULL").select("key", "node", "n")
-    starts = starts.withColumns({"a": F.lag("node").over(across), "a_n": F.lag("n").over(across)}).filter("a IS NOT NULL").select("a", F.col("node").alias("b"), "a_n", F.col("n").alias("b_n"))
-    pairs = to_hub.unionByName(to_prev).unionByName(starts).filter(similar_sizes("a_n", "b_n")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("b_n").alias("b_n"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    return pairs.filter("16 * shared >= 0.25D * b_n").withColumn("best", best).filter(F.col("best") <= HUBS).select("a", "b")
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each node once a task; other texts under the same doc_id go."""
+    seen: set[int] = set()
+    for batch in batches:
+        kept = []
+        for i, (node, own) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True)):
+            if node not in seen and set_id(own) == node:
+                seen.add(node)
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
 class SignatureTree:
-    """Sets in order of size under nodes that hold the OR of their bitmaps, the range of their sizes, and their label if they share one."""
+    """Sets under nodes that hold the OR of their bitmaps and the range of their sizes.
 
-    def __init__(self, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray):
+    labels tells the component of each set by its place in `at` and may change while pairs are read: nodes whose
+    sets are all of one component are left out.
+    """
+
+    def __init__(self, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, at: np.ndarray | None = None):
         self.sizes, self.labels, self.sigs = sizes, labels, sigs
+        self.at = np.arange(len(sizes)) if at is None else at
         self.pops = np.bitwise_count(sigs).sum(axis=1).astype(np.int64)
         self.spans: list[tuple[int, int]] = []
         self.kids: list[tuple[int, int] | None] = []
@@ -234,12 +208,15 @@ class SignatureTree:
             mid = (lo + hi) // 2
             kids = self._build(lo, mid), self._build(mid, hi)
             bits = self.facts[kids[0]][0] | self.facts[kids[1]][0]
-        label = self.labels[lo] if (self.labels[lo:hi] == self.labels[lo]).all() else None
         self.spans.append((lo, hi))
         self.kids.append(kids)
-        self.facts.append((bits, int(self.sizes[lo]), int(self.sizes[hi - 1]), int(self.pops[lo:hi].min()), label))
+        self.facts.append((bits, int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max()), int(self.pops[lo:hi].min())))
         return len(self.spans) - 1
 
+    def _label(self, node: int) -> int | None:
+        own = self.labels[self.at[slice(*self.spans[node])]]
+        return int(own[0]) if (own == own[0]).all() else None
+
     def pairs(self, other: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of this and the other tree with different labels that may link; for a tree and itself, each pair once.
 
@@ -248,8 +225,11 @@ class SignatureTree:
         todo = [(self.root, other.root)]
         while todo:
             a, b = todo.pop()
-            (a_bits, a_min, a_max, a_pop, a_label), (b_bits, b_min, b_max, b_pop, b_label) = self.facts[a], other.facts[b]
-            if 100 * min(a_max, b_max) < PERCENT * max(a_min, b_min) or a_label is not None and a_label == b_label:
+            (a_bits, a_min, a_max, a_pop), (b_bits, b_min, b_max, b_pop) = self.facts[a], other.facts[b]
+            if 100 * min(a_max, b_max) < PERCENT * max(a_min, b_min):
+                continue
+            label = self._label(a)
+            if label is not None and label == other._label(b):
                 continue
             common = int(np.bitwise_count(a_bits & b_bits).sum())
             most = min(a_max - max(0, a_pop - common), b_max - max(0, b_pop - common))
@@ -259,7 +239,7 @@ class SignatureTree:
                 yield from self._leaves(other, self.spans[a], other.spans[b], self is other and a == b)
             elif other is self and a == b:
                 x, y = self.kids[a]
-                todo += [(x, x), (x, y), (y, y)]
+                todo += [(x, y), (y, y), (x, x)]  # the halves come first: what they join is left out between them
             elif other.kids[b] is None or self.kids[a] is not None and self.spans[a][1] - self.spans[a][0] >= other.spans[b][1] - other.spans[b][0]:
                 todo += [(x, b) for x in self.kids[a]]
             else:
@@ -270,7 +250,7 @@ class SignatureTree:
         both = np.bitwise_count(self.sigs[p, None, :] & other.sigs[None, q, :]).sum(axis=2).astype(np.int64)
         n, m = self.sizes[p, None], other.sizes[None, q]
         most = np.minimum(n - (self.pops[p, None] - both), m - (other.pops[None, q] - both))
-        may = ((100 + PERCENT) * most >= PERCENT * (n + m)) & (self.labels[p, None] != other.labels[None, q])
+        may = ((100 + PERCENT) * most >= PERCENT * (n + m)) & (self.labels[self.at[p]][:, None] != other.labels[other.at[q]][None, :])
         if same:
             may = np.triu(may, 1)
         i, j = np.nonzero(may)
@@ -278,110 +258,114 @@ class SignatureTree:
             yield i + x[0], j + y[0]
 
 
-def tree_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: all pairs of sets with a common key that lie in different components and that signatures can't tell apart.
+def joined_labels(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs (label, label) that make one component of all whose sets link, at most as many as there are labels.
 
-    Keys whose sets are all in one component have nothing to add. Keys whose smallest component is the same have
-    mostly the same sets, which are searched once for all of them. Their sets meet in trees of TREE sets at most; a
-    larger group is dealt to all pairs of its trees.
+    The sets of each width of signature are in one tree a side, or one in all; the trees are traversed in pairs and
+    what the signatures don't rule out is compared shingle by shingle, unless its labels have met meanwhile.
     """
-    rows = shared.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rows = rows.join(keys.select("key", "lo"), "key").groupBy(F.col("lo").alias("key"), "node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
-    rows = staged(rows, "mixed-keys")
-    rows = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees")), "key")
-    sigs = sets.filter("sig IS NOT NULL").select("node", "sig").join(rows.select("node").distinct(), "node").groupBy("node").agg(F.first("sig").alias("sig"))
-    part = F.pmod(F.xxhash64("node"), F.col("trees")).cast("int")
-    rows = rows.join(sigs, "node").withColumn("part", part)
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    rows = rows.select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), F.col("part"), "n", "node", "label", "sig")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            sides: dict[int, list] = {}
-            for part, n, node, label, sig in held:
-                sides.setdefault(part, []).append((n, node, label, sig))
-            if group is None or group[1] != group[2] and len(sides) < 2:
-                return
-            classes: dict[int, list[list]] = {}
-            for side, part in enumerate(sorted(sides)):
-                for row in sides[part]:
-                    classes.setdefault(len(row[3]) // 8, [[], []])[side].append(row)
-            # sets of one width meet at it; those of two widths, if they can link at all, at the smaller one
-            for width, own in sorted(classes.items()):
-                for other in (width, 2 * width):
-                    if other in classes:
-                        for x, y in {(0, 0)} if len(sides) == 1 else {(0, 1)} if width == other else {(0, 1), (1, 0)}:
-                            yield from matched(own[x], classes[other][y], width, width == other and x == y)
-
-        def matched(left: list, right: list, width: int, same: bool) -> Iterator[pa.RecordBatch]:
-            if not left or not right:
-                return
-            (a, x), (b, y) = (grown(side, width) for side in ((left, left) if same else (left, right)))
-            b, y = (a, x) if same else (b, y)
-            for i, j in a.pairs(b):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j]))], names=["a", "b"])
-
-        def grown(rows: list, width: int) -> tuple[SignatureTree, np.ndarray]:
-            n, node, label, sig = zip(*rows, strict=True)
-            bits = np.frombuffer(b"".join(sig), np.uint64).reshape(len(n), -1)
-            return SignatureTree(np.array(n, np.int64), np.array(label, np.int64), _folded(bits, width)), np.array(node, np.int64)
-
-        for batch in batches:
-            for key, p, q, *row in rows_of(batch, "key", "p", "q", "part", "n", "node", "label", "sig"):
-                if (key, p, q) != group:
-                    yield from found()
-                    group, held = (key, p, q), []
-                held.append(row)
-        yield from found()
-
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n", "node").mapInArrow(search, "a long, b long").distinct()
-
-
-def between(pairs: DataFrame, labels: DataFrame, tries: int | None) -> DataFrame:
-    """a, b, tried: the pairs of different components; tried are `tries` of each two components, or all."""
-    for x in "ab":
-        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-    pairs = pairs.filter("label_a <> label_b")
-    if tries is None:
-        return pairs.select("a", "b", F.lit(True).alias("tried"))
-    two = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy(F.xxhash64("a", "b"), "a", "b")
-    return pairs.select("a", "b", (F.row_number().over(two) <= tries).alias("tried"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets link by their texts. reps: node, doc and ref (a document that has the set; ref tells those without id).
-
-    The sets that one set is compared with come in chunks, each with a copy of that set's text.
-    """
-    pairs = staged(pairs, "pairs")
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    heads = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("node"))
-    members = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("node"))
-    needed = staged(heads.unionByName(members).join(reps, "node"), "needed")
-    same = docs["doc_id"].eqNullSafe(needed["doc"]) & docs["ref"].eqNullSafe(needed["doc_ref"])
-    texts = docs.join(needed, same).select("a", "chunk", "node", "text")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, np.empty(0, np.uint64)
-        for batch in batches:
-            out = []
-            for (a, chunk, node), other in zip(rows_of(batch, "a", "chunk", "node"), shingle_sets(batch.column(3).to_pylist()), strict=True):
-                if a == node:
-                    if (a, chunk) != head or set_id(own) != a:
-                        head, own = (a, chunk), other
+    first, labels = labels, labels.copy()
+    sizes = np.array([len(own) for own in sets], np.int64)
+    known, every = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(every, np.cumsum(sizes)[:-1])
+    held = np.zeros(len(known), bool)
+    classes: dict[int, list[list[int]]] = {}
+    sigs = [signature(x) for x in sets]
+    bands = np.floor(np.log(sizes) / math.log(1.15))
+    for i in np.lexsort((nodes, [x[0] for x in sets], bands)).tolist():  # sets of like size and the same smallest shingle stand together
+        classes.setdefault(len(sigs[i]) // 8, [[], []])[sides[i]].append(i)
+    grown: dict[tuple, SignatureTree] = {}
+
+    def tree(width: int, side: int, folded: int) -> SignatureTree:
+        if (width, side, folded) not in grown:
+            at = classes[width][side]
+            bits = np.frombuffer(b"".join(sigs[i] for i in at), np.uint64).reshape(len(at), -1)
+            grown[width, side, folded] = SignatureTree(sizes[at], labels, _folded(bits, folded), np.array(at))
+        return grown[width, side, folded]
+
+    def compare(a: SignatureTree, b: SignatureTree) -> None:
+        for i, j in a.pairs(b):
+            i, j = a.at[i], b.at[j]
+            for x in np.unique(i):
+                others = j[i == x]
+                others = others[labels[others] != labels[x]]
+                if not len(others):
                     continue
-                if head != (a, chunk) or set_id(own) != a or set_id(other) != node:
-                    continue  # another text under the same doc_id
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= PERCENT * (len(own) + len(other) - both):
-                    out.append((a, node))
-            cols = list(zip(*out, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+                held[own[x]] = True
+                both = np.add.reduceat(held[np.concatenate([own[y] for y in others])].astype(np.int64), np.cumsum(np.append(0, sizes[others[:-1]])))
+                held[own[x]] = False
+                for y in others[100 * both >= PERCENT * (sizes[x] + sizes[others] - both)]:
+                    p, q = sorted((labels[x], labels[y]))
+                    labels[labels == q] = p
+
+    two = bool(sides.any())
+    for width in sorted(classes):
+        for other in (width, 2 * width):  # sets that can link have the same width or one twice the other, and meet at the smaller
+            if other in classes:
+                for x, y in [(0, 0)] if not two else [(0, 1)] if width == other else [(0, 1), (1, 0)]:
+                    if classes[width][x] and classes[other][y]:
+                        compare(tree(width, x, width), tree(other, y, width))
+    return sorted(set(zip(labels[labels != first].tolist(), first[labels != first].tolist(), strict=True)))
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, p, q, side, node, label, text) sorted by group, p, q: the edges that each group's trees find."""
+    group, held = None, {}
+
+    def found() -> pa.RecordBatch:
+        edges: list[tuple[int, int]] = []
+        if len(held) > 1 and (group[1] == group[2] or len({side for side, *_ in held.values()}) > 1):
+            sides, labels, texts = zip(*held.values(), strict=True)
+            edges = joined_labels(np.fromiter(held, np.int64, len(held)), np.array(labels, np.int64), np.array(sides), list(shingle_sets(list(texts))))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for g, p, q, side, node, label, text in rows_of(batch, "group", "p", "q", "side", "node", "label", "text"):
+            if (g, p, q) != group:
+                yield found()
+                group = (g, p, q)
+            held[node] = (side, label, text)
+    yield found()
+
 
-    return texts.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("node")).mapInArrow(compare, "a long, b long").distinct()
+def tree_links(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
+    """a, b: edges between the labels of sets that link and have a common group. members: group, node, n, label.
+
+    A group's sets are dealt to trees of bounded size. Only the sets of one tree meet if not `whole`; else every two
+    trees of a group do. Either way a task's edges are fewer than its sets.
+    """
+    members = staged(members, "members")
+    size = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    size = size.select("group", F.greatest(F.ceil(F.col("sets") / TREE), F.ceil(F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
+    part = F.pmod(F.xxhash64("node", "group"), F.col("trees")).cast("int")
+    rows = members.join(size, "group").withColumn("part", part)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)) if whole else F.col("part"))
+    rows = rows.select("group", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label")
+    rows = rows.join(texts, "node").withColumn("side", (F.col("part") != F.col("p")).cast("int")).drop("part")
+    edges = staged(rows.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(_search, "a long, b long").distinct(), "links")
+    discard(members)
+    return edges
+
+
+def first_groups(sets: DataFrame) -> DataFrame:
+    """Each set under its first keys, where near copies mostly meet."""
+    return sets.select(F.explode(F.slice(F.array_sort("keys"), 1, FIRST_KEYS)).alias("group"), "node", "n", F.col("node").alias("label"))
+
+
+def split_groups(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups in which every two sets of different components meet that may link.
+
+    Such sets share least_shared() keys, all of them with several components. A set with fewer of them is done; of c
+    it needs the first c - least_shared() + 1 in a common order, the rarest first. Keys with the same smallest label
+    have mostly the same sets and make one group.
+    """
+    sets = staged(sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    rows = sets.select("node", "n", "label", F.explode("keys").alias("key"))
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("times")).filter("lo <> hi")
+    left = rows.join(keys.select("key", "lo", "times"), "key").groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("times", "key", "lo"))).alias("own"))
+    left = left.withColumn("spare", F.size("own") - least_shared("n")).filter("spare >= 0")
+    return left.select(F.explode(F.array_distinct(F.expr("slice(own, 1, CAST(spare AS INT) + 1).lo"))).alias("group"), "node", "n", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -396,19 +380,26 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         found = staged(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = found.select("node", "label")
-        if found.filter("old <> label").isEmpty():
-            return labels
+        discard(labels)
+        labels, changed = found, not found.filter("old <> label").isEmpty()
+        if not changed:
+            discard(both)
+            return labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
-    1. Equal sets become one node. Two sets that link share one of their first shingles in a common order (keys).
-    2. Under each key every set is compared, by text, with a hub of like size; that connects most groups of copies.
-    3. Keys whose sets are still in different components are searched whole by signature trees; what their bounds
-       don't rule out is compared by text. So every link within or between components is accounted for, and a
-       group of copies costs in proportion to its size.
+    1. Equal sets become one node. A set's keys are its first shingles in order of hash, so many that sets that link
+       share a certain number of keys, not just one. A set that shares fewer with all others together links with
+       none: most sets of a corpus end here.
+    2. The others are joined by signature trees under two of their keys each, which connects groups of copies.
+    3. Keys whose sets are still in different components are searched whole by signature trees. Each tree compares
+       what its bounds leave over shingle by shingle and yields only edges that join components, so a group of
+       copies costs in proportion to its size, and no pair is written but those.
+
+    A group with more sets than a tree holds, all different and still of different components after step 2, is dealt
+    to all pairs of its trees: its texts are shipped as often as it has trees, its output stays in proportion.
 
     Null and empty texts have no shingles and link with nothing. A row with a null id takes part by its text.
     Repeated rows share their component; if rows of one id differ, each text is a set of its own. An
@@ -416,26 +407,20 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, str] = ("doc_id", "text
     """
     key, text = columns
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.withColumn("ref", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    sets = staged(keyed_sets(docs), "sets")
-    shared = staged(shared_keys(sets), "shared-keys")
-    reps = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("ref").alias("doc_ref")), "reps")
-    reps = reps.withColumn("doc_ref", F.when(F.col("doc").isNull(), F.col("doc_ref")))
-    # each text without id once, however many rows have it
-    nameless = staged(docs.filter("doc_id IS NULL").dropDuplicates(["ref"]), "nameless")
-    docs = docs.filter("doc_id IS NOT NULL").unionByName(nameless)
-    near = staged(verified(hub_pairs(shared), docs, reps), "links")
+    docs = docs.withColumn("ref", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).select("doc_id", "ref", "text")
+    keyed = staged(keyed_sets(docs), "keyed-sets")
+    sets = staged(docs.mapInArrow(_sets, "doc_id long, ref long, node long, n int"), "sets")
+    # each node with the smallest id that has its set; only those without any go by the hash of the text
+    reps = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("ref").alias("doc_ref"))
+    reps = staged(reps.withColumn("doc_ref", F.when(F.col("doc").isNull(), F.col("doc_ref"))), "reps")
+    needed = keyed.select("node").join(reps, "node")
+    same = docs["doc_id"].eqNullSafe(needed["doc"]) & docs["ref"].eqNullSafe(needed["doc_ref"])
+    texts = staged(docs.join(needed, same).select("node", "text").mapInArrow(_own_texts, "node long, text string"), "keyed-texts")
+    near = tree_links(first_groups(keyed), texts, whole=False)
     labels = components(near)
-    rest = staged(tree_pairs(shared, sets, labels), "tree-pairs")
-    for tries in (TRIES, None):
-        # two components that link are mostly found to at the first pairs; pairs within one add nothing
-        rest = staged(between(rest, labels, tries), "tree-pairs")
-        tried = rest.filter("tried").select("a", "b")
-        if tried.isEmpty():
-            break
-        near = near.unionByName(staged(verified(tried, docs, reps), "links"))
-        labels = components(near)
-        rest = rest.filter("NOT tried").select("a", "b")
+    rest = tree_links(split_groups(keyed, labels), texts, whole=True)
+    labels = components(near.unionByName(rest))
+    discard(keyed, texts, near, rest)
     whole = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = whole.groupBy("label").agg(F.min("doc").alias("component_id"))
     of = whole.join(smallest, "label").select("node", "component_id")
