@@ -102,9 +102,13 @@ def byte_level_encoder(path: str) -> Callable[[str], np.ndarray]:
         joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         ids = [vocab[j] for j in joined]
         plain = ids == sorted(ids) and len(set(ids)) == len(ids) and all(min(ids, default=256) > vocab[c] for c in back if c in vocab)
-    slow = library_tokenizer(path)
+
+    def slow(text: str) -> np.ndarray:
+        # read when first needed: a worker that needs the fast one alone holds no second vocabulary
+        return np.asarray(library_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     if not plain:
-        return lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return slow
 
     import public_tokenizers
     import tiktoken
@@ -116,7 +120,7 @@ def byte_level_encoder(path: str) -> Callable[[str], np.ndarray]:
         if not text:
             return np.empty(0, dtype=np.uint32)
         if any(s in text for s in added):
-            return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return slow(text)
         return fast.encode_to_numpy(text, disallowed_special=())
 
     return encode

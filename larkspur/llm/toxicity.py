@@ -15,22 +15,23 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import rows_of
 
-#: Labelled documents of either class that the lexicon and the weights are fitted on, at most.
+#: Labelled documents of either class that the lexicon and the weights are fitted on, at most. All that is learnt, and so
+#: what comes to the driver, is bounded by the words of these documents.
 FIT_ROWS = 10_000
-#: Terms and stems in the lexicon at most, the best supported first.
-MOST_TERMS = 4000
 #: A term is kept if so many times likelier in toxic documents, in so many of them, and with this likelihood-ratio statistic.
 LEAST_RATIO, LEAST_DOCS, LEAST_G = 6.0, 3, 20.0
 #: Lengths of the word stems that may stand for all words that begin with them.
 STEMS = (4, 5, 6, 7, 8)
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 6
-#: Distinct words whose match a task remembers.
-CACHE_WORDS = 500_000
+#: Distinct words whose match a task remembers, and states of its automaton; what is forgotten is worked out again.
+CACHE_WORDS, STATES = 100_000, 20_000
 
-# fixed values: words that report speech or speak of words, and quotation marks
+# fixed values: words that report speech or speak of words
 REPORTING = frozenset("said says called calling quote quoted quotes word words term terms wrote writes insult insults slur slurs dit appelle mot sagte nannte wort dijo llama palabra".split())
-_MARKS = "\"“”„«»‘’'`"
+# Quotation marks; one between two letters is an apostrophe.
+_MARK = re.compile(r"[\"“”„«»]|(?<!\w)['’‘`]|['’‘`](?!\w)")
+_OPENS, _CLOSES = re.compile(r"(?:^|(?<=[\s(\[{]))[\"“„«»'’‘`](?=\w)"), re.compile(r"(?<=[\w.,;:!?])[\"“”«»'’‘`](?=$|[\s.,;:!?)\]}])")
 _WORD = re.compile(r"[^\W_]+(?:[^\w\s][^\W_]+)*")
 _PART = re.compile(r"[^\W_]+")
 
@@ -48,7 +49,7 @@ class LexiconAutomaton:
     every word that begins with it exactly; a term accepts words within allowed_edits() of it.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], states: int = 200_000):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], states: int = STATES):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[float | None] = [None]
         self.stem: list[float | None] = [None]
@@ -190,8 +191,12 @@ def features(text: str, match) -> tuple[float, float, float, float]:
 def _quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> float:
     """0 for plain use up to 1 for quotation, from the words and marks within WINDOW words of the hit."""
     lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-    left, right = text[spans[lo][0] : spans[i][0]], text[spans[i][1] : spans[hi - 1][1] + 1]
-    opened = any(c in _MARKS for c in left) and any(c in _MARKS for c in right)
+    left, right = text[max(0, spans[lo][0] - 1) : spans[i][1]], text[spans[i][0] : spans[hi - 1][1] + 2]
+    at, length = spans[i][0] - max(0, spans[lo][0] - 1), spans[i][1] - spans[i][0]
+    before = max((m.start() for m in _MARK.finditer(left) if m.end() <= at), default=None)
+    after = next((m.start() for m in _MARK.finditer(right) if m.start() >= length), None)
+    # the nearest mark on the left opens and the nearest on the right closes: they enclose the hit
+    opened = before is not None and after is not None and _OPENS.match(left, before) is not None and _CLOSES.match(right, after) is not None
     reported = any(w in REPORTING for w in words[lo:hi])
     return 0.9 if opened and reported else 0.6 if opened else 0.5 if reported else 0.0
 
@@ -260,38 +265,45 @@ def held_out(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns lexicon and weights from labels of documents that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, columns: tuple[str, str] = ("doc_id", "text")) -> Model:
+    """Learns lexicon and weights from labels (doc_id, toxic) of documents that aren't held out.
 
     Of either class the fit_rows labelled documents with the smallest hash of the id are used; only they are read
     past the join, and only bounded tables come to the driver: the lexicon and the features of these documents.
+    Equal texts count once, as toxic if one of them is. Without texts of both classes all get one score, as clean.
     """
-    spark = docs.sparkSession
+    spark, (key, text) = docs.sparkSession, columns
     rated = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r["count"] for r in rated.groupBy("toxic").count().collect()}
     chosen = [r for y in (0, 1) for r in rated.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()]
+    nothing = Model({}, {}, frozenset(), (-2.0, 0.0, 0.0, 0.0, 0.0))
     if not n.get(0) or not n.get(1):
-        return Model({}, {}, frozenset(), (-2.0 if not n.get(1) else 0.0, 0.0, 0.0, 0.0, 0.0))
+        return nothing
     few = F.broadcast(spark.createDataFrame(chosen, rated.schema))  # 2 * fit_rows rows at most
-    sample = docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["text"]).select("text", "toxic").persist()
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(few, "doc_id")
+    sample = own.groupBy("text").agg(F.max("toxic").alias("toxic")).persist()
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
+    if not n_clean or not n_toxic:
+        return nothing
     counts = sample.mapInArrow(_counts, "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     likelier = (F.col("toxic") + 0.5) / (n_toxic + 1) >= LEAST_RATIO * (F.col("clean") + 0.5) / (n_clean + 1)
     kept = counts.filter((F.col("toxic") >= LEAST_DOCS) & likelier).withColumn("g", _g_statistic(n_clean, n_toxic)).filter(F.col("g") >= LEAST_G)
-    terms, stems = _lexicon(kept.orderBy(F.desc("g"), "name").limit(MOST_TERMS).collect(), n_clean, n_toxic)
+    terms, stems = _lexicon(kept.orderBy(F.desc("g"), "name").collect(), n_clean, n_toxic)
     draft = Model(terms, stems, frozenset(), ())
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of clean documents that would pass as misspellings."""
-        match, found = draft.matcher(), Counter()
+        """Documents of either class with each word that would pass as a misspelling, or is a part of one that would."""
+        match, found = draft.matcher(), (Counter(), Counter())
         for batch in batches:
             for text, toxic in rows_of(batch, "text", "toxic"):
-                if not toxic:
-                    found.update({p for w in set(_WORD.findall((text or "").lower())) if (m := match(w)) and m[1] for p in [w, *_PART.findall(w)]})
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                found[toxic].update({p for w in set(_WORD.findall((text or "").lower())) if (m := match(w)) and m[1] for p in [w, *_PART.findall(w)]})
+        words = list(found[0] | found[1])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([f[w] for w in words], pa.int64()) for f in found)], names=["word", "clean", "toxic"])
 
-    innocent = frozenset(r.word for r in sample.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(50_000).collect())
+    passing = sample.mapInArrow(near, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # a word is innocent if it is likelier in clean documents: one mislabelled document doesn't clear a misspelling
+    innocent = frozenset(r.word for r in passing.filter((F.col("clean") > 0) & ((F.col("clean") + 0.5) / (n_clean + 1) >= (F.col("toxic") + 0.5) / (n_toxic + 1))).collect())
     model = Model(terms, stems, innocent, ())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,14 +331,16 @@ def score_toxicity(docs: DataFrame, model: Model, columns: tuple[str, str] = ("d
         b0, *b = model.weights
         for batch in batches:
             out = []
-            for t in batch.column(2):
+            for t in batch.column(at):
                 x = features(t.as_py() or "", match)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + sum(i * j for i, j in zip(b, x, strict=True)))))))
-            got, also = pa.array(out, pa.float64()), range(3, 3 + len(carried))
+            got, also = pa.array(out, pa.float64()), range(first, first + len(carried))
             columns = [batch.column(0), batch.column(1), got, pa.array([int(s >= 0.5) for s in out], pa.int32()), *(batch.column(i) for i in also)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", *carried])
 
     carried = [c for c in carry if c != "doc_id"]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text_scored"), *carried)
+    at = 2 + carried.index(text) if text in carried else 2  # a text that is carried goes to the workers once
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), *[F.col(text).alias("text_scored")][: text not in carried], *carried)
+    first = 2 + (text not in carried)
     kinds = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in carried)
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int" + kinds)

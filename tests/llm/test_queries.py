@@ -126,3 +126,28 @@ def test_null_ids_link_by_their_texts(spark):
     from larkspur.llm.ngramjoin import near_duplicates
 
     assert {r.component_id for r in near_duplicates(df).collect()} == {7}
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, "a b c d e f", "en", None, 11), (1, "a b c d e f", "de", "s", 11), (None, None, None, None, None), (None, "", "en", "t", 0), (2, "w " * 30_000, "en", "s", 60_000), (3, "A b c d e f", "en", "s", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"row": F.lit("x"), "predicted": F.lit(5), "copy": F.array(F.lit(1)), "times": F.create_map(F.lit("k"), F.lit(2)), "other_0": F.lit(0.5)})
+    empty = docs.limit(0)
+    for name, stage in c.STAGES:
+        if name == "packing":
+            assert stage(spark, empty, DATA).count() == 0 and {(r.doc_id, r.doc_tokens) for r in stage(spark, docs, DATA).collect()} >= {(None, 1)}
+            continue
+        assert stage(spark, empty, DATA).count() == 0
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns and [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in docs.schema]
+        found = got.collect()
+        assert all((r["row"], r.predicted, r.copy, r.times, r.other_0) == ("x", 5, [1], {"k": 2}, 0.5) for r in found)
+        own = collections.Counter(tuple(r)[:5] for r in found)
+        if name == "toxicity":
+            assert own == collections.Counter(rows)
+        if name == "ngram_jaccard_join":
+            assert own == collections.Counter([rows[1], rows[2], rows[3], rows[4]])
+        if name == "mixing":
+            assert set(own) <= set(rows) and max(own.values()) <= 2
