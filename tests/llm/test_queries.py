@@ -141,7 +141,7 @@ def test_stages_on_odd_rows(spark):
             continue
         assert stage(spark, empty, DATA).count() == 0
         got = stage(spark, docs, DATA)
-        assert got.columns == docs.columns and [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in docs.schema]
+        assert got.dtypes == docs.dtypes
         found = got.collect()
         assert all((r["row"], r.predicted, r.copy, r.times, r.other_0) == ("x", 5, [1], {"k": 2}, 0.5) for r in found)
         own = collections.Counter(tuple(r)[:5] for r in found)
