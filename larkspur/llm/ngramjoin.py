@@ -20,8 +20,8 @@ WORDS, PERCENT = 5, 75
 EXTRA = 8
 #: Least and most bits of a set's signature; a set has 4 to 8 bits a shingle between them.
 LEAST_BITS, MOST_BITS = 2048, 65_536
-#: Sets in a leaf of a signature tree; sets and shingles that one tree holds.
-LEAF, TREE, TREE_SHINGLES = 32, 4096, 1 << 21
+#: Sets in a leaf of a signature tree; sets and shingles that one tree holds, and a share of them that is enough where only trees are searched.
+LEAF, TREE, TREE_SHINGLES, FIRST_SHARE = 32, 4096, 1 << 21, 8
 #: A key in this share of a lot's sets is dealt to so many tasks by lot.
 HOT_SHARE, SALTS = 0.05, 64
 #: Keys by which each set is first joined with others.
@@ -337,7 +337,8 @@ def tree_links(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     """
     members = staged(members, "members")
     size = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    size = size.select("group", F.greatest(F.ceil(F.col("sets") / TREE), F.ceil(F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
+    share = 1 if whole else FIRST_SHARE
+    size = size.select("group", F.greatest(F.ceil(share * F.col("sets") / TREE), F.ceil(share * F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
     part = F.pmod(F.xxhash64("node", "group"), F.col("trees")).cast("int")
     rows = members.join(size, "group").withColumn("part", part)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)) if whole else F.col("part"))
