@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ HOT_SHARE, SALTS = 0.05, 64
 #: Keys by which each set is first joined with others.
 FIRST_KEYS = 2
 #: Bytes of text that are hashed at a time, and whose keys are looked at together.
-LOT_BYTES, KEY_LOT_BYTES = 1 << 20, 1 << 24
+LOT_BYTES, KEY_LOT_BYTES = 1 << 20, 1 << 22
 
 #: A word's hash is the sum of a random number for each byte times a power of an odd number, modulo 2**64.
 _BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -57,13 +57,13 @@ def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(np.add.reduceat(value * power[np.minimum(place, longest)], starts - starts[0])), starts
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct shingles, worked out for many texts at a time.
 
     Two different shingles in a corpus of n meet by chance once in 2**64 / n. A-Z are lower-cased and ASCII white
     space ends words; no other character is touched.
     """
-    for lot in _lots([(t or "").encode().lower() for t in texts]):
+    for lot in _lots((t or "").encode().lower() for t in texts):
         h, starts = _word_hashes(np.frombuffer(b"\n".join(lot), np.uint8))
         firsts = np.cumsum([0, *(len(t) + 1 for t in lot)])
         cuts = np.searchsorted(starts, firsts)
@@ -84,7 +84,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def _lots(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _lots(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     lot, size = [], 0
     for t in texts:
         if lot and size + len(t) > LOT_BYTES:
@@ -169,7 +169,7 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(set_id(own), len(own)) for own in shingle_sets(batch.column(2).to_pylist())]
+        found = [(set_id(own), len(own)) for own in shingle_sets(x.as_py() for x in batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "ref", "node", "n"])
 
 
@@ -178,7 +178,7 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         kept = []
-        for i, (node, own) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True)):
+        for i, (node, own) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(x.as_py() for x in batch.column(1)), strict=True)):
             if node not in seen and set_id(own) == node:
                 seen.add(node)
                 kept.append(i)

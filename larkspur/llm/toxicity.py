@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ STEMS = (4, 5, 6, 7, 8)
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Distinct words whose match a task remembers, and states of its automaton; what is forgotten is worked out again.
-CACHE_WORDS, STATES = 100_000, 20_000
+CACHE_WORDS, STATES = 200_000, 200_000
 
 # fixed values: words that report speech or speak of words
 REPORTING = frozenset("said says called calling quote quoted quotes word words term terms wrote writes insult insults slur slurs dit appelle mot sagte nannte wort dijo llama palabra".split())
@@ -77,54 +78,59 @@ class LexiconAutomaton:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
-        self.moves: list[dict[str, int]] = []
+        self.numbers: dict[bytes, int] = {}
+        self.sets: list[bytes] = []
+        self.moves: dict[int, int] = {}
         self.ends: list[tuple[float, int] | None] = []
         self.stopped: list[float | None] = []
-        self.start = self._number(self._closed({(0, 0)}))
+        self.start = self._number(self._closed([(0, 0)]))
 
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
+    def _closed(self, todo: list[tuple[int, int]]) -> dict[int, int]:
         """With the nodes that missing characters lead to; only the fewest edits of each node are kept."""
         best: dict[int, int] = {}
-        todo = list(states)
         while todo:
             node, e = todo.pop()
             if e > self.edits[node] or best.get(node, 9) <= e:
                 continue
             best[node] = e
-            todo += [(child, e + 1) for child in self.children[node].values()]
-        return frozenset(best.items())
+            if e < self.edits[node]:
+                todo += [(child, e + 1) for child in self.children[node].values()]
+        return best
 
-    def _number(self, states: frozenset) -> int:
+    def _number(self, states: dict[int, int]) -> int:
+        """The number of a set, which is kept as sorted integers: node times 4 and edits."""
         if not states:
             return -1
-        if (n := self.numbers.get(states)) is None:
-            n = self.numbers[states] = len(self.sets)
-            self.sets.append(states)
-            self.moves.append({})
-            accepted = [(self.term[node], e) for node, e in states if self.term[node] is not None and e <= self.own[node]]
+        key = array("i", sorted([node << 2 | e for node, e in states.items()])).tobytes()
+        if (n := self.numbers.get(key)) is None:
+            n = self.numbers[key] = len(self.sets)
+            self.sets.append(key)
+            accepted = [(self.term[node], e) for node, e in states.items() if self.term[node] is not None and e <= self.own[node]]
             self.ends.append(min(accepted, key=lambda x: (x[1], -x[0])) if accepted else None)
-            self.stopped.append(max((self.stem[node] for node, e in states if not e and self.stem[node] is not None), default=None))
+            self.stopped.append(max((self.stem[node] for node, e in states.items() if not e and self.stem[node] is not None), default=None))
         return n
 
     def _move(self, state: int, c: str) -> int:
-        out: set[tuple[int, int]] = set()
-        for node, e in self.sets[state]:
-            out.add((node, e + 1))
-            for d, child in self.children[node].items():
-                out.add((child, e if c == d else e + 1))
-        n = self.moves[state][c] = self._number(self._closed(out))
-        return n
+        out: list[tuple[int, int]] = []
+        for x in memoryview(self.sets[state]).cast("i"):
+            node, e = x >> 2, x & 3
+            if e < self.edits[node]:
+                out.append((node, e + 1))
+                out += [(child, e if c == d else e + 1) for d, child in self.children[node].items()]
+            elif (child := self.children[node].get(c)) is not None:
+                out.append((child, e))
+        return self._number(self._closed(out))
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the nearest term or the heaviest stem that accepts the word."""
-        if len(self.sets) > self.most_states:
+        if len(self.sets) > self.most_states or len(self.moves) > 4 * self.most_states:
             self._forget()
         state, stem = self.start, None
         for c in word:
-            nxt = self.moves[state].get(c)
-            state = self._move(state, c) if nxt is None else nxt
+            at = state << 21 | ord(c)
+            state = self.moves.get(at, -2)
+            if state == -2:
+                state = self.moves[at] = self._move(at >> 21, c)
             if state < 0:
                 break
             if (s := self.stopped[state]) is not None and (stem is None or s > stem):
