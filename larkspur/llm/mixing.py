@@ -15,15 +15,17 @@ from larkspur.llm.common import staged
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source and size are ranked in this many hash buckets, so that no hot size meets in one task.
 BUCKETS = 256
-#: The dynamic programming works on a remaining budget of about this many words.
-DP_WORDS = 4096
+#: The dynamic programming works on a remaining budget of at least this many words, documents given back for it included.
+DP_WORDS = 1 << 16
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their sizes come as near to the budget as they can from below.
 
-    First each size gives its share of the budget in proportion, rounded down; then the longest documents fill up
-    to DP_WORDS below the budget; a bounded-knapsack table over the rest finds the best remaining sum.
+    First each size gives its share of the budget in proportion, rounded down, and the longest documents fill up to
+    DP_WORDS below the budget. Then the shortest documents are given back until that much is open again, and a
+    bounded-knapsack table over all that isn't taken finds the best sum. So the sum is the best of all for budgets
+    within DP_WORDS, and for larger ones the best that keeps what wasn't given back.
     """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
@@ -35,6 +37,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         n = min(int(counts[i] - take[i]), max(0, left - DP_WORDS) // int(sizes[i]))
         take[i] += n
         left -= n * int(sizes[i])
+    for i in np.argsort(sizes, kind="stable"):
+        n = min(int(take[i]), max(0, DP_WORDS - left) // int(sizes[i]))
+        take[i] -= n
+        left += n * int(sizes[i])
     reached, mask = 1, (1 << (left + 1)) - 1
     came: dict[int, tuple[int, int]] = {}
     for i in np.argsort(-sizes, kind="stable"):

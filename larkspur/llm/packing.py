@@ -15,7 +15,7 @@ from larkspur.llm.common import byte_level_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n.split()[0], pa.int64()) for n in SCHEMA.split(", ")])
-#: Open windows a task holds at most before it closes them densely; each takes 4 * window bytes.
+#: Open windows a task holds at most, 4 * window bytes each; beyond them the fullest is filled up from the emptiest.
 MAX_OPEN = 4096
 
 
@@ -42,48 +42,65 @@ class SumOfSquares:
         growth[-1] -= 1
         growth[1:][n[1 : w + 1 - size] == 0] = np.iinfo(np.int64).max
         h = w - size - int(np.argmin(growth[::-1]))
-        held = self.bins[h].pop() if h else []
-        if h:
-            n[h] -= 1
-            self.open -= 1
+        held = self._taken(h) if h else []
         held.append(piece)
         if h + size == w:
             self.emit(held)
         else:
-            self.bins[h + size].append(held)
-            n[h + size] += 1
-            self.open += 1
-
-    def drain(self) -> list[tuple]:
-        """The pieces of all open windows, fullest window first; windows at a power of two need no padding and are closed as they are."""
-        left = []
-        for h in range(self.window - 1, 0, -1):
-            for held in self.bins[h]:
-                if h & (h - 1) == 0:
-                    self.emit(held)
-                else:
-                    left += held
-            self.bins[h] = []
-        self.level[:] = 0
-        self.open = 0
-        return left
-
-
-def _close_densely(pieces: list[tuple], window: int, emit) -> None:
-    """Cuts the pieces anew so that all windows are full; the tail becomes windows of powers of two, which need no padding."""
-    total = sum(len(p[2]) for p in pieces)
-    sizes = [window] * (total // window) + [1 << b for b in range(total.bit_length() - 1, -1, -1) if (total % window) >> b & 1]
-    rest = list(reversed(pieces))
-    for size in sizes:
-        held, room = [], size
-        while room:
-            doc, start, ids, n = rest.pop()
-            if len(ids) > room:
-                rest.append((doc, start + room, ids[room:], n))
-                ids = ids[:room]
-            held.append((doc, start, ids, n))
-            room -= len(ids)
-        emit(held)
+            self._put(held, h + size)
+
+    def settle(self, most: int) -> None:
+        """Fills the fullest open windows with ids from the emptiest, cutting pieces, until `most` are open.
+
+        So the windows that the rule has filled best keep all their pieces. If none may stay open, windows filled to
+        a power of two, which need no padding, close as they are, and so does the last in parts of powers of two.
+        """
+        if not most:
+            for h in (1 << b for b in range(self.window.bit_length()) if 1 << b < self.window):
+                while self.bins[h]:
+                    self.emit(self._taken(h))
+        while self.open > most:
+            h = int(np.flatnonzero(self.level)[-1])
+            held = self._taken(h)
+            while h < self.window and self.open:
+                low = int(np.flatnonzero(self.level)[0])
+                donor, left = self._taken(low), low
+                while donor and h < self.window:
+                    doc, start, ids, n = donor.pop()
+                    size = min(len(ids), self.window - h)
+                    held.append((doc, start + len(ids) - size, ids[len(ids) - size :], n))
+                    if size < len(ids):
+                        donor.append((doc, start, ids[: len(ids) - size], n))
+                    h, left = h + size, left - size
+                if donor:
+                    self._put(donor, left)
+            if h == self.window:
+                self.emit(held)
+            else:
+                self._emit_in_parts(held, h)
+
+    def _taken(self, h: int) -> list[tuple]:
+        self.level[h] -= 1
+        self.open -= 1
+        return self.bins[h].pop()
+
+    def _put(self, held: list[tuple], h: int) -> None:
+        self.bins[h].append(held)
+        self.level[h] += 1
+        self.open += 1
+
+    def _emit_in_parts(self, pieces: list[tuple], total: int) -> None:
+        rest = list(reversed(pieces))
+        for room in (1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1):
+            held = []
+            while room:
+                doc, start, ids, n = rest.pop()
+                if len(ids) > room:
+                    rest.append((doc, start + room, ids[room:], n))
+                    ids = ids[:room]
+                held.append((doc, start, ids, n))
+                room -= len(ids)
+            self.emit(held)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, columns: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
@@ -91,7 +108,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     A document's ids are the tokenizer's and then `end_id`. Whole windows of a long document stand alone; what
     remains is placed by SumOfSquares, separately in each task, so nothing is shuffled and a task that is run
-    again gives the same rows. Windows still open at a task's end are closed densely, cutting pieces where needed.
+    again gives the same rows. Of the windows still open at a task's end the fuller are filled up from the emptier.
     `sequence_id` is the task's number times 2**40 and a count.
 
     Null text counts as empty: one piece with `end_id` alone. Null or repeated ids are kept, each row is packed on
@@ -127,10 +144,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
                     emit([(doc, at, ids[at : at + window], len(ids))])
                 if whole < len(ids):
                     packer.place((doc, whole, ids[whole:].copy(), len(ids)), len(ids) - whole)
-                if packer.open > MAX_OPEN:
-                    _close_densely(packer.drain(), window, emit)
+                packer.settle(MAX_OPEN)
             yield flush()
-        _close_densely(packer.drain(), window, emit)
+        packer.settle(0)
         yield flush()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, SCHEMA)

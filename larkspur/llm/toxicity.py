@@ -27,6 +27,8 @@ STEMS = (4, 5, 6, 7, 8)
 WINDOW = 6
 #: Distinct words whose match a task remembers, and states of its automaton; what is forgotten is worked out again.
 CACHE_WORDS, STATES = 200_000, 200_000
+#: Rows that a task hands back at a time.
+HANDED_ROWS = 1000
 
 # fixed values: words that report speech or speak of words
 REPORTING = frozenset("said says called calling quote quoted quotes word words term terms wrote writes insult insults slur slurs dit appelle mot sagte nannte wort dijo llama palabra".split())
@@ -342,7 +344,8 @@ def score_toxicity(docs: DataFrame, model: Model, columns: tuple[str, str] = ("d
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + sum(i * j for i, j in zip(b, x, strict=True)))))))
             got, also = pa.array(out, pa.float64()), range(first, first + len(carried))
             columns = [batch.column(0), batch.column(1), got, pa.array([int(s >= 0.5) for s in out], pa.int32()), *(batch.column(i) for i in also)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", *carried])
+            scored = pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", *carried])
+            yield from (scored.slice(i, HANDED_ROWS) for i in range(0, scored.num_rows, HANDED_ROWS))
 
     carried = [c for c in carry if c != "doc_id"]
     at = 2 + carried.index(text) if text in carried else 2  # a text that is carried goes to the workers once

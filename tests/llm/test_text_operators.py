@@ -79,6 +79,28 @@ def test_sum_of_squares_places_as_brute_force_does():
         assert len(packer.bins[h]) == counts[h]
 
 
+def test_settling_keeps_every_id_and_the_fullest_windows():
+    rng, window, closed = np.random.default_rng(5), 64, []
+    packer = packing.SumOfSquares(window, closed.append)
+    pieces = [(i, 0, np.arange(n), n) for i, n in enumerate(rng.integers(1, window, 300).tolist())]
+    for p in pieces:
+        packer.place(p, p[3])
+        packer.settle(20)
+        assert packer.open <= 20
+    before = [held for h in range(window - 1, 0, -1) for held in packer.bins[h]]
+    packer.settle(0)
+    assert packer.open == 0 and not packer.level.any()
+    assert all(any(set(map(repr, before[0])) <= set(map(repr, w)) for w in closed) for _ in "x")
+    got = collections.defaultdict(list)
+    for held in closed:
+        total = sum(len(ids) for _, _, ids, _ in held)
+        assert total == window or total & (total - 1) == 0
+        for doc, start, ids, _ in held:
+            assert ids.tolist() == list(range(start, start + len(ids)))
+            got[doc] += ids.tolist()
+    assert {d: sorted(x) for d, x in got.items()} == {p[0]: list(range(p[3])) for p in pieces}
+
+
 def test_token_counts_equal_the_library(spark):
     rows = EDGE + [(200 + i, f"token number {i} of {i % 7} the the the") for i in range(300)]
     got = tokencount.count_tokens(documents(spark, rows).repartition(4), BPE, limit=10).collect()
@@ -398,5 +420,14 @@ def test_budget_equals_brute_force():
         sums = {0}
         for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
             sums = {x + k * s for x in sums for k in range(c + 1)}
-        base = np.array([int(c) * budget // max(1, int((sizes * counts).sum())) for c in counts])
-        assert int((sizes * take).sum()) <= budget and (budget - int((sizes * take).sum())) <= min(budget - max(x for x in sums if x <= budget) + int((sizes * base).max() if len(base) else 0), budget)
+        assert int((sizes * take).sum()) == max(x for x in sums if x <= budget)
+
+
+def test_large_budgets_come_to_the_word():
+    rng = np.random.default_rng(10)
+    sizes = np.unique(np.append(rng.integers(3, 20_000, 400), [100_000, 700_000]))
+    counts = rng.integers(1, 50, len(sizes))
+    for share in (0.1, 0.5, 0.97):
+        budget = int((sizes * counts).sum() * share)
+        take = mixing.fit_budget(sizes, counts, budget)
+        assert (take <= counts).all() and (take >= 0).all() and int((sizes * take).sum()) == budget
