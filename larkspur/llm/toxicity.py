@@ -26,7 +26,7 @@ STEMS = (4, 5, 6, 7, 8)
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Distinct words whose match a task remembers, and states of its automaton; what is forgotten is worked out again.
-CACHE_WORDS, STATES = 200_000, 200_000
+CACHE_WORDS, STATES = 500_000, 200_000
 #: Rows that a task hands back at a time.
 HANDED_ROWS = 1000
 
