@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import rows_of, staged
 
-#: A branch goes if its importance is below this and it was seen on so many different pages of the site.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
+#: Pages of a site that must share a node before it is judged.
+LEAST_PAGES = 5
+#: A site's texts fall into two classes if their mean importances differ by so much, with so wide a gap between them.
+CLASSES_APART, CLASS_GAP = 0.06, 0.02
 #: Share of a node's importance that its children keep, by level.
 DECAY = 0.9
 
@@ -59,19 +61,25 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+#: Why an element is noise: by its kind, or only by a word in its class or id.
+KIND, WORD = 1, 2
+
+
 class Node:
     __slots__ = ("tag", "key", "parent", "noise", "article", "children", "sign")
 
-    def __init__(self, tag: str, sign: str, parent: Node | None, noise: bool, article: str | None):
+    def __init__(self, tag: str, sign: str, parent: Node | None, noise: int, article: str | None):
         self.tag, self.sign, self.parent, self.noise, self.article, self.children = tag, sign, parent, noise, article, []
         self.key = _hash(f"{parent.key if parent else 0}/{sign}")
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The page's block elements and its text blocks (element, text) in page order; white space is one space each."""
-    root = Node("#root", "#root", None, False, None)
+    root = Node("#root", "#root", None, 0, None)
     nodes, blocks, buffer = [root], [], []
     stack: list[tuple[str, Node]] = [("#root", root)]
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    open_blocks: list[int] = []
 
     def flush() -> None:
         if buffer:
@@ -80,17 +88,30 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if text:
                 blocks.append((stack[-1][1], text))
 
+    def push(name: str, own: Node) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            open_blocks.append(len(stack))
+        stack.append((name, own))
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            name, _ = stack.pop()
+            places[name].pop()
+            if name in BLOCK:
+                open_blocks.pop()
+
     def close(at: int) -> None:
         flush()
-        del stack[at:]
+        cut(at)
+
+    def place(name: str) -> int:
+        return (places.get(name) or (0,))[-1]
 
     def last(names: tuple[str, ...], until: tuple[str, ...]) -> int | None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in until:
-                return None
-        return None
+        """Where one of the names is open, above all of `until`."""
+        at = max(map(place, names))
+        return at if at and at >= max(map(place, until), default=0) else None
 
     pos = 0
     for m in iter(lambda: _TOKEN.search(html, pos), None):
@@ -104,15 +125,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         name = name.lower()
         if m["end"]:
-            i = last((name,), ("#root",) if name in BLOCK else tuple(BLOCK))
-            if i is not None:
-                if name in BLOCK or any(n in BLOCK for n, _ in stack[i:]):
-                    close(i)
-                else:
-                    dropped = stack[i][1] is not stack[i - 1][1]
-                    if dropped:
-                        flush()
-                    del stack[i:]
+            i = place(name)
+            if i and (name in BLOCK or not open_blocks or i > open_blocks[-1]):
+                if name in BLOCK or stack[i][1] is not stack[i - 1][1]:
+                    flush()
+                cut(i)
             continue
         if name in BLOCK:
             flush()
@@ -127,7 +144,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         noise, article = _prior(name, attrs, above)
         if name in VOID or m["attrs"].endswith("/") and name in ("script", "iframe"):
             continue
-        if name in BLOCK or noise and not above.noise:
+        if name in BLOCK or noise and noise != above.noise:
             flush()
             names = " ".join(sorted(set(_WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))))
             own = Node(name, f"{name}.{names}", above, noise, article)
@@ -139,36 +156,41 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(html, pos)
             raw_end = stop.start() if stop else len(html)
             if name == "title" or name == "textarea":
-                stack.append((name, own))
+                push(name, own)
                 buffer.append(unescape(html[pos:raw_end]))
                 close(len(stack) - 1)
             close_tag = html.find(">", raw_end)
             pos = close_tag + 1 if stop and close_tag >= 0 else len(html)
             continue
-        stack.append((name, own))
+        push(name, own)
     if pos < len(html):
         buffer.append(unescape(html[pos:]))
     flush()
     return nodes, blocks
 
 
-def _prior(name: str, attrs: dict[str, str], above: Node) -> tuple[bool, str | None]:
-    """Whether the element is noise by its kind, and which of article and main it lies in."""
+def _prior(name: str, attrs: dict[str, str], above: Node) -> tuple[int, str | None]:
+    """Why the element is noise, and which of article and main it lies in."""
     inside = "article" if name == "article" or above.article == "article" else "main" if name == "main" or above.article else None
-    if above.noise:
-        return True, above.article
+    if above.noise == KIND:
+        return KIND, above.article
     if name in DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True, above.article
+        return KIND, above.article
     if name == "header" and not above.article:
-        return True, above.article
+        return KIND, above.article
+    noise = above.noise
     if attrs:
         names = attrs.get("class", "").lower(), attrs.get("id", "").lower()
+        if attrs.get("role", "").lower() in DROP_ROLES and name not in ("article", "main", "body", "html"):
+            return KIND, above.article
         if name in ("article", "main", "body", "html"):
             if set(_WORDS.findall(" ".join(names))) & COMMENT_WORDS and name == "article":
-                return True, above.article
-        elif _named_noise(name, *names, bool(above.article)) or attrs.get("role", "").lower() in DROP_ROLES:
-            return True, above.article
-    return False, inside
+                return KIND, above.article
+        elif _named_noise(name, *names, bool(above.article)):
+            # a reader's comment is as unlike others as an article's text: no importance tells them apart
+            comment = set(_WORDS.findall(" ".join(names))) & COMMENT_WORDS
+            noise = KIND if comment else WORD
+    return noise, above.article if noise else inside
 
 
 def _named_noise(name: str, classes: str, own_id: str, inside: bool) -> bool:
@@ -237,11 +259,27 @@ def _importance(rows: pd.DataFrame) -> pd.DataFrame:
         whole[n] = own[n] if not below else (1 - fade) * own[n] + fade * sum(whole[c] * pages[c] for c in below) / sum(pages[c] for c in below)
         most[n] = max([whole[n], *(most[c] for c in below)])
     known = [n for n in order if most[n] < 1 and pages[n] >= LEAST_PAGES]
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "nodes": pd.Series([known], dtype=object), "weights": pd.Series([[most[n] for n in known]], dtype=object)})
+    least = boilerplate_below([own[r.node] for r in rows.itertuples() if r.texts_n >= LEAST_PAGES])
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "nodes": pd.Series([known], dtype=object), "weights": pd.Series([[most[n] for n in known]], dtype=object), "least": [least]})
+
+
+def boilerplate_below(importances: list[float]) -> float | None:
+    """The importance that parts a site's texts in two classes with the largest variance between them, None if there is one class.
+
+    How much a site's chrome varies differs from site to site, but its articles vary more.
+    """
+    x = sorted(importances)
+    best, cut = 0.0, None
+    for i in range(1, len(x)):
+        low, high = sum(x[:i]) / i, sum(x[i:]) / (len(x) - i)
+        between = i * (len(x) - i) * (high - low) ** 2
+        if between > best and high - low >= CLASSES_APART and x[i] - x[i - 1] >= CLASS_GAP:
+            best, cut = between, (x[i] + x[i - 1]) / 2
+    return cut
 
 
 def site_style_trees(pages: DataFrame) -> DataFrame:
-    """host, nodes, weights: the nodes of each site's style tree and the importance of their branches, where below 1.
+    """host, nodes, weights, least: the nodes of each site's style tree, the importance of their branches, where below 1, and that below which they are boilerplate.
 
     Pages of a host are merged: nodes are elements by their path of tags and class words. Copies of one page, or of
     one article, count once. All counting is in aggregates that start inside the scanning tasks; a site meets in one
@@ -254,31 +292,49 @@ def site_style_trees(pages: DataFrame) -> DataFrame:
     sums = [x for name, v in kinds for x in (F.coalesce(F.sum(v), F.lit(0.0)).alias(f"{name}_n"), F.coalesce(F.sum(v * F.log(v)), F.lit(0.0)).alias(f"{name}_l"))]
     nodes = values.groupBy("host", "node", "parent").agg(*sums).filter(F.greatest("styles_n", "texts_n") >= LEAST_PAGES)
     entropy = [F.when(F.col(f"{k}_n") > 0, F.log(f"{k}_n") - F.col(f"{k}_l") / F.col(f"{k}_n")).otherwise(0.0).alias(f"{k}_h") for k in ("styles", "texts")]
-    return nodes.select("host", "node", "parent", "styles_n", "texts_n", *entropy).groupBy("host").applyInPandas(_importance, "host string, nodes array<long>, weights array<double>").filter("size(nodes) > 0")
+    return nodes.select("host", "node", "parent", "styles_n", "texts_n", *entropy).groupBy("host").applyInPandas(_importance, "host string, nodes array<long>, weights array<double>, least double").filter("size(nodes) > 0")
 
 
-def main_text(html: str, weights: dict[int, float] | None = None) -> str:
-    """The page's article: its text blocks joined by newlines, without noise elements and branches of low weight.
+def unimportant(nodes: list[Node], weights: dict[int, float], least: float | None) -> set[int]:
+    """ids of the nodes that go by the site's tree: branches of low importance with all below them.
+
+    Headings, and bare prose inside article and main or bare paragraphs anywhere, don't go on their own: a site's
+    own texts and its boilerplate share them. What the tree doesn't know is rare on the site and follows its parent.
+    """
+    gone: set[int] = set()
+    if least is None:
+        return gone
+    for x in nodes:  # parents come before their children
+        held = x.tag in HEADINGS or x.sign == "p." or x.article and x.tag in PROSE and x.sign == f"{x.tag}."
+        if id(x.parent) in gone or weights.get(x.key, 1.0) < least and not held:
+            gone.add(id(x))
+    return gone
+
+
+def main_text(html: str, weights: dict[int, float] | None = None, least: float | None = None) -> str:
+    """The page's article: its text blocks joined by newlines, without branches that the site's tree finds unimportant and without noise.
+
+    The tree decides first, inside article and main too. On a site whose tree tells two classes of texts apart, words
+    in class and id count for nothing but comments; elsewhere they tell noise. Elements that are noise by their kind
+    go on every site.
 
     If the page has article elements, they count alone, else the main element, else all of the body; but main counts
     whole if its texts beside the articles weigh more than they, and so does the body on a site whose tree is known.
-    A text weighs its length times its branch's importance. Inside article and main no heading goes on its own, and
-    prose only by its class or id: bare elements are shared by a site's own texts and its boilerplate.
+    A text weighs its length times its branch's importance.
     """
     weights = weights or {}
     nodes, blocks = parse(html)
-    gone: set[int] = set()
-    for x in nodes:  # parents come before their children
-        held = x.article and (x.tag in HEADINGS or x.tag in PROSE and x.sign == f"{x.tag}.")
-        # what the tree doesn't know is rare on the site, and stays within an unimportant branch too
-        if weights.get(x.key, 1.0) < LEAST_IMPORTANCE and (not held or id(x.parent) in gone):
-            gone.add(id(x))
-    kept = [(x, t) for x, t in blocks if not x.noise and id(x) not in gone]
+    gone = unimportant(nodes, weights, least)
+
+    def noise(x: Node) -> bool:
+        return x.noise == KIND or x.noise == WORD and least is None
+
+    kept = [(x, t) for x, t in blocks if not noise(x) and id(x) not in gone]
     mass = dict.fromkeys(("article", "main", None), 0.0)
     for x, t in kept:
         mass[x.article] += len(t) * weights.get(x.key, 1.0)
-    inside = {x.article for x in nodes if not x.noise}
-    if "article" in inside and mass["main"] <= mass["article"] and not (weights and "main" not in inside and mass[None] > mass["article"]):
+    inside = {x.article for x in nodes if not noise(x)}
+    if "article" in inside and mass["main"] <= mass["article"] and not (least is not None and "main" not in inside and mass[None] > mass["article"]):
         kept = [(x, t) for x, t in kept if x.article == "article"]
     elif "main" in inside:
         kept = [(x, t) for x, t in kept if x.article]
@@ -288,19 +344,19 @@ def main_text(html: str, weights: dict[int, float] | None = None) -> str:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    Null html counts as empty and gives empty text; pages with a null or odd url share one site without a name.
+    Null html counts as empty and gives empty text; pages with a null or odd url have no site and so no tree.
     Repeated rows are pages of their own. An empty table gives no rows. Extra columns are ignored. Pages of any
     length are read whole; nested elements cost memory in proportion.
     """
     rows = pages.select("page_id", "url", _host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    trees = staged(site_style_trees(rows.select("host", "html")), "style-trees")
+    trees = staged(site_style_trees(rows.filter("host <> ''").select("host", "html")), "style-trees")
     # a small table of trees is broadcast by its size on disk, else the join is shuffled and AQE splits hot sites
     joined = rows.join(trees, "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, dict(zip(n or (), w or (), strict=True))) for h, n, w in rows_of(batch, "html", "nodes", "weights")]
+            texts = [main_text(h, dict(zip(n or (), w or (), strict=True)), least) for h, n, w, least in rows_of(batch, "html", "nodes", "weights", "least")]
             n = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays([batch.column(n("page_id")), batch.column(n("url")), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "nodes", "weights").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "nodes", "weights", "least").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

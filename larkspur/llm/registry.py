@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm import twins
 from larkspur.llm.chat import digest_examples, expand_replies
 from larkspur.llm.common import table, tokenizer_path
 from larkspur.llm.html import extract_main_text
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": twins.CHAT, "op8_ngram_jaccard": twins.NGRAM, "op9_warc": twins.WARC}

@@ -54,11 +54,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
        distinct pre-token of the block, the documents that hold it and how often.
     2. The rows are dealt by pre-token, so each distinct pre-token of the corpus meets in one task and goes to
        the tokenizers library once; its piece count joins the frequencies, which are summed by block at once.
-       A frequent pre-token has one row a block, so no task gets more rows of it than there are blocks.
+       A frequent pre-token has one row a block, and its blocks are dealt to SALTS tasks, each of which counts it once.
     3. The partial sums meet by block, and each block's documents get their totals.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated and null ids are kept as rows of their own. An
-    empty table gives no rows. Extra columns are ignored. Texts of any length are counted whole.
+    empty table gives no rows. Extra columns are ignored. Texts of any length are counted whole. A tokenizer that
+    isn't plain byte-level BPE raises ValueError: its pre-tokens are not what its pieces are made of.
     """
     key, text = columns
 
@@ -82,7 +83,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, columns: tu
             at = np.searchsorted(pair[first] // n, np.arange(len(uniques) + 1)).astype(np.int32)
             # the offsets cut one buffer of pairs by pre-token
             binary = pa.Array.from_buffers(pa.binary(), len(uniques), [None, pa.py_buffer(at * np.int32(_PAIR.itemsize)), pa.py_buffer(pairs.tobytes())])
-            salt = np.where(np.diff(at) > HOT_SHARE * n, hash(block) % SALTS, 0).astype(np.int32)
+            salt = np.where(np.diff(at) > HOT_SHARE * n, (block * 0x9E3779B97F4A7C15 >> 40) % SALTS, 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniques), block)), pa.array(uniques, pa.string()), binary, pa.array(salt)], names=names)
             # a row without a pre-token lists the block's documents: ids, which may be null, and bytes
             listing = json.dumps([batch.column(c).to_pylist() for c in (0, 1)]).encode()

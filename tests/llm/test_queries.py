@@ -151,3 +151,20 @@ def test_stages_on_odd_rows(spark):
             assert own == collections.Counter([rows[1], rows[2], rows[3], rows[4]])
         if name == "mixing":
             assert set(own) <= set(rows) and max(own.values()) <= 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql_twins(spark, sf):
+    import duckdb
+
+    from larkspur.llm.registry import oracle_sql
+
+    folder = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name, sql in oracle_sql().items():
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        got = queries()[name](spark, folder).select(*columns)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall())), name

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import time
 import zlib
 import gzip
 
@@ -183,6 +184,18 @@ def test_importance_decides_inside_articles(spark):
     assert got["http://teasers.com/3"] == "A long text of its own, number 3, about 9"
 
 
+def test_two_classes_of_importance():
+    assert html.boilerplate_below([]) is None and html.boilerplate_below([0.97, 0.98, 0.99]) is None
+    for low, high in (([0.49, 0.56], [0.87, 0.88, 0.97]), ([0.87, 0.87, 0.89], [0.94, 0.99])):
+        assert max(low) < html.boilerplate_below(low + high) < min(high)
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    for page in ("<div>" * 50_000 + "deep", "<span>" * 50_000 + "</b></i>" * 50_000 + "deep", "<p><b>" * 50_000 + "deep"):
+        began = time.process_time()
+        assert html.parse(page)[1][-1][1] == "deep" and time.process_time() - began < 5
+
+
 def toxic_corpus(n=400):
     rng = np.random.default_rng(5)
     plain = [f"w{i:03d}ord" for i in range(300)]
