@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import count_type, is_type, share
+from larkspur.plans.ranking import with_median
 from larkspur.sources.schema import CART, PURCHASE, VIEW
 
 
@@ -43,10 +44,9 @@ def distinct_session_funnel(df: DataFrame) -> DataFrame:
 
 
 def session_characteristics(sessions: DataFrame) -> DataFrame:
-    return sessions.agg(
-        F.avg("duration_sec").alias("avg_duration"), F.percentile("duration_sec", 0.5).alias("median_duration"), F.avg("event_count").alias("avg_events"),
-        (100.0 * F.avg(F.col("has_purchase").cast("int"))).alias("purchase_session_pct"),
-    )
+    bought = 100.0 * F.avg(F.col("has_purchase").cast("int"))
+    totals = sessions.agg(F.avg("duration_sec").alias("avg_duration"), F.avg("event_count").alias("avg_events"), bought.alias("purchase_session_pct"))
+    return with_median(sessions, "duration_sec", "median_duration", totals)
 
 
 def session_conversion(sessions: DataFrame) -> DataFrame:

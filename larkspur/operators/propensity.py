@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import count_type, is_type, share
+from larkspur.plans.ranking import percentiles
 from larkspur.sources.schema import CART, PURCHASE, REMOVE, VIEW
 
 FEATURES = ["events", "sessions", "views", "carts", "removes", "active_span_days", "recency_days"]
@@ -90,7 +91,7 @@ def roc_auc(scored: DataFrame) -> float:
 
 def top_share_metrics(scored: DataFrame, quantile: float = 0.95) -> DataFrame:
     """Precision, recall and lift of the users at or above the score's quantile."""
-    cut = F.broadcast(scored.agg(F.percentile("score", quantile).alias("threshold"), F.avg("target").alias("base_rate")))
+    cut = F.broadcast(scored.agg(F.avg("target").alias("base_rate")).crossJoin(percentiles(scored, "score", (quantile,)).select(F.col("p")[0].alias("threshold"))))
     top = F.col("score") >= F.col("threshold")
     rows = scored.crossJoin(cut).agg(
         F.first("threshold").alias("threshold"), F.first("base_rate").alias("base_rate"), F.count_if(top).alias("selected"), F.sum(F.when(top, F.col("target")).otherwise(0)).alias("hits"), F.sum("target").alias("positives")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.scalars import count_type, day, is_type, revenue, share
+from larkspur.plans.ranking import percentiles, with_median
 from larkspur.sources.schema import CART, PURCHASE, VIEW
 
 
@@ -62,9 +63,9 @@ PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 def price_percentiles(df: DataFrame, approx: bool = False) -> DataFrame:
     """Positive prices. Exact percentiles count every distinct price; approx keeps a bounded sketch instead."""
-    array = F.array(*map(F.lit, PERCENTILES))
-    found = F.percentile_approx("price", array) if approx else F.percentile("price", array)
-    all_ = df.filter("price > 0").agg(F.min("price").alias("min_price"), found.alias("p"), F.max("price").alias("max_price"), F.avg("price").alias("avg_price"))
+    df = df.filter("price > 0")
+    found = df.agg(F.percentile_approx("price", F.array(*map(F.lit, PERCENTILES))).alias("p")) if approx else percentiles(df, "price", PERCENTILES)
+    all_ = df.agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.avg("price").alias("avg_price")).crossJoin(F.broadcast(found))
     return all_.select("min_price", *(F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTILES)), "max_price", "avg_price")
 
 
@@ -109,15 +110,16 @@ def activity_histogram(users: DataFrame) -> DataFrame:
 
 def user_stats(users: DataFrame) -> DataFrame:
     bought = F.count_if(F.col("purchase_count") > 0)
-    return users.agg(
-        F.count("*").alias("total_users"), F.avg("event_count").alias("avg_events"), F.percentile("event_count", 0.5).alias("median_events"), F.max("event_count").alias("max_events"),
-        bought.alias("buyers"), _pct(bought, F.count("*"), 4).alias("conversion_pct"),
+    totals = users.agg(
+        F.count("*").alias("total_users"), F.avg("event_count").alias("avg_events"), F.max("event_count").alias("max_events"), bought.alias("buyers"), _pct(bought, F.count("*"), 4).alias("conversion_pct")
     )
+    return with_median(users, "event_count", "median_events", totals)
 
 
 def user_engagement(summary: DataFrame) -> DataFrame:
     means = [F.avg(c).alias(n) for c, n in (("views", "avg_views"), ("carts", "avg_carts"), ("purchases", "avg_purchases"), ("unique_products", "avg_unique_products"), ("total_spent", "avg_total_spent"))]
-    return summary.agg(F.avg("total_events").alias("avg_events"), F.percentile("total_events", 0.5).alias("median_events"), F.max("total_events").alias("max_events"), *means)
+    totals = summary.agg(F.avg("total_events").alias("avg_events"), F.max("total_events").alias("max_events"), *means)
+    return with_median(summary, "total_events", "median_events", totals)
 
 
 # fixed values: purchases above which a user is in a tier
@@ -133,11 +135,12 @@ def buyer_tiers(summary: DataFrame) -> DataFrame:
 
 
 def product_stats(summary: DataFrame) -> DataFrame:
-    return summary.agg(
+    totals = summary.agg(
         F.avg("total_events").alias("avg_events"), F.avg("views").alias("avg_views"), F.avg("carts").alias("avg_carts"), F.avg("purchases").alias("avg_purchases"), F.avg("unique_users").alias("avg_unique_users"),
-        F.avg("price").alias("avg_price"), F.percentile("price", 0.5).alias("median_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+        F.avg("price").alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
         _pct(F.count_if(F.col("purchases") > 0), F.count("*"), 4).alias("sold_pct"),
     )
+    return with_median(summary, "price", "median_price", totals)
 
 
 def top_products(df: DataFrame, n: int = 10) -> DataFrame:
@@ -178,7 +181,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 def events_per_session(df: DataFrame) -> DataFrame:
     by = df.filter("user_session IS NOT NULL").groupBy("user_session").agg(F.count("*").alias("n"))
-    return by.agg(F.avg("n").alias("avg_events"), F.percentile("n", 0.5).alias("median_events"), F.max("n").alias("max_events"))
+    return with_median(by, "n", "median_events", by.agg(F.avg("n").alias("avg_events"), F.max("n").alias("max_events")))
 
 
 def key_metrics(summary: DataFrame) -> DataFrame:

@@ -1,50 +1,83 @@
-"""Global ranks and tiles that no single task has to sort."""
+"""Rows at given ranks, tiles and exact percentiles, of which no single task has to sort all rows."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values that split a column's range into parts for ranking.
+from larkspur.plans.staging import staged
+
+#: Values that cut a measure's range, and the range of keys within one value, into cells.
 PARTS = 256
-#: Accuracy of the percentiles that make the parts.
+#: Accuracy of the percentiles that are the cuts.
 ACCURACY = 10_000
 
 
-def _order(columns: list[str]) -> list[Column]:
-    return [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in columns]
+def _cuts(column: str) -> Column:
+    return F.array_distinct(F.percentile_approx(column, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(ACCURACY)))
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """Adds the 1-based position of each row in the order given; a minus stands for descending. The first column is numeric.
+def rows_at(rows: DataFrame, ranks: Column) -> DataFrame:
+    """m, k, v, key: of each measure the rows at the ranks asked for, in order of value and key.
 
-    Approximate percentiles of the first column cut it into parts; rows rank within their part, and the sizes of
-    the parts before it are added. Only the PARTS sizes meet in one task. Rows with one value of the first column
-    share a part, so a value that a third of the rows have makes one large part.
+    rows: m (the measure), v (double), key (long), w (how many rows it stands for); ranks: 1-based, from `total`, the
+    sum of w. Approximate percentiles cut the values into cells: one for each cut, cut further by keys, as many rows
+    may share a value, and one between every two. The cells' sizes tell which of them holds a rank, and only the
+    rows of those are put in order.
     """
-    first, down = order[0].lstrip("-"), order[0][0] == "-"
-    cuts = df.agg(F.array_distinct(F.percentile_approx(F.col(first).cast("double"), F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(ACCURACY))).alias("cuts"))
-    part = F.when(F.col(first).isNull(), -1).otherwise(F.expr(f"size(filter(cuts, c -> c < CAST(`{first}` AS DOUBLE)))"))
-    rows = df.crossJoin(F.broadcast(cuts)).withColumn("part", F.coalesce(part, F.lit(0))).drop("cuts")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy(F.desc("part") if down else F.asc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = F.broadcast(sizes.select("part", before.alias("before")))  # PARTS + 1 rows at most
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*_order(order)))
-    return rows.withColumn("own", own).join(sizes, "part").withColumn(name, F.col("before") + F.col("own")).drop("part", "own", "before")
+    cuts = rows.groupBy("m").agg(_cuts("v").alias("cuts"), _cuts("key").alias("keys"), F.sum("w").alias("total"))  # one row a measure
+    split = rows.join(F.broadcast(cuts.select("m", "cuts", "keys")), "m").withColumn("below", F.expr("size(filter(cuts, c -> c < v))"))
+    at_cut = F.coalesce(F.get("cuts", F.col("below")) == F.col("v"), F.lit(False))
+    split = split.select("m", "v", "key", "w", (2 * F.col("below") + at_cut.cast("int")).alias("part"), F.when(at_cut, F.expr("size(filter(keys, c -> c < key))")).otherwise(0).alias("sub"))
+    sizes = split.groupBy("m", "part", "sub").agg(F.sum("w").alias("size"))
+    # a cell for each pair of cuts at most
+    upto = F.sum("size").over(Window.partitionBy("m").orderBy("part", "sub"))
+    asked = sizes.withColumn("upto", upto).join(F.broadcast(cuts.select("m", F.posexplode(ranks).alias("k", "rank"))), "m")
+    cells = asked.filter("rank <= upto AND rank > upto - size").select("m", "part", "sub", "k", (F.col("rank") - F.col("upto") + F.col("size")).alias("place"))
+    order = Window.partitionBy("m", "part", "sub", "k").orderBy("v", "key").rowsBetween(Window.unboundedPreceding, 0)
+    held = split.join(F.broadcast(cells), ["m", "part", "sub"]).withColumn("reached", F.sum("w").over(order))
+    return held.filter("place <= reached AND place > reached - w").select("m", "k", "v", "key")
+
 
+def ntiles(df: DataFrame, orders: dict[str, list[str]], tiles: int, key: str) -> DataFrame:
+    """Adds an NTILE column for each order, as ntile() over a window without partitions gives it.
 
-def tile_of(rank: Column, total: Column, tiles: int) -> Column:
-    """NTILE from a global rank: the first total mod tiles tiles have one row more."""
-    size, more = F.floor(total / tiles), total % tiles
-    in_more = rank <= more * (size + 1)
-    return F.when(in_more, F.ceil(rank / (size + 1))).otherwise(more + F.ceil((rank - more * (size + 1)) / F.nullif(size, F.lit(0)))).cast("int")
+    An order is a numeric column, a minus before it for descending, and the key, a long. The rows that begin the
+    tiles are looked up for all orders at once, and every row is compared with them. df is written once and read back.
+    """
+    df = staged(df, "tiled")
+    sign = {name: (-1 if order[0][0] == "-" else 1, order[0].lstrip("-")) for name, order in orders.items()}
+    # nulls come first, or last in descending order
+    value = {name: F.coalesce(s * F.col(f"`{c}`").cast("double"), F.lit(float("-inf") * s)) for name, (s, c) in sign.items()}
+    measures = F.array(*(F.struct(F.lit(name).alias("m"), v.alias("v")) for name, v in value.items()))
+    rows = df.select(F.inline(measures), F.col(key).cast("long").alias("key"), F.lit(1).cast("long").alias("w"))
+    begins = F.transform(F.sequence(F.lit(1), F.lit(tiles - 1)), lambda k: k * F.floor(F.col("total") / tiles) + F.least(k, F.col("total") % tiles) + 1)
+    found = rows_at(rows, begins).agg(F.collect_list(F.struct("m", "v", "key")).alias("begins"))
+    joined = df.crossJoin(F.broadcast(found))
 
+    def tile(name: str) -> Column:
+        own, at = value[name], F.col(f"`{key}`").cast("long")
+        return (1 + F.size(F.filter("begins", lambda b: (b.m == name) & ((b.v < own) | (b.v == own) & (b.key <= at))))).alias(name)
 
-def ntiles(df: DataFrame, orders: dict[str, list[str]], tiles: int, key: str) -> DataFrame:
-    """Adds an NTILE column for each order, as ntile() over a window without partitions gives it."""
-    total = F.broadcast(df.agg(F.count("*").alias("total")))
-    ranked = functools.reduce(lambda d, x: global_rank(d, x[1], x[0]), orders.items(), df)
-    ranked = ranked.crossJoin(total)
-    return ranked.withColumns({name: tile_of(F.col(name), F.col("total"), tiles) for name in orders}).drop("total")
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *map(tile, orders))
+
+
+def percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row, p: the exact percentiles of a numeric column, as percentile() gives them, from the counts of its values."""
+    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    place = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    ranks = F.array(*(x for p in place for x in (F.floor(p) + 1, F.ceil(p) + 1)))
+    rows = values.select(F.lit(0).alias("m"), "v", F.lit(0).cast("long").alias("key"), "w")
+    ends = rows_at(rows, ranks).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ends"))
+    total = F.broadcast(values.agg(F.sum("w").alias("total")))
+
+    def between(i: int, p: Column) -> Column:
+        low, high, more = F.col("ends")[2 * i], F.col("ends")[2 * i + 1], p - F.floor(p)
+        return F.when(low == high, low).otherwise(low * (1 - more) + high * more)
+
+    return ends.crossJoin(total).select(F.array(*(between(i, p) for i, p in enumerate(place))).alias("p"))
+
+
+def with_median(df: DataFrame, column: str, name: str, totals: DataFrame) -> DataFrame:
+    """The one-row totals of df and the median of one of its columns."""
+    return totals.crossJoin(F.broadcast(percentiles(df, column, (0.5,)).select(F.col("p")[0].alias(name))))

@@ -6,7 +6,7 @@ import pytest
 
 from larkspur.functions.scalars import format_compact, format_usd
 from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
-from larkspur.plans.ranking import global_rank, ntiles
+from larkspur.plans.ranking import ntiles, percentiles
 from larkspur.plans.star import build_star, register_views, run_query
 from larkspur.sources import events as io
 from larkspur.streaming.kpis import stream_daily_kpis, stream_sessions
@@ -71,10 +71,27 @@ def test_tiles_equal_those_of_one_window(spark, n):
     assert got == {r.user_id: (r.a, r.b) for r in want.collect()}
 
 
-def test_rank_with_nulls_and_without_rows(spark):
+def test_tiles_with_nulls_and_without_rows(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 1)], "user_id long, m int")
-    assert {r.user_id: r["rank"] for r in global_rank(df, ["m", "user_id"]).collect()} == {1: 1, 3: 2, 2: 3}
-    assert global_rank(df.limit(0), ["m", "user_id"]).count() == 0
+    got = ntiles(df, {"up": ["m", "user_id"], "down": ["-m", "user_id"]}, 3, "user_id").collect()
+    assert {r.user_id: (r.up, r.down) for r in got} == {1: (1, 3), 3: (2, 2), 2: (3, 1)}
+    assert ntiles(df.limit(0), {"up": ["m", "user_id"]}, 3, "user_id").count() == 0
+
+
+def test_tiles_of_one_value(spark):
+    df = spark.range(4000).selectExpr("(id * 7919) % 100003 AS user_id", "IF(id % 3 = 0, id, 1) AS m")
+    got = {r.user_id: r.a for r in ntiles(df, {"a": ["m", "user_id"]}, 5, "user_id").collect()}
+    df.createOrReplaceTempView("ranked")
+    assert got == {r.user_id: r.a for r in spark.sql("SELECT user_id, ntile(5) OVER (ORDER BY m, user_id) a FROM ranked").collect()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 3000])
+def test_percentiles_equal_those_of_one_task(spark, n):
+    df = spark.range(n).selectExpr("IF(id % 4 = 0, 7.5D, IF(id % 11 = 0, NULL, pow(id * 7919 % 1009, 2) / 3)) AS x")
+    shares = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
+    got = percentiles(df, "x", shares).first().p
+    want = [df.selectExpr(f"percentile(x, {q})").first()[0] for q in shares]
+    assert got == pytest.approx(want) if n else got == want
 
 
 def test_labels_of_all_scores(spark):
