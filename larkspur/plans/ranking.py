@@ -17,6 +17,15 @@ def _cuts(column: str) -> Column:
     return F.array_distinct(F.percentile_approx(column, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(ACCURACY)))
 
 
+#: Cuts that are searched together: first every STEP-th, then those before the next of them.
+STEP = 16
+
+
+def _below(cuts: str, heads: str, value: str) -> Column:
+    """How many of the sorted cuts are smaller than the value; heads are the last cuts of every STEP."""
+    return F.expr(f"transform(array(size(filter({heads}, c -> c < {value}))), h -> {STEP} * h + size(filter(slice({cuts}, {STEP} * h + 1, {STEP}), c -> c < {value})))[0]")
+
+
 def rows_at(rows: DataFrame, ranks: Column) -> DataFrame:
     """m, k, v, key: of each measure the rows at the ranks asked for, in order of value and key.
 
@@ -26,9 +35,10 @@ def rows_at(rows: DataFrame, ranks: Column) -> DataFrame:
     rows of those are put in order.
     """
     cuts = rows.groupBy("m").agg(_cuts("v").alias("cuts"), _cuts("key").alias("keys"), F.sum("w").alias("total"))  # one row a measure
-    split = rows.join(F.broadcast(cuts.select("m", "cuts", "keys")), "m").withColumn("below", F.expr("size(filter(cuts, c -> c < v))"))
+    heads = [F.expr(f"filter({c}, (x, i) -> i % {STEP} = {STEP - 1})").alias(f"{c}_heads") for c in ("cuts", "keys")]
+    split = rows.join(F.broadcast(cuts.select("m", "cuts", "keys", *heads)), "m").withColumn("below", _below("cuts", "cuts_heads", "v"))
     at_cut = F.coalesce(F.get("cuts", F.col("below")) == F.col("v"), F.lit(False))
-    split = split.select("m", "v", "key", "w", (2 * F.col("below") + at_cut.cast("int")).alias("part"), F.when(at_cut, F.expr("size(filter(keys, c -> c < key))")).otherwise(0).alias("sub"))
+    split = split.select("m", "v", "key", "w", (2 * F.col("below") + at_cut.cast("int")).alias("part"), F.when(at_cut, _below("keys", "keys_heads", "key")).otherwise(0).alias("sub"))
     sizes = split.groupBy("m", "part", "sub").agg(F.sum("w").alias("size"))
     # a cell for each pair of cuts at most
     upto = F.sum("size").over(Window.partitionBy("m").orderBy("part", "sub"))
@@ -64,7 +74,7 @@ def ntiles(df: DataFrame, orders: dict[str, list[str]], tiles: int, key: str) ->
 
 def percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
     """One row, p: the exact percentiles of a numeric column, as percentile() gives them, from the counts of its values."""
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    values = staged(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w")), "values")
     place = [F.lit(q) * (F.col("total") - 1) for q in shares]
     ranks = F.array(*(x for p in place for x in (F.floor(p) + 1, F.ceil(p) + 1)))
     rows = values.select(F.lit(0).alias("m"), "v", F.lit(0).cast("long").alias("key"), "w")
