@@ -1,57 +1,24 @@
-"""What the operators of this subpackage share: table access, staged tables and tokenizer loading."""
+"""What the operators of this subpackage share: table access and tokenizer loading, and the staged tables of larkspur.plans."""
 
 from __future__ import annotations
 
 import functools
 import json
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: dict[str, str] = {}
+from larkspur.plans.staging import discard, staged, staged_path
+
+__all__ = ["byte_level_encoder", "discard", "library_tokenizer", "rows_of", "staged", "staged_path", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if "dir" not in _OWN_DIR:
-        _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="larkspur-")
-    return _OWN_DIR["dir"]
-
-
-def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of the lineage that survives lost executors."""
-    path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
-    read = df.sparkSession.read.schema(df.schema).parquet(path)
-    read.staged_at = path
-    return read
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that staged() wrote. What is still to be run must not read them."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
