@@ -19,22 +19,23 @@ RECORDS = (
     "file string, offset long, length long, kind string, reason string, record_type string, page_id long, url string, "
     "refers_to long, payload_bytes long, payload_digest string, payload binary"
 )
-#: Records in one archive file at most.
-FILE_RECORDS = 5000
+#: Bytes of a page, and how many pages up to that length one archive file holds: no file has more than about 256 MB,
+#: or one page that is larger by itself.
+FILE_PAGES = ((64 << 10, 4096), (4 << 20, 64), (None, 1))
 #: Payloads below this many bytes are always written.
 LEAST_DUPLICATE = 100
-#: A member that unfolds to more bytes than this is quarantined.
-MOST_MEMBER = 1 << 30
+#: Bytes of a gzip member that are unfolded at a time.
+UNFOLDED = 1 << 24
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_pages: tuple[tuple[int | None, int], ...] = FILE_PAGES) -> None:
     """Writes one WARC 1.1 record per row of pages (page_id, url, html) to files under path.
 
     Of records with equal payloads of LEAST_DUPLICATE bytes or more, those with the smallest page_id are responses
     and the others revisit it, without a payload. The duplicates are found over (digest, page_id) alone. Spark's
-    own text writer writes the files, so a lost task leaves no half-written archive behind and any store will do.
+    own text writer writes the files, pages of like length together, so a lost task leaves no half-written archive behind and any store will do.
 
     Null html counts as empty; a null url is left out; a null page_id is written as `null` and never the one
     that others refer to unless no other has the payload. Control characters in a url are percent-encoded.
@@ -68,8 +69,12 @@ def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z",
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit(_CRLF),
     )
-    records = marked.withColumn("http", http).withColumn("block", block).select(F.concat(head, "block", F.lit(_CRLF)).alias("value"))
-    records.write.option("lineSep", _CRLF).option("maxRecordsPerFile", file_records).text(path)
+    records = marked.withColumn("http", http).withColumn("block", block).select("n", F.concat(head, "block", F.lit(_CRLF)).alias("value"))
+    least = -1
+    for most, pages_a_file in file_pages:
+        own = records.filter((F.col("n") > least) & (F.lit(True) if most is None else F.col("n") <= most))
+        own.select("value").write.mode("append").option("lineSep", _CRLF).option("maxRecordsPerFile", pages_a_file).text(path)
+        least = most
 
 
 @dataclass
@@ -138,13 +143,19 @@ def _record(data: bytes, at: int) -> tuple[Found, int]:
 
 def _member(data: bytes, at: int) -> tuple[list[Found], int]:
     """The records of the gzip member at this place and where it ends; ValueError if a check fails."""
-    unzip = zlib.decompressobj(31)
+    unzip, inside, rest = zlib.decompressobj(31), bytearray(), memoryview(data)[at:]
     try:
-        inside = unzip.decompress(memoryview(data)[at:], MOST_MEMBER)
+        while not unzip.eof:
+            got = unzip.decompress(rest, UNFOLDED)
+            rest = unzip.unconsumed_tail
+            if not inside and got and not _VERSION.match(got):
+                raise ValueError("no version line in the member")  # of what is no archive no more is unfolded
+            if not got and not rest and not unzip.eof:
+                raise ValueError("member is cut off")
+            inside += got
     except zlib.error as e:
         raise ValueError(f"damaged member: {e}") from None
-    if not unzip.eof:
-        raise ValueError("member is cut off or too large")
+    inside = bytes(inside)
     stop = len(data) - len(unzip.unused_data)
     found, pos = [], 0
     while pos < len(inside):
@@ -193,7 +204,7 @@ def salvage(data: bytes) -> Iterator[Found]:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Rows of RECORDS for all archives under path: kind `record`, or `gap` with the reason and the quarantined bytes.
 
-    One file is read by one task. payload is null unless asked for.
+    One file is read by one task, which holds it and one member of it. payload is null unless asked for.
     """
 
     def page(uri: str | None) -> int | None:
