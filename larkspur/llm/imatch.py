@@ -11,8 +11,10 @@ from larkspur.llm.common import staged
 IDF_LOW, IDF_HIGH = 1.0, 6.0
 #: Lexicon subsets: so many of them, each with one term in `modulus`, chosen by the hash's bits from `shift` on.
 SUBSETS = ((1, 1, 0), (16, 32, 0), (16, 128, 8), (16, 512, 16))
-#: Rows of a range of ids that are put in order together, and the most ranges there are.
-RANGE_ROWS, MOST_RANGES = 10_000, 65_536
+#: Cells that approximate percentiles cut the ids into, and these percentiles' accuracy.
+CELLS, ACCURACY = 256, 10_000
+#: Rows of a range of ids that are put in order together, and about the most ranges there are.
+RANGE_ROWS, MOST_RANGES = 2_000, 65_536
 
 
 def terms(text: Column) -> Column:
@@ -28,18 +30,22 @@ def lexicon(texts: DataFrame, column: str = "text") -> DataFrame:
     """
     empty = F.xxhash64(F.lit(""))
     counts = texts.select(F.explode(terms(F.col(column))).alias("term")).groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n"))
-    # every text holds the empty string once, so its count is that of the texts
-    total = counts.filter(F.col("h") == empty).select(F.col("n").alias("total"))
+    total = texts.agg(F.count("*").alias("total"))
     idf = F.log(F.col("total") / F.col("n"))
     return counts.crossJoin(F.broadcast(total)).filter(idf.between(IDF_LOW, IDF_HIGH) | (F.col("h") == empty)).select("h")
 
 
 def subset_hashes(kept: str, text_hash: str) -> Column:
     """A hash for every lexicon subset over the sorted terms in it, 0 where the text has none; last the text's hash if no term is kept."""
-    subsets = ", ".join(f"struct({shift} AS shift, {modulus - 1} AS mask, {j} AS j)" for count, modulus, shift in SUBSETS for j in range(count))
-    own = f"transform(array({subsets}), s -> filter({kept}, t -> (shiftright(t, s.shift) & s.mask) = s.j))"
-    hashes = f"transform({own}, f -> IF(size(f) = 0, 0, CAST(xxhash64(f) & 2147483647 AS INT)))"
-    return F.expr(f"concat({hashes}, array(IF(size({kept}) = 0, CAST({text_hash} & 2147483647 AS INT), 0)))")
+
+    def group(count: int, modulus: int, shift: int) -> str:
+        """The subsets of one modulus: terms in none of them are passed over first."""
+        place = f"(shiftright(t, {shift}) & {modulus - 1})"
+        own = f"transform(array(filter({kept}, t -> {place} < {count})), g -> transform(sequence(0, {count - 1}), j -> filter(g, t -> {place} = j)))[0]"
+        return f"transform({own}, f -> IF(size(f) = 0, 0, CAST(xxhash64(f) & 2147483647 AS INT)))"
+
+    groups = ", ".join(group(*s) for s in SUBSETS)
+    return F.expr(f"concat({groups}, array(IF(size({kept}) = 0, CAST({text_hash} & 2147483647 AS INT), 0)))")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -52,31 +58,57 @@ def shown(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, x -> IF(x = 0, '', lower(hex(x)))), '.')")
 
 
+def _part(cuts: str = "cuts") -> Column:
+    """The cell of an id: -1 without one, odd for an id that is a cut, even between two cuts."""
+    below = F.expr(f"size(filter({cuts}, c -> c < doc_id))")
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(2 * below + F.coalesce(F.get(cuts, below) == F.col("doc_id"), F.lit(False)).cast("int"))
+
+
+def _ranged(docs: DataFrame) -> DataFrame:
+    """Adds range and h: ranges of about RANGE_ROWS rows each, in order of id and h.
+
+    Approximate percentiles cut the ids into cells, whose sizes are counted; a cell is cut further into ranges of
+    equal width. A cell of a single id, or of null ids, is cut by the texts' hashes h, which are 0 in all others.
+    So neither an outlying id nor one that many rows share makes a large range.
+    """
+    shares = F.array(*(F.lit(i / CELLS) for i in range(1, CELLS)))
+    cuts = F.broadcast(docs.agg(F.coalesce(F.array_distinct(F.percentile_approx("doc_id", shares, F.lit(ACCURACY))), F.array().cast("array<bigint>")).alias("cuts")))
+    celled = docs.crossJoin(cuts).withColumn("part", _part()).drop("cuts")
+    sizes = docs.select("doc_id").crossJoin(cuts).groupBy(_part().alias("part")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
+    every, upto = Window.partitionBy(), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.greatest(F.lit(RANGE_ROWS), F.ceil(F.sum("rows").over(every) / MOST_RANGES))
+    # 2 * CELLS rows at most
+    cells = sizes.withColumn("pieces", F.ceil(F.col("rows") / least)).withColumn("base", F.coalesce(F.sum("pieces").over(upto), F.lit(0)))
+    one = F.coalesce(F.col("lo") == F.col("hi"), F.lit(True)) & (F.col("pieces") > 1)
+    cells = cells.select("part", "base", "pieces", "lo", one.alias("one"), ((F.col("hi").cast("double") - F.col("lo") + 1) / F.col("pieces")).alias("width"))
+    held = celled.join(F.broadcast(cells), "part").withColumn("h", F.when(F.col("one"), F.shiftrightunsigned(F.xxhash64("text"), 1)).otherwise(F.lit(0)))
+    by_hash, by_id = F.col("h") / F.lit(2.0**63) * F.col("pieces"), (F.col("doc_id").cast("double") - F.col("lo")) / F.col("width")
+    piece = F.coalesce(F.floor(F.when(F.col("one"), by_hash).otherwise(by_id)), F.lit(0))
+    return held.withColumn("range", (F.col("base") + F.least(piece, F.col("pieces") - 1)).cast("long")).select("doc_id", "text", "h", "range")
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """Adds range, nth, next_text, next_range, next_nth: each row's place and that of the row with the next id.
 
-    Rows are dealt to ranges of ids; the first row of each range is also sent to the range before it, so the next
-    row is always at hand and no task sorts all ids. The last id's next is the first. Rows with equal ids follow
-    each other in order of text. Null ids have a range of their own, whose last row has no next one.
+    The first row of each range is also sent to the range before it, so the next row is always at hand and no task
+    sorts all ids. The last id's next is the first. Rows with equal ids follow each other in order of text, or
+    of their texts' hashes where they are many. Null ids follow each other too; the last of them has no next one.
     """
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
-    span = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
-    ranges = F.least(F.lit(MOST_RANGES), F.ceil(F.col("rows") / RANGE_ROWS))
-    span = F.broadcast(span.select("lo", F.greatest(F.lit(1.0), (F.col("hi").cast("double") - F.col("lo") + 1) / ranges).alias("width")))
-    place = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.col("lo")) / F.col("width")), F.lit(-1)).cast("long")
-    dealt = docs.crossJoin(span).withColumn("range", place).drop("lo", "width")
-    firsts = ids.crossJoin(span).groupBy(place.alias("range")).agg(F.min("doc_id").alias("first"))
-    order, whole = Window.orderBy("range"), Window.partitionBy()
-    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.max("range").over(whole)))
-    guests = docs.join(F.broadcast(firsts), F.col("doc_id") == F.col("first")).select("doc_id", "text", F.col("before").alias("range"), F.lit(1).alias("guest"), F.col("range").alias("home"))
-    both = dealt.select("doc_id", "text", "range", F.lit(0).alias("guest"), F.lit(None).cast("long").alias("home")).unionByName(guests)
-    w = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
+    dealt = _ranged(docs)
+    firsts = dealt.groupBy("range").agg(F.min("doc_id").alias("first"), F.min("h").alias("first_h"))
+    order, whole = Window.partitionBy(F.isnull("first")).orderBy("range"), Window.partitionBy(F.isnull("first"))
+    # one row a range, MOST_RANGES + 2 * CELLS at most
+    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.when(F.col("first").isNotNull(), F.max("range").over(whole)))).filter("before IS NOT NULL")
+    found = dealt.join(F.broadcast(firsts), "range").filter("doc_id <=> first AND h = first_h")
+    guests = found.select("doc_id", "text", "h", F.col("before").alias("range"), F.lit(1).alias("guest"), F.col("range").alias("home"))
+    both = dealt.select("doc_id", "text", "h", "range", F.lit(0).alias("guest"), F.lit(None).cast("long").alias("home")).unionByName(guests)
+    w = Window.partitionBy("range").orderBy("guest", "doc_id", "h", "text")
     return (
         both.select("*", F.row_number().over(w).alias("nth"), F.lead("text").over(w).alias("next_text"), F.lead("home").over(w).alias("next_home"))
         .filter("guest = 0")
         .withColumn("next_range", F.coalesce("next_home", "range"))
         .withColumn("next_nth", F.when(F.col("next_home").isNotNull(), 1).otherwise(F.col("nth") + 1))
-        .drop("guest", "home", "next_home")
+        .drop("guest", "home", "next_home", "h")
     )
 
 
@@ -90,7 +122,7 @@ def fingerprint_edits(docs: DataFrame, columns: tuple[str, str] = ("doc_id", "te
 
     Null texts count as empty; an empty text's fingerprint is the hash of the empty text, as is that of any text
     without a kept term, so equal texts always have equal fingerprints. Rows with null ids are edited among
-    themselves; repeated rows follow each other. An empty table gives no rows. Extra columns are ignored.
+    themselves; rows of one id follow each other by text, or by hash of the text where they are many. An empty table gives no rows. Extra columns are ignored.
     """
     key, text = columns
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -10,6 +10,8 @@ import gzip
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import chat, html, imatch, mixing, ngramjoin, packing, tokencount, toxicity, warc
@@ -294,6 +296,72 @@ def test_ranges_chain_into_each_other(spark, monkeypatch):
     assert all(place[r.next_range, r.next_nth] == r.next_text for r in got) and len({r["range"] for r in got}) > 5
 
 
+@pytest.mark.parametrize("case", ["one far id", "a shared id", "shared null ids"])
+def test_ranges_stay_small(spark, monkeypatch, case):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
+    rows = {"one far id": [(i, f"text {i}") for i in range(300)] + [(10**15, "far")], "a shared id": [(i if i % 3 else 50, f"text {i}") for i in range(300)], "shared null ids": [(i if i % 3 else None, f"text {i}") for i in range(300)]}[case]
+    got = imatch.in_order(documents(spark, rows, extra=False).repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows)
+    assert max(collections.Counter(r["range"] for r in got).values()) <= 40
+    place = {(r["range"], r.nth): r for r in got}
+    ring, at = [], next(r for r in got if r.doc_id == min(d for d, _ in rows if d is not None))
+    for _ in range(sum(d is not None for d, _ in rows)):
+        ring.append(at)
+        assert place[at.next_range, at.next_nth].text == at.next_text
+        at = place[at.next_range, at.next_nth]
+    assert len({r.text for r in ring}) == len(ring) and at.doc_id == ring[0].doc_id  # all in one ring
+    ids = [r.doc_id for r in ring]
+    turn = ids.index(max(ids)) + 1
+    assert ids[turn:] + ids[:turn] == sorted(ids)
+    assert sum(r.next_text is None for r in got) == (case == "shared null ids")
+
+
+def test_fingerprints_equal_brute_force(spark):
+    words = [f"wort{i}" for i in range(300)]
+    rng = np.random.default_rng(4)
+    rows = [(i * 7 % 151, " ".join(rng.choice(words, int(rng.integers(1, 60))))) for i in range(150)]
+    rows += [(1000, rows[3][1]), (1001, None), (1002, "Ärger; wort1 WORT2"), (1003, "...")]
+    order = sorted((d, t or "") for d, t in rows)
+
+    def xx(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed=seed)
+
+    def signed(h):
+        return h - 2**64 if h >> 63 else h
+
+    def own(text):
+        return {w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+    counts = collections.Counter(w for _, t in order for w in own(t))
+    lexicon = {w for w, n in counts.items() if imatch.IDF_LOW <= np.log(len(order) / n) <= imatch.IDF_HIGH}
+
+    def fingerprint(text):
+        kept = sorted(signed(xx(w.encode())) for w in own(text) & lexicon)
+        out = []
+        for count, modulus, shift in imatch.SUBSETS:
+            for j in range(count):
+                h, part = 42, [t for t in kept if (t >> shift) % modulus == j]
+                for t in part:
+                    h = xx(struct.pack("<q", t), h)
+                out.append(h & 0x7FFFFFFF if part else 0)
+        return [*out, 0 if kept else xx(text.encode()) & 0x7FFFFFFF]
+
+    def near(f, g):
+        both = [x == y for x, y in zip(f, g, strict=True) if x or y]
+        return sum(both) / len(both) if both else 0.0
+
+    def text_of(f):
+        return ".".join(f"{x:x}" if x else "" for x in f)
+
+    want = set()
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        h = len(t) // 2
+        f, g, n = fingerprint(t), fingerprint(t[: len(t) - h] + nxt[:h]), fingerprint(nxt)
+        want.add((d, text_of(f), text_of(g), round(near(f, g), 9), round(near(f, n), 9)))
+    got = imatch.fingerprint_edits(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got} == want
+
+
 def brute_components(rows):
     def grams(t):
         w = (t or "").encode().lower().split()
