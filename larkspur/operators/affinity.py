@@ -77,7 +77,8 @@ def recommend(rules: DataFrame, products: DataFrame, product_id: int, k: int = 6
     return top.join(_named(products, "b"), "product_b").select("product_b", "brand_b", "category_b", "pair_count", "confidence", "lift")
 
 
-def recommend_all(rules: DataFrame, k: int = 6) -> DataFrame:
-    """The k best rules of every product."""
+def recommend_all(rules: DataFrame, k: int = 6, products: DataFrame | None = None) -> DataFrame:
+    """The k best rules of every product, with brands and categories if the products are given."""
     rank = F.row_number().over(Window.partitionBy("product_a").orderBy(F.desc("lift"), "product_b"))
-    return rules.withColumn("rank", rank).filter(F.col("rank") <= k)
+    top = rules.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return top if products is None else top.join(_named(products, "b"), "product_b")

@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.scalars import hash_order
+
 
 def assign_variants(users: DataFrame, experiment: str, p: float = 0.5) -> DataFrame:
     """Adds variant: treatment for a share p of the users, by hash, so a user's variant never changes."""
-    treated = F.pmod(F.xxhash64("user_id", F.lit(experiment)), F.lit(10_000)) < int(10_000 * p)
+    treated = hash_order(experiment, "user_id") % 10_000 < int(10_000 * p)
     return users.withColumn("variant", F.when(treated, "treatment").otherwise("control"))
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import count_type, is_type, share
+from larkspur.operators.sampling import first_share
 from larkspur.plans.ranking import percentiles
+from larkspur.plans.staging import staged
 from larkspur.sources.schema import CART, PURCHASE, REMOVE, VIEW
 
 FEATURES = ["events", "sessions", "views", "carts", "removes", "active_span_days", "recency_days"]
@@ -34,9 +36,10 @@ def class_balance(frame: DataFrame) -> DataFrame:
 
 
 def stratified_split(frame: DataFrame, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by the user's hash, so each class keeps its share and a rerun gives the same rows."""
-    held = F.pmod(F.xxhash64("user_id", F.lit(seed)), F.lit(10_000)) < int(10_000 * test)
-    return frame.filter(~held), frame.filter(held)
+    """Training and test rows: of each class of n users the first ceil(test * n) in a seeded order are tested, so each keeps its share."""
+    frame = staged(frame, "frame")
+    held = first_share(frame, "target", test, seed)
+    return frame.join(held, "user_id", "left_anti"), frame.join(held, "user_id", "left_semi")
 
 
 def train(frame: DataFrame, rounds: int = 1000, seed: int = 42, patience: int = 50) -> PipelineModel:
@@ -86,7 +89,8 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame) -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="target").evaluate(scored.withColumn("target", F.col("target").cast("double")))
+    """Area under the curve over all scores, ties counted half."""
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="target", numBins=0).evaluate(scored.withColumn("target", F.col("target").cast("double")))
 
 
 def top_share_metrics(scored: DataFrame, quantile: float = 0.95) -> DataFrame:

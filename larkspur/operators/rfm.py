@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scalars import day, is_type
+from larkspur.functions.scalars import day, hash_order, is_type
 from larkspur.plans.ranking import ntiles
 from larkspur.sources.schema import PURCHASE
 
@@ -79,4 +79,4 @@ def segment_coverage(features: DataFrame) -> DataFrame:
 
 def rfm_scatter_sample(rfm: DataFrame, n: int = 10_000, seed: int = 7) -> DataFrame:
     """Exactly n rows (or all), the same ones each time."""
-    return rfm.withColumn("rfm_code", F.concat(*(F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")))).orderBy(F.xxhash64("user_id", F.lit(seed)), "user_id").limit(n)
+    return rfm.withColumn("rfm_code", F.concat(*(F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")))).orderBy(hash_order(seed, "user_id"), "user_id").limit(n)

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
+from larkspur.functions.scalars import format_compact, format_usd
+from larkspur.plans.staging import staged_path
+from larkspur.plans.star import register_views, run_query
 from larkspur.plans.twins import SQL
 from larkspur.sources.adapters import clickstream, retail
+from larkspur.sources.events import load_for_analysis, optimize_events, read_events, read_events_csv, write_chunks, write_events
+from larkspur.sources.schema import RAW_TIME
 
 #: The day that recency and churn count from where a variant wants one given.
 AS_OF = "2001-08-01"
@@ -63,6 +68,46 @@ def _evaluation(events: DataFrame) -> DataFrame:
     return propensity.top_share_metrics(scored).withColumn("roc_auc", F.lit(propensity.roc_auc(scored)))
 
 
+def _roc_auc(events: DataFrame) -> DataFrame:
+    """ROC-AUC of the fixed score."""
+    return events.sparkSession.range(1).select(F.lit(propensity.roc_auc(_scored(events))).alias("roc_auc"))
+
+
+def _split(events: DataFrame) -> DataFrame:
+    """Every user of the frame with its class and its side of the split."""
+    sides = propensity.stratified_split(propensity.propensity_frame(events, CUTOFF))
+    return sides[0].select("user_id", "target", F.lit("train").alias("side")).unionByName(sides[1].select("user_id", "target", F.lit("test").alias("side")))
+
+
+def _through_csv(events: DataFrame) -> DataFrame:
+    """The log written as raw CSV in two parts, read together, narrowed, written as Parquet and read back."""
+    spark, raw, narrow = events.sparkSession, staged_path(events.sparkSession, "raw"), staged_path(events.sparkSession, "narrow")
+    text = events.withColumn("event_time", F.date_format("event_time", RAW_TIME))
+    for side in (0, 1):
+        text.filter(F.col("user_id") % 2 == side).write.option("header", True).csv(f"{raw}/{side}")
+    write_events(optimize_events(read_events_csv(spark, [f"{raw}/0", f"{raw}/1"])), narrow)
+    return read_events(spark, narrow)
+
+
+def _through_chunks(events: DataFrame) -> DataFrame:
+    """The log written in files of a bounded number of rows, and read back."""
+    path = staged_path(events.sparkSession, "chunks")
+    write_chunks(events, path)
+    return read_events(events.sparkSession, path)
+
+
+def _view_sql(events: DataFrame) -> DataFrame:
+    """SQL with a parameter over two of the star's views."""
+    register_views({"larkspur_days": star.daily_kpis(events), "larkspur_products": star.dim_products(events)})
+    return run_query(events.sparkSession, "SELECT date, dau, total_purchases, (SELECT count(*) FROM larkspur_products) AS products FROM larkspur_days WHERE dau >= :least", least=2)
+
+
+def _shown_totals(events: DataFrame) -> DataFrame:
+    """Daily figures as text for display."""
+    days = star.daily_kpis(events)
+    return days.select("date", format_compact("daily_revenue").alias("revenue_compact"), format_usd("daily_revenue").alias("revenue_usd"), format_compact("total_events").alias("events_compact"))
+
+
 def _importance(events: DataFrame) -> DataFrame:
     fit, _ = propensity.stratified_split(propensity.propensity_frame(events, CUTOFF))
     return propensity.feature_importance(propensity.train(fit))
@@ -105,6 +150,7 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "brands_with_rules": (retail, lambda e: affinity.brands_with_rules(_rules(e), star.dim_products(e))),
     "products_with_rules": (retail, lambda e: affinity.products_with_rules(_rules(e), star.dim_products(e), "Brand#11")),
     "recommend_topk": (retail, lambda e: affinity.recommend_all(_rules(e), 6)),
+    "recommend_named": (retail, lambda e: affinity.recommend_all(_rules(e), 6, star.dim_products(e))),
     "dataset_overview": (clickstream, report.dataset_overview),
     "event_mix": (clickstream, report.event_mix),
     "event_funnel": (clickstream, funnel.event_funnel),
@@ -136,8 +182,13 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "product_summary": (clickstream, report.product_summary),
     "user_summary": (clickstream, report.user_summary),
     "daily_summary": (clickstream, report.daily_summary),
-    "user_modulo_sample": (clickstream, lambda e: e.filter(F.col("user_id") % 10 == 0)),
-    "stratified_sample": (retail, lambda e: sampling.stratified_user_sample(e, 20.0)),
+    "user_modulo_sample": (clickstream, lambda e: load_for_analysis(e, 0.1)),
+    "events_through_csv": (clickstream, _through_csv),
+    "events_through_chunks": (clickstream, _through_chunks),
+    "view_sql": (retail, _view_sql),
+    "formatted_totals": (retail, _shown_totals),
+    "stratified_sample": (retail, lambda e: sampling.stratified_user_sample(e, 20.0, by=("user_session", "product_id"))),
+    "stratified_users": (retail, lambda e: sampling.stratified_users(e, 3.0)),
     "compare_mix": (clickstream, lambda e: sampling.compare_mix(e, e.filter(F.col("user_id") % 10 == 0))),
     "temporal_coverage": (clickstream, sampling.temporal_coverage),
     "segment_population": (clickstream, lambda e: experiment.segment_population(_features(e), "Champions")),
@@ -148,6 +199,8 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "propensity_frame": (retail, lambda e: propensity.propensity_frame(e, CUTOFF)),
     "class_balance": (retail, lambda e: propensity.class_balance(propensity.propensity_frame(e, CUTOFF))),
     "topk_precision_recall": (retail, lambda e: propensity.top_share_metrics(_scored(e))),
+    "roc_auc": (retail, _roc_auc),
+    "split_by_class": (retail, _split),
     "propensity_scores": (retail, _propensity_scores),
     "propensity_evaluation": (retail, _evaluation),
     "feature_importance": (retail, _importance),

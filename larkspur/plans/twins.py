@@ -133,6 +133,24 @@ def _arm(name: str) -> str:
     return f"count(*) {x} AS {name}_n, avg(converted) {x} AS {name}_rate, var_samp(converted) {x} / count(*) {x} AS {name}_v"
 
 
+def _hash(seed: int | str, *columns: str) -> str:
+    text = " || '|' || ".join([*(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns), f"'{seed}'"])
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
+
+
+_TILED = "tiled AS (SELECT user_id, ntile(5) OVER (ORDER BY n, user_id) AS quintile FROM (SELECT user_id, count(*) AS n FROM r GROUP BY 1))"
+
+
+def _firsts(rows: str, stratum: str, part: str, seed: int) -> str:
+    return f"""firsts AS (SELECT user_id, {stratum} FROM (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY {_hash(seed, "user_id")}, user_id) AS nth, count(*) OVER (PARTITION BY {stratum}) AS n FROM {rows})
+ WHERE nth <= ceil(n * CAST({part} AS DOUBLE)))"""
+
+
+def _compact(x: str) -> str:
+    steps = "".join(f"WHEN abs({x}) >= {size} THEN printf('%.1f{unit}', {x} / {size}) " for size, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K")))
+    return f"CASE {steps}ELSE printf('%.0f', CAST({x} AS DOUBLE)) END"
+
+
 _Z = "1.959963984540054"
 _FEATURES = (_CLICK, _users("c"), _sessions("c"), _rfm("c"), _BEHAVIOUR, _WIDE)
 _D = {"f": _with(_RETAIL, _rules("f", 2, 1.2), _products("r"))}
@@ -231,6 +249,22 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
     "user_summary": _with(_CLICK, _BY_USER) + "SELECT * REPLACE (round(total_spent, 4) AS total_spent) FROM by_user",
     "daily_summary": _with(_CLICK, _BY_DAY) + "SELECT * REPLACE (round(revenue, 4) AS revenue) FROM by_day",
     "user_modulo_sample": _with(_CLICK) + "SELECT * REPLACE (round(price, 4) AS price) FROM c WHERE user_id % 10 = 0",
+    "stratified_users": _with(_RETAIL, _TILED, _firsts("tiled", "quintile", "0.03", 5)) + "SELECT user_id, CAST(quintile AS INTEGER) AS quintile FROM firsts",
+    "stratified_sample": _with(_RETAIL, _TILED, _firsts("tiled", "quintile", "0.2", 5)) + f"SELECT * REPLACE (round(price, 4) AS price) FROM r WHERE user_id IN (SELECT user_id FROM firsts) AND {_hash(5, 'user_session', 'product_id')} % 1000000 < 500000",
+    "rfm_scatter_sample": _with(_RETAIL, _rfm("r")) + f"SELECT {_SHOWN_RFM} FROM rfm ORDER BY {_hash(7, 'user_id')}, user_id LIMIT 500",
+    "variant_assignment": _with(_CLICK) + f"SELECT DISTINCT user_id, CASE WHEN {_hash('checkout', 'user_id')} % 10000 < 5000 THEN 'treatment' ELSE 'control' END AS variant FROM c",
+    "recommend_named": _D["f"]
+    + f"""SELECT {_SHOWN_RULES}, CAST(rank AS INTEGER) AS rank, brand AS brand_b, category_code AS category_b FROM (SELECT *, row_number() OVER (PARTITION BY product_a ORDER BY lift DESC, product_b) AS rank FROM rules)
+ JOIN products ON product_b = product_id WHERE rank <= 6""",
+    "split_by_class": _with(_RETAIL, _FRAME, _firsts("frame", "target", "0.2", 42)) + "SELECT user_id, target, CASE WHEN user_id IN (SELECT user_id FROM firsts) THEN 'test' ELSE 'train' END AS side FROM frame",
+    "roc_auc": _with(_RETAIL, _FRAME, "scored AS (SELECT target, events / (1.0 + recency_days) AS score FROM frame)",
+        "ranked AS (SELECT target, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS place FROM scored)")
+    + "SELECT round((sum(place) FILTER (WHERE target = 1) - sum(target) * (sum(target) + 1) / 2.0) / (sum(target) * CAST(count(*) - sum(target) AS DOUBLE)), 4) AS roc_auc FROM ranked",
+    "events_through_csv": _with(_CLICK) + """SELECT date_trunc('second', event_time) AS event_time, event_type, CAST(product_id AS INTEGER) AS product_id, category_id, category_code, brand,
+ round(CAST(CAST(price AS FLOAT) AS DOUBLE), 4) AS price, CAST(user_id AS INTEGER) AS user_id, user_session FROM c""",
+    "events_through_chunks": _with(_CLICK) + "SELECT * REPLACE (round(price, 4) AS price) FROM c",
+    "view_sql": _with(_RETAIL, _days("r"), _products("r")) + "SELECT date, dau, total_purchases, (SELECT count(*) FROM products) AS products FROM days WHERE dau >= 2",
+    "formatted_totals": _with(_RETAIL, _days("r")) + f"SELECT date, {_compact('daily_revenue')} AS revenue_compact, '$' || format('{{:,.2f}}', daily_revenue) AS revenue_usd, {_compact('total_events')} AS events_compact FROM days",
     "compare_mix": _with(_CLICK) + _mix("Original") + " UNION ALL " + _mix("Sample", "user_id % 10 = 0"),
     "temporal_coverage": _with(_CLICK) + "SELECT count(DISTINCT CAST(event_time AS DATE)) AS days, min(event_time) AS first_event, max(event_time) AS last_event FROM c",
     "segment_population": _with(*_FEATURES) + "SELECT user_id, round(checkout_rate, 4) AS checkout_rate FROM wide WHERE rfm_segment = 'Champions'",
