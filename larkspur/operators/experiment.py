@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +76,37 @@ def student_p(t: float, df: float) -> float:
     return front * beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - x) / b
 
 
+def t_test_power(effect: float, n: float, alpha: float) -> float:
+    """Power of the two-sided two-sample t-test with n observations in either arm, by the noncentral t distribution.
+
+    The chance of T beyond the critical values is the normal one given the sample's deviation s, averaged over s.
+    """
+    df, shift = 2 * n - 2, abs(effect) * math.sqrt(n / 2)
+    if df <= 0:
+        return math.nan
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if student_p(mid, df) > alpha else (low, mid)
+    width = 10 / math.sqrt(2 * df)
+    s = np.linspace(max(1 - width, 1e-9), 1 + width, 4001) if df > 60 else np.linspace(1e-9, 1 + 3 * width, 20001)
+    log_density = (df - 1) * np.log(s) - df * s * s / 2
+    weight = np.exp(log_density - log_density.max())
+    normal = np.vectorize(NormalDist().cdf)
+    beyond = normal(shift - high * s) + normal(-shift - high * s)
+    return float((beyond * weight).sum() / weight.sum())
+
+
 def ab_readout(rows: DataFrame, by: Sequence[str] = (), confidence: float = 0.95) -> DataFrame:
-    """ab_statistics() with p values, post-hoc power (normal approximation) and the decision; the last step sees one row per group."""
-    alpha, z = 1 - confidence, NormalDist().inv_cdf(0.5 + confidence / 2)
+    """ab_statistics() with p values, post-hoc power (arms of the control's size) and the decision; the last step sees one row per group."""
+    alpha = 1 - confidence
     stats = ab_statistics(rows, by, confidence)
 
     def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        normal = NormalDist()
         for x in parts:
             x["t_p_value"] = [student_p(t, d) if pd.notna(t) and pd.notna(d) else None for t, d in zip(x["t_stat"], x["df"], strict=True)]
             x["z_p_value"] = [math.erfc(abs(s) / math.sqrt(2)) if pd.notna(s) else None for s in x["z_stat"]]
-            shift = [abs(e) * math.sqrt(n / 2) if pd.notna(e) else None for e, n in zip(x["effect_size"], x["control_n"], strict=True)]
-            x["power"] = [normal.cdf(s - z) + normal.cdf(-s - z) if s is not None else None for s in shift]
+            x["power"] = [t_test_power(e, n, alpha) if pd.notna(e) else None for e, n in zip(x["effect_size"], x["control_n"], strict=True)]
             x["significant"] = [bool(p is not None and p < alpha) for p in x["t_p_value"].where(x["t_p_value"].notna(), None)]
             x["decision"] = ["SHIP" if s and lift > 0 else "HOLD" for s, lift in zip(x["significant"], x["lift"], strict=True)]
             yield x

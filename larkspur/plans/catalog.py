@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
 from larkspur.functions.scalars import format_compact, format_usd
-from larkspur.plans.staging import staged_path
+from larkspur.plans.staging import remove, staged_path
 from larkspur.plans.star import register_views, run_query
 from larkspur.plans.twins import SQL
 from larkspur.sources.adapters import clickstream, retail
-from larkspur.sources.events import load_for_analysis, optimize_events, read_events, read_events_csv, write_chunks, write_events
+from larkspur.sources.events import load_for_analysis, optimize_events, read_events, read_events_csv, write_chunks, write_events, write_tables
 from larkspur.sources.schema import RAW_TIME
 
 #: The day that recency and churn count from where a variant wants one given.
@@ -86,6 +86,7 @@ def _through_csv(events: DataFrame) -> DataFrame:
     for side in (0, 1):
         text.filter(F.col("user_id") % 2 == side).write.option("header", True).csv(f"{raw}/{side}")
     write_events(optimize_events(read_events_csv(spark, [f"{raw}/0", f"{raw}/1"])), narrow)
+    remove(spark, raw)
     return read_events(spark, narrow)
 
 
@@ -96,6 +97,15 @@ def _through_chunks(events: DataFrame) -> DataFrame:
     return read_events(events.sparkSession, path)
 
 
+def _written(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row counts of tables, taken while these are written."""
+    spark = SparkSession.active()
+    folder = staged_path(spark, "tables")
+    counts = write_tables(tables, folder)
+    remove(spark, folder)
+    return counts
+
+
 def _view_sql(events: DataFrame) -> DataFrame:
     """SQL with a parameter over two of the star's views."""
     register_views({"larkspur_days": star.daily_kpis(events), "larkspur_products": star.dim_products(events)})
@@ -178,10 +188,11 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "key_metrics": (clickstream, lambda e: report.key_metrics(report.user_summary(e))),
     "executive_kpis": (clickstream, lambda e: report.executive_kpis(star.daily_kpis(e, "c"))),
     "sanity_totals": (clickstream, lambda e: report.sanity_totals(star.daily_kpis(e), star.dim_users(e))),
-    "row_counts": (clickstream, lambda e: report.row_counts({"dim_products": star.dim_products(e), "dim_users": star.dim_users(e), "fact_daily_kpis": star.daily_kpis(e), "fact_sessions": star.sessions(e)})),
+    "row_counts": (clickstream, lambda e: _written({"dim_products": star.dim_products(e), "dim_users": star.dim_users(e), "fact_daily_kpis": star.daily_kpis(e), "fact_sessions": star.sessions(e)})),
     "product_summary": (clickstream, report.product_summary),
     "user_summary": (clickstream, report.user_summary),
     "daily_summary": (clickstream, report.daily_summary),
+    "summary_row_counts": (clickstream, lambda e: _written({"product_summary": report.product_summary(e), "user_summary": report.user_summary(e), "daily_summary": report.daily_summary(e)})),
     "user_modulo_sample": (clickstream, lambda e: load_for_analysis(e, 0.1)),
     "events_through_csv": (clickstream, _through_csv),
     "events_through_chunks": (clickstream, _through_chunks),

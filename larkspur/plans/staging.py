@@ -38,6 +38,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that staged() wrote. What is still to be run must not read them."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.staged_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that staged_path() named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -248,6 +248,7 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
     "product_summary": _with(_CLICK, _BY_PRODUCT) + "SELECT * REPLACE (round(price, 4) AS price) FROM by_product",
     "user_summary": _with(_CLICK, _BY_USER) + "SELECT * REPLACE (round(total_spent, 4) AS total_spent) FROM by_user",
     "daily_summary": _with(_CLICK, _BY_DAY) + "SELECT * REPLACE (round(revenue, 4) AS revenue) FROM by_day",
+    "summary_row_counts": _with(_CLICK, _BY_PRODUCT, _BY_USER, _BY_DAY) + "SELECT 'product_summary' AS table_name, count(*) AS \"rows\" FROM by_product UNION ALL SELECT 'user_summary', count(*) FROM by_user UNION ALL SELECT 'daily_summary', count(*) FROM by_day",
     "user_modulo_sample": _with(_CLICK) + "SELECT * REPLACE (round(price, 4) AS price) FROM c WHERE user_id % 10 = 0",
     "stratified_users": _with(_RETAIL, _TILED, _firsts("tiled", "quintile", "0.03", 5)) + "SELECT user_id, CAST(quintile AS INTEGER) AS quintile FROM firsts",
     "stratified_sample": _with(_RETAIL, _TILED, _firsts("tiled", "quintile", "0.2", 5)) + f"SELECT * REPLACE (round(price, 4) AS price) FROM r WHERE user_id IN (SELECT user_id FROM firsts) AND {_hash(5, 'user_session', 'product_id')} % 1000000 < 500000",

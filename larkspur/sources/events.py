@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.sources.schema import RAW, RAW_TIME
@@ -29,7 +29,7 @@ def optimize_events(raw: DataFrame) -> DataFrame:
 
 def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that optimize_events() accepts, and those it would raise on."""
-    good = F.try_to_timestamp("event_time", F.lit(RAW_TIME)).isNotNull() & F.coalesce(F.expr("try_cast(product_id AS INT) IS NOT NULL OR product_id IS NULL"), F.lit(False)) & F.coalesce(F.expr("try_cast(user_id AS INT) IS NOT NULL OR user_id IS NULL"), F.lit(False))
+    good = (F.try_to_timestamp("event_time", F.lit(RAW_TIME)).isNotNull() | F.isnull("event_time")) & F.coalesce(F.expr("try_cast(product_id AS INT) IS NOT NULL OR product_id IS NULL"), F.lit(False)) & F.coalesce(F.expr("try_cast(user_id AS INT) IS NOT NULL OR user_id IS NULL"), F.lit(False))
     good = F.coalesce(good, F.lit(False))
     return raw.filter(good), raw.filter(~good)
 
@@ -45,6 +45,16 @@ def write_chunks(df: DataFrame, path: str, rows: int = 10_000_000, level: int =
     write_events(df, path, level, rows_per_file=rows)
 
 
+def write_tables(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Writes each table into its own folder; table_name, rows, with the rows counted by the plan that writes them."""
+    rows = []
+    for name, df in tables.items():
+        seen = Observation()
+        write_events(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{folder}/{name}")
+        rows.append((name, seen.get["rows"]))
+    return SparkSession.active().createDataFrame(rows, "table_name string, rows long")
+
+
 def size_report(spark: SparkSession, before: str, after: str) -> DataFrame:
     """One row: bytes before and after, and the percentage saved; only file listings are read."""
 
@@ -81,3 +91,15 @@ def describe_tables(spark: SparkSession) -> DataFrame:
     """table_name, column_name, data_type of every table and view in the current database, from the catalog alone."""
     rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+
+
+def table_sizes(spark: SparkSession) -> DataFrame:
+    """table_name, rows, bytes of every table in the current database, by ANALYZE TABLE; views have no size and are left out."""
+    rows = []
+    for t in spark.catalog.listTables():
+        if t.tableType in ("MANAGED", "EXTERNAL"):
+            spark.sql(f"ANALYZE TABLE `{t.name}` COMPUTE STATISTICS")
+            stats = spark.sql(f"DESCRIBE EXTENDED `{t.name}`").filter("col_name = 'Statistics'").select("data_type").first()
+            found = dict(reversed(x.split(" ", 1)) for x in stats.data_type.split(", "))  # such as: 1234 bytes, 10 rows
+            rows.append((t.name, int(found["rows"]), int(found["bytes"])))
+    return spark.createDataFrame(rows, "table_name string, rows long, bytes long")

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.ml import PipelineModel
 
 from larkspur.functions.scalars import format_compact, format_usd
 from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
@@ -186,6 +187,11 @@ def test_experiment_against_tabulated_values(spark):
     assert flat.decision == "HOLD" and flat.t_p_value is None
 
 
+@pytest.mark.parametrize(("effect", "n", "power"), [(0.5, 64, 0.8015), (0.8, 26, 0.8075), (0.0, 50, 0.05), (0.2, 10_000, 1.0), (0.02, 20_000, 0.516)])
+def test_power_of_the_t_test(effect, n, power):
+    assert abs(experiment.t_test_power(effect, n, 0.05) - power) < 1e-3
+
+
 def test_variants_are_stable_and_even(spark):
     users = spark.range(10_000).withColumnRenamed("id", "user_id")
     n = {r.variant: r["count"] for r in experiment.assign_variants(users, "x").groupBy("variant").count().collect()}
@@ -213,6 +219,10 @@ def test_propensity_model_learns(spark, tmp_path):
     assert propensity.roc_auc(propensity.score(model, test)) > 0.95
     assert propensity.feature_importance(model).first().feature == "carts"
     propensity.save_model(model, str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert sorted(map(tuple, propensity.score(again, test).collect())) == sorted(map(tuple, propensity.score(model, test).collect()))
+    assert {r.target: r["count"] for r in test.groupBy("target").count().collect()} == {0: 40, 1: 40}
+    assert propensity.roc_auc(spark.createDataFrame([(0, 0.1), (1, 0.1), (1, 0.3), (0, 0.2)], "target int, score double")) == 0.625
 
 
 def test_training_stops_by_the_validation_rows():
@@ -244,7 +254,15 @@ def test_files_there_and_back(spark, tmp_path):
     n, few = io.check_load(spark, "ingested_events")
     assert n == 2 and len(few.collect()) == 2
     assert io.describe_tables(spark).filter("table_name = 'ingested_events'").count() == 9
+    io.save_table(events.limit(0), "derived")
+    io.save_table(events.select("user_id", "price"), "derived")
+    assert spark.table("derived").columns == ["user_id", "price"] and spark.table("derived").count() == 2
+    sizes = {r.table_name: r for r in io.table_sizes(spark).collect()}
+    assert sizes["derived"].rows == 2 and sizes["ingested_events"].bytes > 0
+    assert {tuple(r) for r in io.write_tables({"a": events, "none": events.limit(0)}, str(tmp_path / "tables")).collect()} == {("a", 2), ("none", 0)}
+    assert io.read_events(spark, str(tmp_path / "tables" / "a")).count() == 2
     spark.sql("DROP TABLE ingested_events")
+    spark.sql("DROP TABLE derived")
 
 
 def test_star_views_answer_sql(spark, tiny):
