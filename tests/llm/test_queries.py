@@ -168,3 +168,29 @@ def test_sql_twins(spark, sf):
         columns = [c[0] for c in want.description]
         got = queries()[name](spark, folder).select(*columns)
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_recall_over_many_lists(spark):
+    """A hundred lists or more, of which a query reads a part."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 8)) * 2
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + rng.normal(size=8)]) for i in range(8_000)]
+    assert len(rows) // vectors.LIST_ROWS > 100
+    got = collections.defaultdict(list)
+    for r in vectors.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute_nearest(rows, 10)
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """Labels that the fit didn't see, over the whole table."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").collect() if r.toxic is not None}
+    scored = [r for r in queries()["op6_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = ([r for r in scored if labels[r.doc_id] == y] for y in (1, 0))
+    assert len(toxic) > 50 and len(clean) > 500
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert all(0 <= r.score <= 1 for r in scored)
