@@ -33,24 +33,26 @@ def _unicode_to_byte() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=4)
-def library_tokenizer(path: str):
-    """The tokenizers library's own reader of the file, without padding or truncation."""
+def library_tokenizer(path: str, special: bool = True):
+    """The tokenizers library's own reader of the file, without padding or truncation; with special=False special strings inside texts are plain text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
+    if not special:
+        t.encode_special_tokens = True
     return t
 
 
 @functools.lru_cache(maxsize=4)
-def byte_level_encoder(path: str) -> Callable[[str], np.ndarray]:
+def byte_level_encoder(path: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """text -> ids as the tokenizers library gives them for a byte-level BPE .json file, no special tokens added.
 
     Where the file is plain byte-level BPE whose merge order is its id order, the same merges run in tiktoken,
     which gives the same ids at about five times the speed; any other file goes to the tokenizers library.
-    Special strings inside a text become their single id, as is the library's default.
+    Special strings inside a text become their single id, as is the library's default, or with special=False are plain text.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -72,7 +74,7 @@ def byte_level_encoder(path: str) -> Callable[[str], np.ndarray]:
 
     def slow(text: str) -> np.ndarray:
         # read when first needed: a worker that needs the fast one alone holds no second vocabulary
-        return np.asarray(library_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.asarray(library_tokenizer(path, special).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     if not plain:
         return slow
@@ -86,7 +88,7 @@ def byte_level_encoder(path: str) -> Callable[[str], np.ndarray]:
     def encode(text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.uint32)
-        if any(s in text for s in added):
+        if special and any(s in text for s in added):
             return slow(text)
         return fast.encode_to_numpy(text, disallowed_special=())
 

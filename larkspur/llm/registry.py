@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import twins
+from larkspur.llm.align import align_tokens
+from larkspur.llm.centroids import cluster_vectors
 from larkspur.llm.chat import digest_examples, expand_replies
 from larkspur.llm.common import table, tokenizer_path
 from larkspur.llm.html import extract_main_text
@@ -15,6 +17,7 @@ from larkspur.llm.imatch import fingerprint_edits
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.ngramjoin import near_duplicates
 from larkspur.llm.packing import pack_documents
+from larkspur.llm.prefixbpe import encode_texts
 from larkspur.llm.tokencount import count_tokens
 from larkspur.llm.toxicity import fit, score_toxicity
 from larkspur.llm.vectors import nearest_neighbours
@@ -67,9 +70,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op5_posting_lists, op6_toxicity, op7_imatch, op8_ngram_jaccard, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_packing, op3_chat, op4_token_counts, op5_posting_lists, op6_toxicity, op7_imatch, op8_ngram_jaccard, op9_warc, op10_mixing, op11_token_alignment, op12_prefix_bpe, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": twins.CHAT, "op8_ngram_jaccard": twins.NGRAM, "op9_warc": twins.WARC}
+    return {"op3_chat": twins.CHAT, "op8_ngram_jaccard": twins.NGRAM, "op9_warc": twins.WARC, "op13_centroids": twins.CENTROIDS}

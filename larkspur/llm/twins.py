@@ -50,3 +50,35 @@ WITH sized AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
 FROM sized LEFT JOIN firsts USING (payload_digest)
 """
+
+
+def _rounds(rounds: int, k: int) -> str:
+    """k-means over integer vectors: the tables c0, c1, ... of centroids and the last assignment."""
+    steps = [f"""
+kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INT) AS cluster, v FROM kept
+    ORDER BY sha256('2:' || vec_id), v LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+    SELECT vec_id, v, min_by(cluster, d * {k} + cluster) AS cluster, min(d) AS distance
+    FROM (SELECT vec_id, kept.v AS v, cluster, list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{i}.v[i]) * (kept.v[i] - c{i}.v[i]))) AS d FROM kept, c{i})
+    GROUP BY vec_id, v)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+    SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+        FROM (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster) m USING (cluster))""")
+    return ",".join(steps)
+
+
+CENTROIDS = f"""
+WITH {_rounds(5, 40)}
+SELECT vec_id, a5.cluster AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a5.cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
