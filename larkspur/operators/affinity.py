@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import is_type
+from larkspur.plans.staging import staged
 from larkspur.sources.schema import PURCHASE
 
 
@@ -14,21 +15,62 @@ def baskets(df: DataFrame) -> DataFrame:
     return df.filter(is_type(PURCHASE)).select("user_session", "product_id")
 
 
-def product_pairs(rows: DataFrame, min_support: int = 5, directed: bool = True, distinct: bool = False) -> DataFrame:
+#: Products of a session that meet each other in one task; a session with more is cut into blocks of about so many.
+BLOCK = 512
+
+
+def basket_lines(rows: DataFrame) -> DataFrame:
+    """user_session, product_id, c: a session's products with their multiplicity."""
+    return rows.filter("user_session IS NOT NULL AND product_id IS NOT NULL").groupBy("user_session", "product_id").agg(F.count("*").alias("c"))
+
+
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """The lines of sessions with several products, with how many these are and the most frequent one's multiplicity."""
+    each = lines.groupBy("user_session").agg(F.max("c").alias("most"), F.count("*").alias("products")).filter("products > 1")
+    return lines.join(each, "user_session")
+
+
+def supported_lines(lines: DataFrame, min_support: int, distinct: bool) -> DataFrame:
+    """Of shared_lines() those whose product may be in a pair of that support.
+
+    By sessions, a pair has at most as many as either product. By row pairs, a product meets another in a session at most
+    c times the most frequent product's c, so the sum of these bounds all its pairs.
+    """
+    reach = F.count("*") if distinct else F.sum(F.col("c") * F.col("most"))
+    able = lines.groupBy("product_id").agg(reach.alias("reach")).filter(F.col("reach") >= min_support).select("product_id")
+    return lines.join(able, "product_id", "left_semi")
+
+
+def pair_cells(lines: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a session's pairs, each dealt to cells (user_session, p, q) in which all of them meet.
+
+    A session of n products has ceil(n / block) blocks by hash of the product, and a cell for every two of them and every
+    one: a triangle of fragments. A session of few products is one cell.
+    """
+    cut = lines.withColumn("blocks", F.ceil(F.col("products") / block).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int"))
+    a = cut.select("user_session", F.col("own").alias("p"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("q"), F.col("product_id").alias("product_a"), F.col("c").alias("c_a"))
+    b = cut.select("user_session", F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), F.col("product_id").alias("product_b"), F.col("c").alias("c_b"))
+    return a, b
+
+
+def product_pairs(rows: DataFrame, min_support: int = 5, directed: bool = True, distinct: bool = False, block: int = BLOCK) -> DataFrame:
     """Products bought in one session, by row pairs or by distinct sessions.
 
-    Each session keeps one row a product with its multiplicity, so a pair of rows costs one product of counts. A
-    product in fewer than min_support (rows or sessions) can't be in a pair of that support and leaves before the
-    join, as long as pairs are counted by session; AQE splits hot sessions in the join.
+    Each session keeps one row a product with its multiplicity, so a pair of rows costs one product of counts. Products
+    that can't reach min_support leave before the join. A session with many products is spread over as many tasks as it
+    has cells (pair_cells), each with block * block pairs at most. Pairs are joined and counted one way; directed ones
+    are turned around afterwards.
     """
-    lines = rows.filter("user_session IS NOT NULL AND product_id IS NOT NULL").groupBy("user_session", "product_id").agg(F.count("*").alias("c"))
-    if distinct:
-        frequent = lines.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support).select("product_id")
-        lines = lines.join(frequent, "product_id", "left_semi")
-    a, b = (lines.select("user_session", F.col("product_id").alias(f"product_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    joined = a.join(b, "user_session").filter("product_a <> product_b" if directed else "product_a < product_b")
+    lines = supported_lines(staged(shared_lines(basket_lines(rows)), "lines"), min_support, distinct)
+    a, b = pair_cells(lines, block)
+    met = a.join(b, ["user_session", "p", "q"]).filter("p < q OR product_a < product_b")
     n = F.count("*") if distinct else F.sum(F.col("c_a") * F.col("c_b"))
-    return joined.groupBy("product_a", "product_b").agg(n.alias("pair_count")).filter(F.col("pair_count") >= min_support)
+    pairs = met.groupBy(F.least("product_a", "product_b").alias("product_a"), F.greatest("product_a", "product_b").alias("product_b")).agg(n.alias("pair_count")).filter(F.col("pair_count") >= min_support)
+    if not directed:
+        return pairs
+    ways = F.array(F.struct("product_a", "product_b"), F.struct(F.col("product_b").alias("product_a"), F.col("product_a").alias("product_b")))
+    return pairs.select(F.explode(ways).alias("way"), "pair_count").select("way.product_a", "way.product_b", "pair_count")
 
 
 def product_support(rows: DataFrame, distinct: bool = False) -> DataFrame:

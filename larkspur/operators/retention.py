@@ -27,6 +27,15 @@ def retention_matrix(retention: DataFrame, weeks: Sequence[int] | None = None) -
     return retention.groupBy("cohort_week").pivot("weeks_since_first", None if weeks is None else list(weeks)).agg(F.first(F.round("retention_rate", 3)))
 
 
+def retention_curves(retention: DataFrame) -> DataFrame:
+    """A row a cohort: cohort_week, cohort_size, and rates, a map of every week that occurs to its rate.
+
+    The same cells as retention_matrix(), as data: no pass finds the weeks first, and the columns don't grow with the log.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("weeks_since_first", "retention_rate")))  # a cohort has a cell a week at most
+    return retention.groupBy("cohort_week").agg(F.first("cohort_size").alias("cohort_size"), F.map_from_entries(cells).alias("rates"))
+
+
 def churn_status(users: DataFrame, events: DataFrame, as_of: str | None = None, at_risk: int = 7, churned: int = 14) -> DataFrame:
     idle = F.date_diff("as_of", "last_seen")
     status = F.when(idle > churned, "Churned").when(idle > at_risk, "At Risk").otherwise("Active")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
 from larkspur.functions.scalars import format_compact, format_usd
-from larkspur.plans.staging import remove, staged_path
+from larkspur.plans.staging import held, remove, staged_path
 from larkspur.plans.star import register_views, run_query
 from larkspur.plans.twins import SQL
 from larkspur.sources.adapters import clickstream, retail
-from larkspur.sources.events import load_for_analysis, optimize_events, read_events, read_events_csv, write_chunks, write_events, write_tables
+from larkspur.sources.events import bucketed, column_statistics, file_report, load_for_analysis, optimize_events, read_days, read_events, read_events_csv, write_by_day, write_chunks, write_events, write_keyed, write_slices, write_tables
 from larkspur.sources.schema import RAW_TIME
 
 #: The day that recency and churn count from where a variant wants one given.
@@ -21,6 +21,8 @@ AS_OF = "2001-08-01"
 CUTOFF = "2001-02-01"
 #: The weeks of retention_matrix, as its SQL has them; retention_matrix_all has every week.
 WEEKS = range(0, 12)
+#: What events_by_day reads, the rows of a slice, and the buckets of saved tables.
+SPAN, SLICE, BUCKETS = ("1995-11-05 00:00:00", "1996-03-01 00:00:00"), 7000, 16
 #: Pairs are rare in the driver's baskets.
 SUPPORT = 2
 
@@ -87,14 +89,57 @@ def _through_csv(events: DataFrame) -> DataFrame:
         text.filter(F.col("user_id") % 2 == side).write.option("header", True).csv(f"{raw}/{side}")
     write_events(optimize_events(read_events_csv(spark, [f"{raw}/0", f"{raw}/1"])), narrow)
     remove(spark, raw)
-    return read_events(spark, narrow)
+    return held(read_events(spark, narrow), narrow)
 
 
 def _through_chunks(events: DataFrame) -> DataFrame:
     """The log written in files of a bounded number of rows, and read back."""
     path = staged_path(events.sparkSession, "chunks")
     write_chunks(events, path)
-    return read_events(events.sparkSession, path)
+    return held(read_events(events.sparkSession, path), path)
+
+
+def _curves(events: DataFrame) -> DataFrame:
+    """Every cohort's cells as text: weeks since and thousandths, in order."""
+    curves = retention.retention_curves(retention.weekly_retention(events, star.dim_users(events)))
+    cells = F.transform(F.map_entries("rates"), lambda e: F.concat_ws(":", e.key.cast("string"), F.round(e.value * 1000).cast("long").cast("string")))
+    return curves.select("cohort_week", "cohort_size", F.size("rates").cast("long").alias("weeks"), F.array_join(cells, " ").alias("rates"))
+
+
+def _by_day(events: DataFrame) -> DataFrame:
+    """The log written by months, one year of it written again, and a span of it read back by folders."""
+    spark, path = events.sparkSession, staged_path(events.sparkSession, "days")
+    write_by_day(events, path, unit="month")
+    write_by_day(events.filter((F.col("event_time") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("event_time") < F.lit("1997-01-01").cast("timestamp"))), path, unit="month")
+    return held(read_days(spark, path, *SPAN, unit="month"), path).select("event_time", "product_id", "price", "user_id", "user_session")
+
+
+def _slices(events: DataFrame) -> DataFrame:
+    """Rows of the files that the log's slices are, largest first."""
+    path = staged_path(events.sparkSession, "exact")
+    write_slices(events, path, SLICE)
+    files = held(file_report(events.sparkSession, path), path)
+    return files.select("rows", "codec", F.row_number().over(Window.orderBy(F.desc("rows"))).alias("nth"))  # a row a file
+
+
+def _looked_up(events: DataFrame) -> DataFrame:
+    """The lines of one brand and a few products, from files with Bloom filters for both."""
+    path = staged_path(events.sparkSession, "keyed")
+    write_keyed(events, path, ("product_id", "brand"))
+    return held(read_events(events.sparkSession, path), path).filter("product_id IN (7, 77, 177) OR brand = 'Brand#23' AND price > 50000")
+
+
+def _bucketed_features(events: DataFrame) -> DataFrame:
+    """The feature table from users, segments and behaviour saved in buckets by user."""
+    parts = star.dim_users(events), _segmented(events), features.session_features(star.sessions(events))
+    return features.feature_table(*(bucketed(p, "user_id", BUCKETS) for p in parts))
+
+
+def _columns(events: DataFrame) -> DataFrame:
+    """Rows and nulls of every column, and the ends of those that both engines show alike."""
+    alike = F.col("column_name").isin("event_type", "product_id", "brand", "user_id", "user_session")
+    found = column_statistics(events)
+    return found.select("column_name", "rows", "nulls", *(F.when(alike, F.col(c)).alias(c) for c in ("least", "greatest")))
 
 
 def _written(tables: dict[str, DataFrame]) -> DataFrame:
@@ -149,7 +194,7 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "rfm_scatter_sample": (retail, lambda e: rfm.rfm_scatter_sample(_segmented(e), 500)),
     "weekly_retention": (retail, lambda e: retention.weekly_retention(e, star.dim_users(e))),
     "retention_matrix": (retail, lambda e: retention.retention_matrix(retention.weekly_retention(e, star.dim_users(e)), WEEKS)),
-    "retention_matrix_all": (retail, lambda e: retention.retention_matrix(retention.weekly_retention(e, star.dim_users(e)))),
+    "retention_matrix_all": (retail, _curves),
     "churn_status": (retail, lambda e: retention.churn_status(star.dim_users(e), e, AS_OF)),
     "churn_counts": (retail, lambda e: retention.churn_counts(retention.churn_status(star.dim_users(e), e))),
     "baskets": (clickstream, affinity.baskets),
@@ -196,6 +241,11 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "user_modulo_sample": (clickstream, lambda e: load_for_analysis(e, 0.1)),
     "events_through_csv": (clickstream, _through_csv),
     "events_through_chunks": (clickstream, _through_chunks),
+    "events_by_day": (retail, _by_day),
+    "events_slices": (retail, _slices),
+    "events_lookup": (retail, _looked_up),
+    "feature_table_bucketed": (clickstream, _bucketed_features),
+    "column_statistics": (retail, _columns),
     "view_sql": (retail, _view_sql),
     "formatted_totals": (retail, _shown_totals),
     "stratified_sample": (retail, lambda e: sampling.stratified_user_sample(e, 20.0, by=("user_session", "product_id"))),

@@ -189,8 +189,17 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
     "segment_coverage": _with(*_FEATURES) + "SELECT rfm_segment, count(*) AS users FROM wide GROUP BY 1",
     "weekly_retention": _with(_RETAIL, _WEEKLY) + "SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, weeks_since_first, cohort_size, active_users, round(retention_rate, 4) AS retention_rate FROM weekly",
     "retention_matrix": _with(_RETAIL, _WEEKLY) + "SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, " + ", ".join(f'max(round(retention_rate, 3)) FILTER (WHERE weeks_since_first = {w}) AS "{w}"' for w in range(12)) + " FROM weekly GROUP BY 1",
-    "retention_matrix_all": _with(_RETAIL, _WEEKLY, "cells AS (SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, weeks_since_first, round(retention_rate, 3) AS rate FROM weekly)")
-    + "SELECT * FROM (PIVOT cells ON weeks_since_first USING max(rate) GROUP BY cohort_week)",
+    "retention_matrix_all": _with(_RETAIL, _WEEKLY)
+    + "SELECT CAST(cohort_week AS TIMESTAMP) AS cohort_week, max(cohort_size) AS cohort_size, count(*) AS weeks, string_agg(weeks_since_first || ':' || CAST(round(retention_rate * 1000) AS BIGINT), ' ' ORDER BY weeks_since_first) AS rates FROM weekly GROUP BY 1",
+    "events_by_day": _with(_RETAIL) + "SELECT event_time, product_id, round(price, 4) AS price, user_id, user_session FROM r WHERE event_time >= TIMESTAMP '1995-11-05' AND event_time < TIMESTAMP '1996-03-01'",
+    "events_slices": _with(_RETAIL, "n AS (SELECT count(*) AS n FROM r)")
+    + "SELECT least(7000, n - 7000 * i) AS rows, 'zstd' AS codec, CAST(i + 1 AS INTEGER) AS nth FROM n, range(0, CAST((SELECT (n + 6999) // 7000 FROM n) AS BIGINT)) t(i)",
+    "events_lookup": _with(_RETAIL) + "SELECT * REPLACE (round(price, 4) AS price) FROM r WHERE product_id IN (7, 77, 177) OR brand = 'Brand#23' AND price > 50000",
+    "column_statistics": _with(_RETAIL)
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS VARCHAR)' if shown else 'CAST(NULL AS VARCHAR)'} AS least, {f'CAST(max({c}) AS VARCHAR)' if shown else 'CAST(NULL AS VARCHAR)'} AS greatest FROM r"
+        for c, shown in {"event_time": 0, "event_type": 1, "product_id": 1, "category_id": 0, "category_code": 0, "brand": 1, "price": 0, "user_id": 1, "user_session": 1}.items()
+    ),
     "churn_status": _with(_RETAIL, _users("r"))
     + "SELECT user_id, last_seen, CAST(d AS INTEGER) AS days_inactive, CASE WHEN d > 14 THEN 'Churned' WHEN d > 7 THEN 'At Risk' ELSE 'Active' END AS status FROM (SELECT *, date_diff('day', CAST(last_seen AS DATE), DATE '2001-08-01') AS d FROM users)",
     "churn_counts": _with(_RETAIL, _users("r"))
@@ -281,3 +290,4 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
         "top AS (SELECT count(*) FILTER (WHERE score >= t) AS n, CAST(sum(target) FILTER (WHERE score >= t) AS DOUBLE) AS hits, CAST(sum(target) AS DOUBLE) AS pos, avg(target) AS base, any_value(t) AS t FROM scored, cut)")
     + "SELECT round(t, 4) AS threshold, n AS selected, round(hits / n, 4) AS precision, round(hits / pos, 4) AS recall, round(hits / n / base, 4) AS lift FROM top",
 }
+SQL["feature_table_bucketed"] = SQL["feature_table"]

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.plans.staging import discard, held, staged, staged_path
 from larkspur.sources.schema import RAW, RAW_TIME
 
+#: The partition column of a log by days.
+DAY = "event_date"
+
 
 def read_events_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Raw CSV files with a header, stacked."""
@@ -45,6 +50,65 @@ def write_chunks(df: DataFrame, path: str, rows: int = 10_000_000, level: int =
     write_events(df, path, level, rows_per_file=rows)
 
 
+def write_slices(df: DataFrame, path: str, rows: int = 10_000_000, level: int = 10) -> None:
+    """Folders slice=0, 1, ..., each one file of exactly `rows` rows, the last of what is left, in the order of df's rows.
+
+    df is written once and read back, so that its partitions and the order in them are fixed. Counting the partitions
+    tells every row's place in the whole; each slice then meets in one task, as it is one file.
+    """
+    df = staged(df, "slices")
+    placed = df.withColumn("_place", F.monotonically_increasing_id())  # the partition's number above 33 bits, the row's below
+    part = F.shiftrightunsigned("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    # a row a partition
+    starts = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_start"))
+    at = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_at", at).withColumn("slice", F.expr(f"_at DIV {rows}"))
+    ordered = numbered.repartition("slice").sortWithinPartitions("slice", "_at").select(*df.columns, "slice")
+    ordered.write.mode("overwrite").partitionBy("slice").option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    discard(df)
+
+
+def write_by_day(df: DataFrame, path: str, time: str = "event_time", unit: str = "day") -> None:
+    """A log in folders by day (or `week`, `month`, `year`), of which only those that df has rows for are replaced; loading a day again changes nothing else.
+
+    Spark deals the rows so that a day's rows share files and a day with very many has several. Rows within a task are in
+    order of time, so row groups cover short spans; rows without a time go to a folder of their own.
+    """
+    days = df.withColumn(DAY, F.to_date(F.date_trunc(unit, time))).hint("rebalance", DAY).sortWithinPartitions(DAY, time)
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(DAY).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, start: str | datetime, end: str | datetime, time: str = "event_time", unit: str = "day") -> DataFrame:
+    """The rows from start until before end. Whole days (or units) are left out by their folders, and row groups of the others by their spans."""
+    lo, hi = (F.lit(x).cast("timestamp") for x in (start, end))
+    days = spark.read.parquet(path).filter((F.col(DAY) >= F.to_date(F.date_trunc(unit, lo))) & (F.col(DAY) <= F.to_date(hi)))
+    kind = dict(days.dtypes)[time]
+    return days.filter((F.col(time) >= lo.cast(kind)) & (F.col(time) < hi.cast(kind)))
+
+
+def write_keyed(df: DataFrame, path: str, keys: Sequence[str], row_group_bytes: int = 16 << 20, distinct: int = 1 << 16) -> None:
+    """Parquet with a Bloom filter for each key in every row group, so that a lookup of few values reads few row groups.
+
+    distinct: values a row group may have; it sizes the filters.
+    """
+    writer = df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes)
+    for k in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", distinct)
+    writer.parquet(path)
+
+
+def file_report(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, bytes, rows and codec of every Parquet file below path.
+
+    Rows are counted by the reader from the footers, as no column is asked for; sizes come with the listing, the codec
+    from the name that Spark gave the file. Empty files of a write have no row here.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).select("_metadata.file_name", "_metadata.file_size")
+    counts = files.groupBy("file_name", F.col("file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    return counts.select("file_name", "bytes", "rows", F.regexp_extract("file_name", r"\.([a-z0-9]+)\.parquet$", 1).alias("codec"))
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Writes each table into its own folder; table_name, rows, with the rows counted by the plan that writes them."""
     rows = []
@@ -82,9 +146,40 @@ def check_load(spark: SparkSession, name: str, preview: int = 3) -> tuple[int, D
     return t.count(), t.limit(preview)
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    """Create-or-replace of a derived table."""
-    df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, by: str = "", buckets: int = 0) -> None:
+    """Create-or-replace of a derived table; with `by`, dealt to buckets by that column and sorted in them, so that tables saved alike join without a shuffle."""
+    writer = df.write.mode("overwrite")
+    (writer.bucketBy(buckets, by).sortBy(by) if by else writer).saveAsTable(name)
+
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """df written in buckets by a column and read back. Joins and groups by it with tables of as many buckets need no exchange.
+
+    The rows are dealt by the column first, so every bucket is one file. The catalog knows the table only while it is
+    read in; its files go as those of staged() do.
+    """
+    spark, path = df.sparkSession, staged_path(df.sparkSession, f"by-{by}")
+    name = "by_" + path.rpartition("-")[2]
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+    read = held(spark.table(name), path)
+    spark.sql(f"DROP TABLE {name}")
+    return read
+
+
+def column_statistics(df: DataFrame) -> DataFrame:
+    """column_name, rows, nulls, least, greatest, approx_distinct of every column, as text, from one pass that combines in the scanning tasks.
+
+    Doubles and times are shown as Spark casts them; arrays, maps and structs have no least and greatest value.
+    """
+    plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
+
+    def of(c: str) -> Column:
+        col = F.col(f"`{c}`")
+        ends = (F.min(col).cast("string"), F.max(col).cast("string")) if c in plain else (F.lit(None).cast("string"),) * 2
+        distinct = F.approx_count_distinct(col) if c in plain else F.lit(None).cast("long")
+        return F.struct(F.lit(c).alias("column_name"), F.count("*").alias("rows"), F.count_if(col.isNull()).alias("nulls"), ends[0].alias("least"), ends[1].alias("greatest"), distinct.alias("approx_distinct"))
+
+    return df.agg(F.array(*map(of, df.columns)).alias("columns")).select(F.inline("columns"))
 
 
 def describe_tables(spark: SparkSession) -> DataFrame:
