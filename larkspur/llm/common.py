@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.plans.staging import discard, staged, staged_path
+from larkspur.plans.staging import discard, held, staged, staged_path
 
-__all__ = ["byte_level_encoder", "discard", "library_tokenizer", "rows_of", "staged", "staged_path", "table", "tokenizer_path"]
+__all__ = ["byte_level_encoder", "discard", "held", "library_tokenizer", "rows_of", "staged", "staged_path", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

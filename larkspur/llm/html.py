@@ -49,11 +49,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>|<[a-zA-Z/][^>]*\Z",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
+#: A whole attribute, name then value, so that nothing is looked for inside another's name or value.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: The attributes that tell what an element is for.
+TELLING = frozenset("class id role hidden style aria-hidden".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -138,7 +141,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if name in IMPLIED and (i := last(*IMPLIED[name])) is not None:
             close(i)
         above = stack[-1][1]
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
+        attrs = _attributes(m["attrs"]) if m["attrs"] else {}
         if name == "br":
             buffer.append(" ")
         noise, article = _prior(name, attrs, above)
@@ -169,6 +172,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """The telling attributes; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        if (name := name.lower()) in TELLING:
+            out.setdefault(name, "".join(values))
+    return out
+
+
 def _prior(name: str, attrs: dict[str, str], above: Node) -> tuple[int, str | None]:
     """Why the element is noise, and which of article and main it lies in."""
     inside = "article" if name == "article" or above.article == "article" else "main" if name == "main" or above.article else None
@@ -269,9 +281,10 @@ def boilerplate_below(importances: list[float]) -> float | None:
     How much a site's chrome varies differs from site to site, but its articles vary more.
     """
     x = sorted(importances)
-    best, cut = 0.0, None
+    best, cut, below, total = 0.0, None, 0.0, math.fsum(x)
     for i in range(1, len(x)):
-        low, high = sum(x[:i]) / i, sum(x[i:]) / (len(x) - i)
+        below += x[i - 1]
+        low, high = below / i, (total - below) / (len(x) - i)
         between = i * (len(x) - i) * (high - low) ** 2
         if between > best and high - low >= CLASSES_APART and x[i] - x[i - 1] >= CLASS_GAP:
             best, cut = between, (x[i] + x[i - 1]) / 2
@@ -354,9 +367,15 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     joined = rows.join(trees, "host", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, tree = None, {}
         for batch in batches:
-            texts = [main_text(h, dict(zip(n or (), w or (), strict=True)), least) for h, n, w, least in rows_of(batch, "html", "nodes", "weights", "least")]
+            texts = []
+            nodes, weights = batch.column(batch.schema.get_field_index("nodes")), batch.column(batch.schema.get_field_index("weights"))
+            for i, (host, html, least) in enumerate(rows_of(batch, "host", "html", "least")):
+                if host != site:  # pages of a host mostly follow each other: its tree is built once for them
+                    site, tree = host, dict(zip(nodes[i].as_py() or (), weights[i].as_py() or (), strict=True))
+                texts.append(main_text(html, tree, least))
             n = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays([batch.column(n("page_id")), batch.column(n("url")), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "nodes", "weights", "least").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "host", "html", "nodes", "weights", "least").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

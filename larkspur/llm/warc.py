@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import staged, staged_path
+from larkspur.llm.common import held, staged, staged_path
 
 RECORDS = (
     "file string, offset long, length long, kind string, reason string, record_type string, page_id long, url string, "
@@ -24,8 +24,10 @@ RECORDS = (
 FILE_PAGES = ((64 << 10, 4096), (4 << 20, 64), (None, 1))
 #: Payloads below this many bytes are always written.
 LEAST_DUPLICATE = 100
-#: Bytes of a gzip member that are unfolded at a time.
-UNFOLDED = 1 << 24
+#: Bytes of a gzip member that are unfolded at a time, and that are fed for that; bytes of a name in its header at most.
+UNFOLDED, FED, NAME_BYTES = 1 << 24, 1 << 16, 1024
+#: Bytes of a record's headers at most, and the digests that are checked. Records with others are not judged by them.
+HEAD_BYTES, DIGESTS = 1 << 20, frozenset({"md5", "sha1", "sha256", "sha512"})
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,8 +72,10 @@ def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z",
         F.lit(_CRLF),
     )
     records = marked.withColumn("http", http).withColumn("block", block).select("n", F.concat(head, "block", F.lit(_CRLF)).alias("value"))
-    least = -1
+    least, longest = -1, rows.agg(F.max("n")).first()[0] or 0
     for most, pages_a_file in file_pages:
+        if least >= longest:  # no page is so long
+            break
         own = records.filter((F.col("n") > least) & (F.lit(True) if most is None else F.col("n") <= most))
         own.select("value").write.mode("append").option("lineSep", _CRLF).option("maxRecordsPerFile", pages_a_file).text(path)
         least = most
@@ -95,8 +99,9 @@ _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 
 
 def _headers(lines: bytes) -> dict[str, str]:
+    """Names in lower case, and values; a line that begins with white space goes on with the one before."""
     out = {}
-    for x in lines.decode("utf-8").split("\r\n"):
+    for x in re.sub(r"\r\n[ \t]+", " ", lines.decode("utf-8")).split("\r\n"):
         name, colon, value = x.partition(":")
         if not colon:
             raise ValueError("header line without a colon")
@@ -104,13 +109,26 @@ def _headers(lines: bytes) -> dict[str, str]:
     return out
 
 
-def _record(data: bytes, at: int) -> tuple[Found, int]:
+class Ends:
+    """The next end of headers from a place on. Places are asked for in ascending order mostly, so the bytes are searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.since, self.found = data, 0, -2
+
+    def after(self, at: int) -> int:
+        """-1 if there is none."""
+        if self.found == -2 or at < self.since or -1 < self.found < at:
+            self.since, self.found = at, self.data.find(b"\r\n\r\n", at)
+        return self.found
+
+
+def _record(data: bytes, at: int, ends: Ends) -> tuple[Found, int]:
     """The record at this place and where it ends; ValueError if a check fails."""
     version = _VERSION.match(data, at)
     if not version:
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    end = ends.after(at)
+    if end < 0 or end - at > HEAD_BYTES:
         raise ValueError("headers have no end")
     if _VERSION.search(data, version.end(), end + 2):
         raise ValueError("another record begins among the headers")
@@ -134,32 +152,52 @@ def _record(data: bytes, at: int) -> tuple[Found, int]:
         if size is not None and size != str(len(payload)):
             raise ValueError("payload is shorter or longer than its length says")
         name, _, want = digest.partition(":")
-        if want and name in hashlib.algorithms_available:
+        if want and (name := name.strip().lower().replace("-", "")) in DIGESTS:
             got = hashlib.new(name, payload)
             if want.lower() != got.hexdigest() and want.upper() != base64.b32encode(got.digest()).decode():
                 raise ValueError("payload digest differs")
     return Found(at, stop + 4 - at, "record", None, headers, payload, int(size) if size else len(payload)), stop + 4
 
 
+def _deflated(data: bytes, at: int) -> int:
+    """Where the gzip header at this place ends; ValueError if it has none of usual size."""
+    flags, end = data[at + 3 : at + 4], at + 10
+    if not flags or flags[0] & 0xE0:
+        raise ValueError("no gzip header")
+    if flags[0] & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for bit in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags[0] & bit:
+            end = data.find(b"\0", end, end + NAME_BYTES) + 1
+            if not end:
+                raise ValueError("name in the gzip header has no end")
+    return end + (2 if flags[0] & 2 else 0)
+
+
 def _member(data: bytes, at: int) -> tuple[list[Found], int]:
     """The records of the gzip member at this place and where it ends; ValueError if a check fails."""
-    unzip, inside, rest = zlib.decompressobj(31), bytearray(), memoryview(data)[at:]
+    fed, inside, rest = _deflated(data, at), bytearray(), memoryview(data)
+    unzip = zlib.decompressobj(31)
+    chunk = rest[at:fed]
     try:
         while not unzip.eof:
-            got = unzip.decompress(rest, UNFOLDED)
-            rest = unzip.unconsumed_tail
+            got = unzip.decompress(chunk, UNFOLDED)
             if not inside and got and not _VERSION.match(got):
                 raise ValueError("no version line in the member")  # of what is no archive no more is unfolded
-            if not got and not rest and not unzip.eof:
-                raise ValueError("member is cut off")
             inside += got
+            chunk = unzip.unconsumed_tail
+            if not chunk and not unzip.eof:
+                chunk, fed = rest[fed : fed + FED], fed + FED
+                if not chunk and not got:
+                    raise ValueError("member is cut off")
     except zlib.error as e:
         raise ValueError(f"damaged member: {e}") from None
+    stop = min(fed, len(data)) - len(unzip.unused_data)
     inside = bytes(inside)
-    stop = len(data) - len(unzip.unused_data)
+    ends = Ends(inside)
     found, pos = [], 0
     while pos < len(inside):
-        record, pos = _record(inside, pos)
+        record, pos = _record(inside, pos, ends)
         record.offset, record.length = at, stop - at
         found.append(record)
     if not found:
@@ -167,10 +205,10 @@ def _member(data: bytes, at: int) -> tuple[list[Found], int]:
     return found, stop
 
 
-def _here(data: bytes, at: int) -> tuple[list[Found], int]:
+def _here(data: bytes, at: int, ends: Ends) -> tuple[list[Found], int]:
     if data[at : at + 2] == b"\x1f\x8b":
         return _member(data, at)
-    record, stop = _record(data, at)
+    record, stop = _record(data, at, ends)
     return [record], stop
 
 
@@ -180,16 +218,16 @@ def salvage(data: bytes) -> Iterator[Found]:
     Where the bytes at hand fail a check (version line, lengths, end marks, digest, gzip sums), the next place
     that looks like a member or a version line and passes all checks is searched, and reading goes on there.
     """
-    at = 0
+    at, ends = 0, Ends(data)
     while at < len(data):
         try:
-            found, stop = _here(data, at)
+            found, stop = _here(data, at, ends)
         except ValueError as e:
             reason, found, stop = str(e), [], len(data)
             gap = at
             for m in _CANDIDATE.finditer(data, at + 1):
                 try:
-                    found, stop = _here(data, m.start())
+                    found, stop = _here(data, m.start(), ends)
                 except ValueError:
                     continue
                 at = m.start()
@@ -242,4 +280,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back."""
     path = staged_path(pages.sparkSession, "warc")
     write_warc(pages, path)
-    return read_warc(pages.sparkSession, path, payloads=False)
+    return held(read_warc(pages.sparkSession, path, payloads=False), path)
