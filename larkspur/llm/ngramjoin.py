@@ -18,10 +18,14 @@ from larkspur.llm.common import discard, rows_of, staged
 WORDS, PERCENT = 5, 75
 #: A set of n shingles has 1 + n // EXTRA keys more than one common key takes: sets that link share as many keys.
 EXTRA = 8
-#: Least and most bits of a set's signature; a set has 4 to 8 bits a shingle between them.
+#: Least and most bits of a set's signature; a set has 8 to 16 bits a shingle between them.
 LEAST_BITS, MOST_BITS = 2048, 65_536
+#: Most bits of a node's bitmap, and the share of its smallest set's shingles that chance may find in another node's bitmap like it.
+NODE_BITS, CHANCE = 1 << 22, 0.3
 #: Sets in a leaf of a signature tree; sets and shingles that one tree holds, and a share of them that is enough where only trees are searched.
-LEAF, TREE, TREE_SHINGLES, FIRST_SHARE = 32, 4096, 1 << 21, 8
+LEAF, TREE, TREE_SHINGLES, FIRST_SHARE = 8, 4096, 1 << 21, 8
+#: Sets of small groups that one tree takes together, about.
+TOGETHER = 512
 #: A key in this share of a lot's sets is dealt to so many tasks by lot.
 HOT_SHARE, SALTS = 0.05, 64
 #: Keys by which each set is first joined with others.
@@ -101,16 +105,20 @@ def set_id(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(own: np.ndarray) -> bytes:
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(own) - 1).bit_length()))
+def bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
+    """A bit for each shingle, at its hash modulo the width, a power of two."""
     bits = np.zeros(width, np.uint8)
-    bits[(own >> np.uint64(20)) & np.uint64(width - 1)] = 1
-    return np.packbits(bits).tobytes()
+    bits[(shingles >> np.uint64(20)) & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _width(bits: float, least: int, most: int) -> int:
+    return min(most, max(least, 1 << (math.ceil(bits) - 1).bit_length()))
 
 
 def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Signatures at a smaller width: a bit's place is a hash modulo a power of two."""
-    return bits if bits.shape[1] == words else np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+    """A bitmap at a smaller width."""
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
 def prefix_length(n: int) -> int:
@@ -185,146 +193,161 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(kept, pa.int64()))
 
 
+class Below:
+    """A node: its sets are places lo to hi in the tree's order, of `least` to `most` shingles each.
+
+    bits is the OR of its sets' bitmaps, at a width that keeps chance hits few; None where that would take too many.
+    crowd is how many of its different shingles share a bit with another: no set below has more that do.
+    """
+
+    __slots__ = ("lo", "hi", "least", "most", "bits", "crowd", "kids", "own")
+
+    def __init__(self, lo: int, hi: int, sizes: np.ndarray, shingles: np.ndarray, kids: tuple[Below, Below] | None):
+        self.lo, self.hi, self.kids, self.own = lo, hi, kids, None
+        self.least, self.most = int(sizes.min()), int(sizes.max())
+        # two nodes of `total` shingles hit each other's bits total**2 / width times by chance
+        need = float(len(shingles)) ** 2 / (CHANCE * self.least)
+        self.bits, self.crowd = None, 0
+        if need <= NODE_BITS or kids is None:
+            self.bits = bitmap(shingles, _width(need, LEAST_BITS, NODE_BITS))
+            self.crowd = len(np.unique(shingles)) - int(np.bitwise_count(self.bits).sum())
+
+
 class SignatureTree:
     """Sets under nodes that hold the OR of their bitmaps and the range of their sizes.
 
     labels tells the component of each set by its place in `at` and may change while pairs are read: nodes whose
-    sets are all of one component are left out.
+    sets are all of one component are left out. seen counts the pairs of nodes that were looked at, and those that
+    sizes, one label and bitmaps cut.
     """
 
-    def __init__(self, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, at: np.ndarray | None = None):
-        self.sizes, self.labels, self.sigs = sizes, labels, sigs
-        self.at = np.arange(len(sizes)) if at is None else at
-        self.pops = np.bitwise_count(sigs).sum(axis=1).astype(np.int64)
-        self.spans: list[tuple[int, int]] = []
-        self.kids: list[tuple[int, int] | None] = []
-        self.facts: list[tuple] = []
-        self.root = self._build(0, len(sizes))
-
-    def _build(self, lo: int, hi: int) -> int:
-        if hi - lo <= LEAF:
-            kids, bits = None, np.bitwise_or.reduce(self.sigs[lo:hi], axis=0)
-        else:
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, at: np.ndarray | None = None):
+        self.sets, self.labels = sets, labels
+        self.at = np.arange(len(sets)) if at is None else at
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.seen = dict.fromkeys(("pairs", "sizes", "label", "bits", "leaves"), 0)
+        flat, ends = np.concatenate(sets), np.append(0, np.cumsum(self.sizes))
+
+        def grown(lo: int, hi: int) -> Below:
             mid = (lo + hi) // 2
-            kids = self._build(lo, mid), self._build(mid, hi)
-            bits = self.facts[kids[0]][0] | self.facts[kids[1]][0]
-        self.spans.append((lo, hi))
-        self.kids.append(kids)
-        self.facts.append((bits, int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max()), int(self.pops[lo:hi].min())))
-        return len(self.spans) - 1
-
-    def _label(self, node: int) -> int | None:
-        own = self.labels[self.at[slice(*self.spans[node])]]
+            kids = (grown(lo, mid), grown(mid, hi)) if hi - lo > LEAF else None
+            return Below(lo, hi, self.sizes[lo:hi], flat[ends[lo] : ends[hi]], kids)
+
+        self.root = grown(0, len(sets))
+
+    def _label(self, node: Below) -> int | None:
+        own = self.labels[self.at[node.lo : node.hi]]
         return int(own[0]) if (own == own[0]).all() else None
 
     def pairs(self, other: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of this and the other tree with different labels that may link; for a tree and itself, each pair once.
 
-        A set's overlap with any set below a node is its size less the bits it has outside the node's bitmap, at most.
+        Two sets share at most as many shingles as their nodes have bits in common, and those that hide behind another
+        shingle's bit; bitmaps of two widths are compared at the smaller, where the smaller one's sets bound the rest.
         """
-        todo = [(self.root, other.root)]
+        todo, seen = [(self.root, other.root)], self.seen
         while todo:
             a, b = todo.pop()
-            (a_bits, a_min, a_max, a_pop), (b_bits, b_min, b_max, b_pop) = self.facts[a], other.facts[b]
-            if 100 * min(a_max, b_max) < PERCENT * max(a_min, b_min):
+            seen["pairs"] += 1
+            if 100 * min(a.most, b.most) < PERCENT * max(a.least, b.least):
+                seen["sizes"] += 1
                 continue
             label = self._label(a)
             if label is not None and label == other._label(b):
+                seen["label"] += 1
                 continue
-            common = int(np.bitwise_count(a_bits & b_bits).sum())
-            most = min(a_max - max(0, a_pop - common), b_max - max(0, b_pop - common))
-            if (100 + PERCENT) * most < PERCENT * (a_min + b_min):
-                continue
-            if self.kids[a] is None and other.kids[b] is None:
-                yield from self._leaves(other, self.spans[a], other.spans[b], self is other and a == b)
-            elif other is self and a == b:
-                x, y = self.kids[a]
+            if a is not b and a.bits is not None and b.bits is not None:
+                low = a if len(a.bits) <= len(b.bits) else b
+                words = len(low.bits)
+                most = int(np.bitwise_count(_folded(a.bits, words) & _folded(b.bits, words)).sum()) + low.crowd
+                if (100 + PERCENT) * min(most, a.most, b.most) < PERCENT * (a.least + b.least):
+                    seen["bits"] += 1
+                    continue
+            if a.kids is None and b.kids is None:
+                seen["leaves"] += 1
+                yield from self._leaves(other, a, b)
+            elif a is b:
+                x, y = a.kids
                 todo += [(x, y), (y, y), (x, x)]  # the halves come first: what they join is left out between them
-            elif other.kids[b] is None or self.kids[a] is not None and self.spans[a][1] - self.spans[a][0] >= other.spans[b][1] - other.spans[b][0]:
-                todo += [(x, b) for x in self.kids[a]]
+            elif b.kids is None or a.kids is not None and a.hi - a.lo >= b.hi - b.lo:
+                todo += [(x, b) for x in a.kids]
             else:
-                todo += [(a, x) for x in other.kids[b]]
-
-    def _leaves(self, other: SignatureTree, x: tuple[int, int], y: tuple[int, int], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        p, q = slice(*x), slice(*y)
-        both = np.bitwise_count(self.sigs[p, None, :] & other.sigs[None, q, :]).sum(axis=2).astype(np.int64)
-        n, m = self.sizes[p, None], other.sizes[None, q]
-        most = np.minimum(n - (self.pops[p, None] - both), m - (other.pops[None, q] - both))
-        may = ((100 + PERCENT) * most >= PERCENT * (n + m)) & (self.labels[self.at[p]][:, None] != other.labels[other.at[q]][None, :])
-        if same:
+                todo += [(a, x) for x in b.kids]
+
+    def _own(self, leaf: Below) -> tuple[np.ndarray, np.ndarray]:
+        """The bitmaps of a leaf's sets, at one width, and how many bits each has."""
+        if leaf.own is None:
+            width = _width(8 * leaf.most, LEAST_BITS, MOST_BITS)
+            sigs = np.stack([bitmap(x, width) for x in self.sets[leaf.lo : leaf.hi]])
+            leaf.own = sigs, np.bitwise_count(sigs).sum(axis=1).astype(np.int64)
+        return leaf.own
+
+    def _leaves(self, other: SignatureTree, a: Below, b: Below) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A set's overlap with another is its size less the bits it has outside the other's bitmap, at most."""
+        (x, x_pops), (y, y_pops) = self._own(a), other._own(b)
+        if x.shape[1] != y.shape[1]:
+            words = min(x.shape[1], y.shape[1])
+            x, y = (np.stack([_folded(r, words) for r in z]) for z in (x, y))
+            x_pops, y_pops = (np.bitwise_count(z).sum(axis=1).astype(np.int64) for z in (x, y))
+        both = np.bitwise_count(x[:, None] & y[None]).sum(axis=2).astype(np.int64)
+        n, m = self.sizes[a.lo : a.hi, None], other.sizes[None, b.lo : b.hi]
+        most = np.minimum(n - (x_pops[:, None] - both), m - (y_pops[None] - both))
+        may = ((100 + PERCENT) * most >= PERCENT * (n + m)) & (self.labels[self.at[a.lo : a.hi]][:, None] != other.labels[other.at[b.lo : b.hi]][None])
+        if a is b:
             may = np.triu(may, 1)
         i, j = np.nonzero(may)
         if len(i):
-            yield i + x[0], j + y[0]
+            yield i + a.lo, j + b.lo
 
 
 def joined_labels(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs (label, label) that make one component of all whose sets link, at most as many as there are labels.
 
-    The sets of each width of signature are in one tree a side, or one in all; the trees are traversed in pairs and
-    what the signatures don't rule out is compared shingle by shingle, unless its labels have met meanwhile.
+    A side's sets are in one tree, in order of bands of their size and then of their smallest shingle, which near copies
+    mostly share. The trees are traversed in pairs and what the bounds don't rule out is compared shingle by shingle,
+    unless its labels have met meanwhile.
     """
     first, labels = labels, labels.copy()
     sizes = np.array([len(own) for own in sets], np.int64)
     known, every = np.unique(np.concatenate(sets), return_inverse=True)
     own = np.split(every, np.cumsum(sizes)[:-1])
     held = np.zeros(len(known), bool)
-    classes: dict[int, list[list[int]]] = {}
-    sigs = [signature(x) for x in sets]
     bands = np.floor(np.log(sizes) / math.log(1.15))
-    for i in np.lexsort((nodes, [x[0] for x in sets], bands)).tolist():  # sets of like size and the same smallest shingle stand together
-        classes.setdefault(len(sigs[i]) // 8, [[], []])[sides[i]].append(i)
-    grown: dict[tuple, SignatureTree] = {}
-
-    def tree(width: int, side: int, folded: int) -> SignatureTree:
-        if (width, side, folded) not in grown:
-            at = classes[width][side]
-            bits = np.frombuffer(b"".join(sigs[i] for i in at), np.uint64).reshape(len(at), -1)
-            grown[width, side, folded] = SignatureTree(sizes[at], labels, _folded(bits, folded), np.array(at))
-        return grown[width, side, folded]
-
-    def compare(a: SignatureTree, b: SignatureTree) -> None:
-        for i, j in a.pairs(b):
-            i, j = a.at[i], b.at[j]
-            for x in np.unique(i):
-                others = j[i == x]
-                others = others[labels[others] != labels[x]]
-                if not len(others):
-                    continue
-                held[own[x]] = True
-                both = np.add.reduceat(held[np.concatenate([own[y] for y in others])].astype(np.int64), np.cumsum(np.append(0, sizes[others[:-1]])))
-                held[own[x]] = False
-                for y in others[100 * both >= PERCENT * (sizes[x] + sizes[others] - both)]:
-                    p, q = sorted((labels[x], labels[y]))
-                    labels[labels == q] = p
-
-    two = bool(sides.any())
-    for width in sorted(classes):
-        for other in (width, 2 * width):  # sets that can link have the same width or one twice the other, and meet at the smaller
-            if other in classes:
-                for x, y in [(0, 0)] if not two else [(0, 1)] if width == other else [(0, 1), (1, 0)]:
-                    if classes[width][x] and classes[other][y]:
-                        compare(tree(width, x, width), tree(other, y, width))
+    order = np.lexsort((nodes, [x[0] for x in sets], bands))
+    trees = [SignatureTree([sets[i] for i in at], labels, at) for side in (0, 1) if len(at := order[sides[order] == side])]
+    for i, j in trees[0].pairs(trees[-1]):
+        i, j = trees[0].at[i], trees[-1].at[j]
+        for x in np.unique(i):
+            others = j[i == x]
+            others = others[labels[others] != labels[x]]
+            if not len(others):
+                continue
+            held[own[x]] = True
+            both = np.add.reduceat(held[np.concatenate([own[y] for y in others])].astype(np.int64), np.cumsum(np.append(0, sizes[others[:-1]])))
+            held[own[x]] = False
+            for y in others[100 * both >= PERCENT * (sizes[x] + sizes[others] - both)]:
+                p, q = sorted((labels[x], labels[y]))
+                labels[labels == q] = p
     return sorted(set(zip(labels[labels != first].tolist(), first[labels != first].tolist(), strict=True)))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, p, q, side, node, label, text) sorted by group, p, q: the edges that each group's trees find."""
+    """Rows (mixed, group, p, q, side, node, label, text) sorted by the first four: the edges that each group's trees find."""
     group, held = None, {}
 
     def found() -> pa.RecordBatch:
         edges: list[tuple[int, int]] = []
-        if len(held) > 1 and (group[1] == group[2] or len({side for side, *_ in held.values()}) > 1):
+        if len(held) > 1 and (group[2] == group[3] or len({side for side, *_ in held.values()}) > 1):
             sides, labels, texts = zip(*held.values(), strict=True)
             edges = joined_labels(np.fromiter(held, np.int64, len(held)), np.array(labels, np.int64), np.array(sides), list(shingle_sets(list(texts))))
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for g, p, q, side, node, label, text in rows_of(batch, "group", "p", "q", "side", "node", "label", "text"):
-            if (g, p, q) != group:
+        for m, g, p, q, side, node, label, text in rows_of(batch, "mixed", "group", "p", "q", "side", "node", "label", "text"):
+            if (m, g, p, q) != group:
                 yield found()
-                group = (g, p, q)
+                group = (m, g, p, q)
             held[node] = (side, label, text)
     yield found()
 
@@ -332,19 +355,25 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tree_links(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     """a, b: edges between the labels of sets that link and have a common group. members: group, node, n, label.
 
-    A group's sets are dealt to trees of bounded size. Only the sets of one tree meet if not `whole`; else every two
-    trees of a group do. Either way a task's edges are fewer than its sets.
+    Small groups are put together by hash until they fill a tree, whose bounds part what has nothing in common. A larger
+    group's sets are dealt to trees of bounded size. Only the sets of one tree meet if not `whole`; else every two trees
+    of a group do. Either way a task's edges are fewer than its sets.
     """
     members = staged(members, "members")
     size = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     share = 1 if whole else FIRST_SHARE
-    size = size.select("group", F.greatest(F.ceil(share * F.col("sets") / TREE), F.ceil(share * F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
-    part = F.pmod(F.xxhash64("node", "group"), F.col("trees")).cast("int")
-    rows = members.join(size, "group").withColumn("part", part)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)) if whole else F.col("part"))
-    rows = rows.select("group", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label")
-    rows = rows.join(texts, "node").withColumn("side", (F.col("part") != F.col("p")).cast("int")).drop("part")
-    edges = staged(rows.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(_search, "a long, b long").distinct(), "links")
+    size = size.select("group", "sets", F.greatest(F.ceil(share * F.col("sets") / TREE), F.ceil(share * F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
+    lots = max(1, members.count() // TOGETHER)
+    small = F.col("sets") <= TOGETHER // 8
+    lot = F.when(small & (F.col("trees") <= 1), F.pmod(F.xxhash64("group"), F.lit(lots)))
+    rows = members.join(size.withColumn("lot", lot), "group")
+    apart = rows.filter("lot IS NULL").withColumn("part", F.pmod(F.xxhash64("node", "group"), F.col("trees")).cast("int"))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)) if whole else F.col("part"))
+    apart = apart.select(F.lit(False).alias("mixed"), "group", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label")
+    mixed = rows.filter("lot IS NOT NULL").select(F.lit(True).alias("mixed"), F.col("lot").alias("group"), *(F.lit(0).alias(c) for c in ("p", "q", "part")), "node", "label").distinct()
+    rows = apart.unionByName(mixed).join(texts, "node").withColumn("side", (F.col("part") != F.col("p")).cast("int")).drop("part")
+    keys = ["mixed", "group", "p", "q"]
+    edges = staged(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search, "a long, b long").distinct(), "links")
     discard(members)
     return edges
 

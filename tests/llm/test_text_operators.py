@@ -388,9 +388,11 @@ def brute_components(rows):
     return sorted((str(d), len(s), str(least.get(find(i)) if s else d)) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("tree", [4096, 8])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, tree):
+@pytest.mark.parametrize("tree,together,node_bits", [(4096, 512, 1 << 22), (8, 16, 1 << 22), (8, 512, 1 << 12), (4096, 64, 1 << 11)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, tree, together, node_bits):
     monkeypatch.setattr(ngramjoin, "TREE", tree)
+    monkeypatch.setattr(ngramjoin, "TOGETHER", together)
+    monkeypatch.setattr(ngramjoin, "NODE_BITS", node_bits)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(500)]
     base, rows = [list(rng.choice(words, int(rng.integers(8, 120)))) for _ in range(12)], []
@@ -416,13 +418,29 @@ def test_signature_trees_lose_no_pair():
         own = set(rng.choice(pool, 60).tolist()) if i % 3 else set(sets[-1][: int(rng.integers(45, 60))]) | set(rng.choice(pool, 5).tolist()) if sets else {1}
         sets.append(sorted(own))
     sets.sort(key=len)
-    sigs = np.array([np.frombuffer(ngramjoin.signature(np.array(s, np.uint64)), np.uint64) for s in sets])
-    tree = ngramjoin.SignatureTree(np.array([len(s) for s in sets]), np.arange(len(sets)), sigs)
+    tree = ngramjoin.SignatureTree([np.array(s, np.uint64) for s in sets], np.arange(len(sets)))
     found = {tuple(sorted((int(a), int(b)))) for i, j in tree.pairs(tree) for a, b in zip(i, j, strict=True)}
     links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (n := len(set(sets[i]) & set(sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - n)}
     assert links <= found and len(links) > 5 and len(found) < len(sets) ** 2 / 8
 
 
+def test_bitmaps_of_nodes_part_what_sizes_leave():
+    rng = np.random.default_rng(8)
+    sets = []
+    for i in range(600):
+        own = rng.integers(0, 2**63, 230 + i % 9).astype(np.uint64) if i % 10 else np.append(sets[-1][20:], rng.integers(0, 2**63, 20).astype(np.uint64)) if sets else np.arange(230, dtype=np.uint64)
+        sets.append(np.unique(own))
+    order = np.lexsort(([x[0] for x in sets],))
+    sets = [sets[i] for i in order]
+    tree = ngramjoin.SignatureTree(sets, np.arange(len(sets)))
+    found = {tuple(sorted((int(a), int(b)))) for i, j in tree.pairs(tree) for a, b in zip(i, j, strict=True)}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) > 190}
+    assert links <= found and len(links) > 40
+    seen = tree.seen
+    # of 8,256 pairs of leaves nearly all are cut, most of them far above the leaves; 128 are a leaf and itself
+    assert seen["bits"] > 2 * seen["leaves"] and seen["leaves"] < 300 and seen["pairs"] < 2000
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101)]
     got = {r.node: r.label for r in ngramjoin.components(spark.createDataFrame(edges, "a long, b long")).collect()}
