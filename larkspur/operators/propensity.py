@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -42,44 +42,23 @@ def stratified_split(frame: DataFrame, test: float = 0.2, seed: int = 42) -> tup
     return frame.join(held, "user_id", "left_anti"), frame.join(held, "user_id", "left_semi")
 
 
-def train(frame: DataFrame, rounds: int = 1000, seed: int = 42, patience: int = 50) -> PipelineModel:
-    """Boosted trees up to the round of least log loss on a tenth of the rows, by hash, after which `patience` rounds brought no less.
+def train(frame: DataFrame, rounds: int = 1000, seed: int = 42, depth: int = 3, least: int = 50) -> PipelineModel:
+    """Boosted trees that stop growing at the first round that doesn't lower the log loss on a tenth of the rows, by hash.
 
-    Spark's own early stop has no patience, so trees are grown to twice the rounds until that many passed, and then
-    once more to the best round; a round's tree depends on the seed and the rounds before it only.
+    Spark gives the first tree full weight and shrinks the others, so trees are shallow and every leaf holds `least`
+    rows: the first can't fit the noise that the later ones then couldn't mend. The ensemble is grown once.
     """
-    marked = frame.withColumn("target", F.col("target").cast("double"))
-    validates = F.pmod(F.xxhash64("user_id", F.lit(seed + 1)), F.lit(10)) == 0
+    marked = frame.withColumn("target", F.col("target").cast("double")).withColumn("validates", F.pmod(F.xxhash64("user_id", F.lit(seed + 1)), F.lit(10)) == 0)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    own, other = (assembler.transform(marked.filter(x)).select("features", "target").persist() for x in (~validates, validates))
-
-    def grown(n: int) -> GBTClassificationModel:
-        return GBTClassifier(labelCol="target", featuresCol="features", stepSize=0.05, maxDepth=5, maxIter=n, featureSubsetStrategy="0.9", seed=seed).fit(own)
-
-    n = min(rounds, 2 * patience)
-    while True:
-        model = grown(n)
-        best, stopped = best_round(model.evaluateEachIteration(other), patience)
-        if stopped or n == rounds:
-            break
-        n = min(rounds, 2 * n)
-    model = model if best == n else grown(best)
+    trees = GBTClassifier(
+        labelCol="target", featuresCol="features", stepSize=0.05, maxDepth=depth, minInstancesPerNode=least, maxIter=rounds, featureSubsetStrategy="0.9", seed=seed, validationIndicatorCol="validates", validationTol=0.0
+    )
+    own = assembler.transform(marked).select("features", "target", "validates").persist()
+    model = trees.fit(own)
     own.unpersist()
-    other.unpersist()
     return PipelineModel([assembler, model])
 
 
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """The 1-based round of least loss before the first stretch of `patience` rounds without a lower one, and whether there was one."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

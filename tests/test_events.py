@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import format_compact, format_usd
 from larkspur.operators import affinity, experiment, features, funnel, propensity, report, retention, rfm, sampling, star
@@ -225,9 +226,15 @@ def test_propensity_model_learns(spark, tmp_path):
     assert propensity.roc_auc(spark.createDataFrame([(0, 0.1), (1, 0.1), (1, 0.3), (0, 0.2)], "target int, score double")) == 0.625
 
 
-def test_training_stops_by_the_validation_rows():
-    assert propensity.best_round([3.0, 2.0, 1.0, 1.5, 0.5], 2) == (5, False)  # one worse round is no end
-    assert propensity.best_round([3.0, 2.0, 1.0, 1.5, 1.5, 0.5], 2) == (3, True)
+def test_noise_grows_few_trees_and_fits_little(spark):
+    """Where nothing tells the classes apart, scores stay near the share of the class."""
+    noise = (f"CAST(abs(hash(id, {i})) % 1000 AS LONG) AS {c}" for i, c in enumerate(propensity.FEATURES))
+    frame = spark.range(3000).selectExpr("id AS user_id", *noise, "CAST(abs(hash(id, 99)) % 2 AS INT) AS target")
+    fit, test = propensity.stratified_split(frame)
+    model = propensity.train(fit)
+    assert model.stages[-1].getNumTrees < 30
+    loss = propensity.score(model, test).agg(F.avg(-F.log(F.when(F.col("target") == 1, F.col("score")).otherwise(1 - F.col("score"))))).first()[0]
+    assert loss < 0.72  # 0.693 of a constant
 
 
 def test_text_forms(spark):
