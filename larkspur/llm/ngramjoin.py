@@ -21,11 +21,11 @@ EXTRA = 8
 #: Least and most bits of a set's signature; a set has 8 to 16 bits a shingle between them.
 LEAST_BITS, MOST_BITS = 2048, 65_536
 #: Most bits of a node's bitmap, and the share of its smallest set's shingles that chance may find in another node's bitmap like it.
-NODE_BITS, CHANCE = 1 << 22, 0.3
+NODE_BITS, CHANCE = 1 << 20, 0.3
 #: Sets in a leaf of a signature tree; sets and shingles that one tree holds, and a share of them that is enough where only trees are searched.
 LEAF, TREE, TREE_SHINGLES, FIRST_SHARE = 8, 4096, 1 << 21, 8
-#: Sets of small groups that one tree takes together, about.
-TOGETHER = 512
+#: Sets and shingles of small groups that one tree takes together, about; a group with an eighth of either is no small one.
+TOGETHER, TOGETHER_SHINGLES = 512, 1 << 18
 #: A key in this share of a lot's sets is dealt to so many tasks by lot.
 HOT_SHARE, SALTS = 0.05, 64
 #: Keys by which each set is first joined with others.
@@ -362,9 +362,10 @@ def tree_links(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     members = staged(members, "members")
     size = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     share = 1 if whole else FIRST_SHARE
-    size = size.select("group", "sets", F.greatest(F.ceil(share * F.col("sets") / TREE), F.ceil(share * F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
-    lots = max(1, members.count() // TOGETHER)
-    small = F.col("sets") <= TOGETHER // 8
+    size = size.select("group", "sets", "shingles", F.greatest(F.ceil(share * F.col("sets") / TREE), F.ceil(share * F.col("shingles") / TREE_SHINGLES)).cast("int").alias("trees"))
+    sets, shingles = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lots = max(1, sets // TOGETHER, shingles // TOGETHER_SHINGLES)
+    small = (F.col("sets") <= TOGETHER // 8) & (F.col("shingles") <= TOGETHER_SHINGLES // 8)
     lot = F.when(small & (F.col("trees") <= 1), F.pmod(F.xxhash64("group"), F.lit(lots)))
     rows = members.join(size.withColumn("lot", lot), "group")
     apart = rows.filter("lot IS NULL").withColumn("part", F.pmod(F.xxhash64("node", "group"), F.col("trees")).cast("int"))
