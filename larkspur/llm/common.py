@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.plans.staging import discard, held, staged, staged_path
 
-__all__ = ["byte_level_encoder", "discard", "held", "library_tokenizer", "rows_of", "staged", "staged_path", "table", "tokenizer_path"]
+__all__ = ["bounded_batches", "byte_level_encoder", "discard", "giving_back", "held", "library_tokenizer", "rows_of", "staged", "staged_path", "table", "tokenizer_path"]
+
+
+#: Bytes of a batch of rows that goes to a Python worker, about; the rows themselves are whole.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for the session's Python stages, unless the session asks for others.
+
+    A task holds a batch several times over, in the JVM, on its way and in the worker, so long texts make Spark's own
+    64 MB a large part of an executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on batches; at its end the worker, which Spark keeps for later tasks, returns the memory it no longer needs."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc alone has it
+                trim(0)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

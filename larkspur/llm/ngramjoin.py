@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import discard, rows_of, staged
+from larkspur.llm.common import bounded_batches, discard, giving_back, rows_of, staged
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 5, 75
@@ -131,6 +131,7 @@ def least_shared(n: str) -> Column:
     return F.expr(f"1 + ((({PERCENT} * CAST({n} AS LONG) + 99) DIV 100) DIV {EXTRA})")
 
 
+@giving_back
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every key of every distinct set of a lot of texts.
 
@@ -175,12 +176,14 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
     return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("key").alias("keys")).filter(F.size("keys") >= least_shared("n"))
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [(set_id(own), len(own)) for own in shingle_sets(x.as_py() for x in batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "ref", "node", "n"])
 
 
+@giving_back
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each node once a task; other texts under the same doc_id go."""
     seen: set[int] = set()
@@ -331,6 +334,7 @@ def joined_labels(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets
     return sorted(set(zip(labels[labels != first].tolist(), first[labels != first].tolist(), strict=True)))
 
 
+@giving_back
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (mixed, group, p, q, side, node, label, text) sorted by the first four: the edges that each group's trees find."""
     group, held = None, {}
@@ -437,6 +441,7 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, str] = ("doc_id", "text
     empty table gives no rows. Extra columns are ignored.
     """
     key, text = columns
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("ref", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).select("doc_id", "ref", "text")
     keyed = staged(keyed_sets(docs), "keyed-sets")

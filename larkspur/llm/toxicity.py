@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import rows_of
+from larkspur.llm.common import giving_back, rows_of
 
 #: Labelled documents of either class that the lexicon and the weights are fitted on, at most. All that is learnt, and so
 #: what comes to the driver, is bounded by the words of these documents.
@@ -209,6 +209,7 @@ def _quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -
     return 0.9 if opened and reported else 0.6 if opened else 0.5 if reported else 0.0
 
 
+@giving_back
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class with each word and stem."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -293,6 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, columns: t
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_clean or not n_toxic:
+        sample.unpersist()
         return nothing
     counts = sample.mapInArrow(_counts, "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     likelier = (F.col("toxic") + 0.5) / (n_toxic + 1) >= LEAST_RATIO * (F.col("clean") + 0.5) / (n_clean + 1)
@@ -300,6 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, columns: t
     terms, stems = _lexicon(kept.orderBy(F.desc("g"), "name").collect(), n_clean, n_toxic)
     draft = Model(terms, stems, frozenset(), ())
 
+    @giving_back
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of either class with each word that would pass as a misspelling, or is a part of one that would."""
         match, found = draft.matcher(), (Counter(), Counter())
@@ -314,6 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, columns: t
     innocent = frozenset(r.word for r in passing.filter((F.col("clean") > 0) & ((F.col("clean") + 0.5) / (n_clean + 1) >= (F.col("toxic") + 0.5) / (n_toxic + 1))).collect())
     model = Model(terms, stems, innocent, ())
 
+    @giving_back
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
         for batch in batches:
@@ -334,6 +338,7 @@ def score_toxicity(docs: DataFrame, model: Model, columns: tuple[str, str] = ("d
     """
     key, text = columns
 
+    @giving_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
         b0, *b = model.weights
