@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import staged, table, tokenizer_path
+from larkspur.llm.common import bounded_batches, staged, table, tokenizer_path
 from larkspur.llm.mixing import mix_sources
 from larkspur.llm.ngramjoin import near_duplicates
 from larkspur.llm.packing import pack_documents
@@ -23,6 +23,7 @@ def _keeping_others(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         names = {c: c if c in _COLUMNS else f"other_{i}" for i, c in enumerate(docs.columns)}
         return stage(spark, docs.toDF(*names.values()), sf_dir).toDF(*names)
 
@@ -88,6 +89,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one piece, the closing id; every row is packed on its own, whatever its id. An empty
     table gives no rows. Columns but doc_id and text go.
     """
+    bounded_batches(spark)
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
