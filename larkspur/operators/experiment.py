@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.distributions import normal_p, student_p, t_test_power
 from larkspur.functions.scalars import hash_order
 
 
@@ -50,66 +48,11 @@ def ab_statistics(rows: DataFrame, by: Sequence[str] = (), confidence: float = 0
     )
 
 
-def beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    out = d
-    for m in range(1, 300):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + term * d
-            c = 1 + term / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return out
-
-
-def student_p(t: float, df: float) -> float:
-    """Two-sided p of Student's t: the regularised incomplete beta function at df / (df + t²)."""
-    a, b, x = df / 2, 0.5, df / (df + t * t)
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - x) / b
-
-
-def t_test_power(effect: float, n: float, alpha: float) -> float:
-    """Power of the two-sided two-sample t-test with n observations in either arm, by the noncentral t distribution.
-
-    The chance of T beyond the critical values is the normal one given the sample's deviation s, averaged over s.
-    """
-    df, shift = 2 * n - 2, abs(effect) * math.sqrt(n / 2)
-    if df <= 0:
-        return math.nan
-    low, high = 0.0, 1e3
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if student_p(mid, df) > alpha else (low, mid)
-    width = 10 / math.sqrt(2 * df)
-    s = np.linspace(max(1 - width, 1e-9), 1 + width, 4001) if df > 60 else np.linspace(1e-9, 1 + 3 * width, 20001)
-    log_density = (df - 1) * np.log(s) - df * s * s / 2
-    weight = np.exp(log_density - log_density.max())
-    normal = np.vectorize(NormalDist().cdf)
-    beyond = normal(shift - high * s) + normal(-shift - high * s)
-    return float((beyond * weight).sum() / weight.sum())
-
-
 def ab_readout(rows: DataFrame, by: Sequence[str] = (), confidence: float = 0.95) -> DataFrame:
-    """ab_statistics() with p values, post-hoc power (arms of the control's size) and the decision; the last step sees one row per group."""
+    """ab_statistics() with p values, post-hoc power (arms of the control's size) and the decision, all of them column expressions."""
     alpha = 1 - confidence
-    stats = ab_statistics(rows, by, confidence)
-
-    def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            x["t_p_value"] = [student_p(t, d) if pd.notna(t) and pd.notna(d) else None for t, d in zip(x["t_stat"], x["df"], strict=True)]
-            x["z_p_value"] = [math.erfc(abs(s) / math.sqrt(2)) if pd.notna(s) else None for s in x["z_stat"]]
-            x["power"] = [t_test_power(e, n, alpha) if pd.notna(e) else None for e, n in zip(x["effect_size"], x["control_n"], strict=True)]
-            x["significant"] = [bool(p is not None and p < alpha) for p in x["t_p_value"].where(x["t_p_value"].notna(), None)]
-            x["decision"] = ["SHIP" if s and lift > 0 else "HOLD" for s, lift in zip(x["significant"], x["lift"], strict=True)]
-            yield x
-
-    extra = "t_p_value double, z_p_value double, power double, significant boolean, decision string"
-    return stats.mapInPandas(decide, ", ".join(f"`{n}` {t}" for n, t in stats.dtypes) + ", " + extra)
+    tested = ab_statistics(rows, by, confidence).select(
+        "*", student_p(F.col("t_stat"), F.col("df")).alias("t_p_value"), normal_p(F.col("z_stat")).alias("z_p_value"), t_test_power(F.col("effect_size"), F.col("control_n"), alpha).alias("power")
+    )
+    significant = F.coalesce(F.col("t_p_value") < alpha, F.lit(False))
+    return tested.withColumn("significant", significant).withColumn("decision", F.when(F.col("significant") & (F.col("lift") > 0), "SHIP").otherwise("HOLD"))

@@ -63,6 +63,10 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     return model.transform(frame).select("user_id", "target", vector_to_array("probability")[1].alias("score"))
 

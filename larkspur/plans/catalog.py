@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from larkspur.plans.staging import held, remove, staged_path
 from larkspur.plans.star import register_views, run_query
 from larkspur.plans.twins import SQL
 from larkspur.sources.adapters import clickstream, retail
-from larkspur.sources.events import bucketed, column_statistics, file_report, load_for_analysis, optimize_events, read_days, read_events, read_events_csv, write_by_day, write_chunks, write_events, write_keyed, write_slices, write_tables
+from larkspur.sources.events import bucketed, check_load, column_statistics, describe_tables, file_report, ingest_events, load_for_analysis, optimize_events, read_days, read_events, read_events_csv, save_table, table_sizes, write_by_day, write_chunks, write_events, write_keyed, write_slices, write_tables
 from larkspur.sources.schema import RAW_TIME
 
 #: The day that recency and churn count from where a variant wants one given.
@@ -151,6 +152,48 @@ def _written(tables: dict[str, DataFrame]) -> DataFrame:
     return counts
 
 
+def _ingested(events: DataFrame) -> DataFrame:
+    """What the check after a load tells: rows of the table, rows of the preview, columns."""
+    spark, path, name = events.sparkSession, staged_path(events.sparkSession, "ingest"), f"ingested_{uuid.uuid4().hex}"
+    ingest_events(events, name, path)
+    rows, few = check_load(spark, name)
+    few = held(few, path)
+    spark.sql(f"DROP TABLE {name}")
+    return few.agg(F.count("*").alias("preview_rows")).select(F.lit(rows).cast("long").alias("table_rows"), "preview_rows", F.lit(len(few.columns)).cast("long").alias("columns"))
+
+
+def _saved(tables: dict[str, DataFrame]) -> DataFrame:
+    """Tables saved in the catalog, as it describes them: rows, columns, and whether they take room."""
+    spark, mark, folder = SparkSession.active(), f"_{uuid.uuid4().hex}", staged_path(SparkSession.active(), "saved")
+    for name, df in tables.items():
+        save_table(df, name + mark, path=f"{folder}/{name}")
+    columns = describe_tables(spark, f"*{mark}").groupBy("table_name").agg(F.count("*").alias("columns"))
+    found = table_sizes(spark, f"*{mark}").join(columns, "table_name")
+    for name in tables:
+        spark.sql(f"DROP TABLE {name}{mark}")
+    remove(spark, folder)
+    return found.select(F.replace("table_name", F.lit(mark), F.lit("")).alias("table_name"), "rows", "columns", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def _exported(events: DataFrame) -> DataFrame:
+    """The sample of users written as Parquet and read back."""
+    path = staged_path(events.sparkSession, "sample")
+    write_events(sampling.stratified_user_sample(events, 20.0, by=("user_session", "product_id")), path)
+    return held(read_events(events.sparkSession, path), path)
+
+
+def _model_kept(events: DataFrame) -> DataFrame:
+    """The test users, and whether the saved and reloaded model scores each as the model itself did."""
+    spark, path = events.sparkSession, staged_path(events.sparkSession, "model")
+    fit, test = propensity.stratified_split(propensity.propensity_frame(events, CUTOFF))
+    model = propensity.train(fit)
+    propensity.save_model(model, path)
+    again = propensity.load_model(path)
+    remove(spark, path)
+    both = propensity.score(model, test).join(propensity.score(again, test).select("user_id", F.col("score").alias("again")), "user_id")
+    return both.select("user_id", "target", F.col("score").eqNullSafe(F.col("again")).alias("same_score"))
+
+
 def _view_sql(events: DataFrame) -> DataFrame:
     """SQL with a parameter over two of the star's views."""
     register_views({"larkspur_days": star.daily_kpis(events), "larkspur_products": star.dim_products(events)})
@@ -246,6 +289,10 @@ _PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[Data
     "events_lookup": (retail, _looked_up),
     "feature_table_bucketed": (clickstream, _bucketed_features),
     "column_statistics": (retail, _columns),
+    "ingest_check": (retail, _ingested),
+    "saved_tables": (clickstream, lambda e: _saved({"dim_products": star.dim_products(e), "dim_users": star.dim_users(e), "fact_daily_kpis": star.daily_kpis(e), "fact_sessions": star.sessions(e)})),
+    "sample_export": (retail, _exported),
+    "saved_model": (retail, _model_kept),
     "view_sql": (retail, _view_sql),
     "formatted_totals": (retail, _shown_totals),
     "stratified_sample": (retail, lambda e: sampling.stratified_user_sample(e, 20.0, by=("user_session", "product_id"))),

@@ -155,6 +155,46 @@ _Z = "1.959963984540054"
 _FEATURES = (_CLICK, _users("c"), _sessions("c"), _rfm("c"), _BEHAVIOUR, _WIDE)
 _D = {"f": _with(_RETAIL, _rules("f", 2, 1.2), _products("r"))}
 
+_AB = (
+    f"arms AS (SELECT {_arm('control')}, {_arm('treatment')} FROM tested)",
+    "facts AS (SELECT *, control_rate AS p, treatment_rate AS q, treatment_rate - control_rate AS diff, control_v + treatment_v AS v, sqrt(control_rate * (1 - control_rate) / control_n + treatment_rate * (1 - treatment_rate) / treatment_n) AS se FROM arms)",
+    f"""stats AS (SELECT control_n, treatment_n, control_rate, treatment_rate, diff / p AS lift, diff / sqrt(v) AS t_stat,
+ v * v / (control_v * control_v / (control_n - 1) + treatment_v * treatment_v / (treatment_n - 1)) AS df, diff / se AS z_stat, diff - {_Z} * se AS ci_lower, diff + {_Z} * se AS ci_upper,
+ diff / sqrt((p * (1 - p) + q * (1 - q)) / 2) AS effect_size FROM facts)""",
+)
+_AB_DOUBLES = ["control_rate", "treatment_rate", "lift", "t_stat", "df", "z_stat", "ci_lower", "ci_upper", "effect_size"]
+
+
+def _integral(f: str, start: str, width: str) -> str:
+    """Simpson's rule over 1000 steps of f, an expression of {x}."""
+    x = f"({start} + ({width}) * i / 1000)"
+    return f"(list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 ELSE 2 + 2 * (i % 2) END) * {f.format(x=x)})) * ({width}) / 3000)"
+
+
+def _angle_tail(a: str, k: str) -> str:
+    """Tail of Student's t by the angle whose tangent is t / sqrt(df), with k = df - 1, before it is divided by the whole."""
+    return _integral(f"pow(greatest(cos({{x}}), 0), {k})", a, f"least(pi() / 2 - {a}, sqrt(80 / ({k} + 1e-300)), 40 / ({k} * tan({a}) + 1e-300))")
+
+
+def _normal_below(x: str) -> str:
+    """Abramowitz and Stegun 7.1.26."""
+    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+    above = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x}) / 2) / 2)"
+    return f"(CASE WHEN {x} < 0 THEN {above} ELSE 1 - {above} END)"
+
+
+#: The density of the sample's deviation, but for a constant, and its range.
+_SPREAD = "exp((dn - 1) * ln({x}) - dn * ({x} * {x} - 1) / 2)"
+_SPAN = ("greatest(1e-9, 1 - 10 / sqrt(dn))", "1 + 10 / sqrt(dn) - greatest(1e-9, 1 - 10 / sqrt(dn))")
+#: p values and power of stats; the critical value by Newton's steps.
+_DECIDED = (
+    f"step0 AS (SELECT *, df - 1 AS kt, atan(abs(t_stat) / sqrt(df)) AS theta, abs(z_stat) AS az, CAST(2 * control_n - 2 AS DOUBLE) AS dn, CAST(2 * control_n - 3 AS DOUBLE) AS kn, abs(effect_size) * sqrt(control_n / 2) AS shift, atan({_Z} / sqrt(2.0 * control_n - 2)) AS angle FROM stats)",
+    f"whole AS (SELECT *, {_angle_tail('0', 'kn')} AS total FROM step0)",
+    *(f"step{i} AS (SELECT * REPLACE (angle + ({_angle_tail('angle', 'kn')} - 0.05 * total) / pow(cos(angle), kn) AS angle) FROM {'whole' if i == 1 else f'step{i - 1}'})" for i in range(1, 8)),
+    "critical AS (SELECT *, tan(angle) * sqrt(dn) AS cut FROM step7)",
+    f"""decided AS (SELECT *, {_angle_tail('theta', 'kt')} / {_angle_tail('0', 'kt')} AS t_p_value, sqrt(2 / pi()) * {_integral('exp(-{x} * {x} / 2)', 'az', 'least(sqrt(80), 40 / (az + 1e-300))')} AS z_p_value,
+ {_integral(_SPREAD + ' * (' + _normal_below('(shift - cut * {x})') + ' + ' + _normal_below('(-shift - cut * {x})') + ')', *_SPAN)} / {_integral(_SPREAD, *_SPAN)} AS power FROM critical)""",
+)
 SQL: dict[str, str] = {
     "dim_products_f": _with(_RETAIL, _products("r")) + "SELECT product_id, category_id, category_code, brand, round(current_price, 4) AS current_price FROM products",
     "dim_products_c": _with(_CLICK, _products("c", "product_id IS NOT NULL")) + "SELECT product_id, category_id, category_code, brand, round(current_price, 4) AS current_price FROM products",
@@ -279,11 +319,11 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
     "temporal_coverage": _with(_CLICK) + "SELECT count(DISTINCT CAST(event_time AS DATE)) AS days, min(event_time) AS first_event, max(event_time) AS last_event FROM c",
     "segment_population": _with(*_FEATURES) + "SELECT user_id, round(checkout_rate, 4) AS checkout_rate FROM wide WHERE rfm_segment = 'Champions'",
     "variant_summary": _with(_CLICK, _users("c"), _TESTED) + "SELECT variant, count(*) AS visitors, CAST(sum(converted) AS BIGINT) AS conversions, round(avg(converted), 4) AS conversion_rate FROM tested GROUP BY 1",
-    "ab_statistics": _with(_CLICK, _users("c"), _TESTED, f"arms AS (SELECT {_arm('control')}, {_arm('treatment')} FROM tested)",
-        "facts AS (SELECT *, control_rate AS p, treatment_rate AS q, treatment_rate - control_rate AS diff, control_v + treatment_v AS v, sqrt(control_rate * (1 - control_rate) / control_n + treatment_rate * (1 - treatment_rate) / treatment_n) AS se FROM arms)")
-    + f"""SELECT control_n, treatment_n, round(p, 4) AS control_rate, round(q, 4) AS treatment_rate, round(diff / p, 4) AS lift, round(diff / sqrt(v), 4) AS t_stat,
- round(v * v / (control_v * control_v / (control_n - 1) + treatment_v * treatment_v / (treatment_n - 1)), 4) AS df, round(diff / se, 4) AS z_stat, round(diff - {_Z} * se, 4) AS ci_lower, round(diff + {_Z} * se, 4) AS ci_upper,
- round(diff / sqrt((p * (1 - p) + q * (1 - q)) / 2), 4) AS effect_size FROM facts""",
+    "ab_statistics": _with(_CLICK, _users("c"), _TESTED, *_AB)
+    + f"SELECT control_n, treatment_n, {', '.join(f'round({c}, 4) AS {c}' for c in _AB_DOUBLES)} FROM stats",
+    "ab_readout": _with(_CLICK, _users("c"), _TESTED, *_AB, *_DECIDED)
+    + f"""SELECT control_n, treatment_n, {', '.join(f'round({c}, 4) AS {c}' for c in [*_AB_DOUBLES, 't_p_value', 'z_p_value', 'power'])}, coalesce(t_p_value < 0.05, FALSE) AS significant,
+ CASE WHEN t_p_value < 0.05 AND lift > 0 THEN 'SHIP' ELSE 'HOLD' END AS decision FROM decided""",
     "propensity_frame": _with(_RETAIL, _FRAME) + "SELECT * FROM frame",
     "class_balance": _with(_RETAIL, _FRAME) + "SELECT target, count(*) AS users, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS share FROM frame GROUP BY 1",
     "topk_precision_recall": _with(_RETAIL, _FRAME, "scored AS (SELECT target, events / (1.0 + recency_days) AS score FROM frame)", "cut AS (SELECT quantile_cont(score, 0.95) AS t FROM scored)",
@@ -291,3 +331,8 @@ SELECT user_id, CAST(recency_days AS INTEGER) AS recency_days, frequency, round(
     + "SELECT round(t, 4) AS threshold, n AS selected, round(hits / n, 4) AS precision, round(hits / pos, 4) AS recall, round(hits / n / base, 4) AS lift FROM top",
 }
 SQL["feature_table_bucketed"] = SQL["feature_table"]
+SQL["sample_export"] = SQL["stratified_sample"]
+SQL["saved_model"] = f"SELECT user_id, target, TRUE AS same_score FROM ({SQL['split_by_class']}) WHERE side = 'test'"
+SQL["ingest_check"] = _with(_RETAIL) + "SELECT count(*) AS table_rows, least(3, count(*)) AS preview_rows, CAST(9 AS BIGINT) AS columns FROM r"
+SQL["saved_tables"] = f"""SELECT table_name, "rows", CAST(CASE table_name WHEN 'dim_products' THEN 5 WHEN 'dim_users' THEN 9 WHEN 'fact_daily_kpis' THEN 8 ELSE 12 END AS BIGINT) AS columns, TRUE AS has_bytes
+ FROM ({SQL['row_counts']})"""

@@ -135,9 +135,10 @@ def load_for_analysis(df: DataFrame, fraction: float = 0.1) -> DataFrame:
     return df.filter(F.col("user_id") % F.lit(int(1 / fraction)) == 0)
 
 
-def ingest_events(df: DataFrame, name: str) -> None:
-    """Replaces the table with the events in ranges of event_time, sorted within files, so that time filters skip files."""
-    df.repartitionByRange("event_time").sortWithinPartitions("event_time").write.mode("overwrite").saveAsTable(name)
+def ingest_events(df: DataFrame, name: str, path: str = "") -> None:
+    """Replaces the table with the events in ranges of event_time, sorted within files, so that time filters skip files; with `path`, its files are there."""
+    writer = df.repartitionByRange("event_time").sortWithinPartitions("event_time").write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def check_load(spark: SparkSession, name: str, preview: int = 3) -> tuple[int, DataFrame]:
@@ -146,9 +147,13 @@ def check_load(spark: SparkSession, name: str, preview: int = 3) -> tuple[int, D
     return t.count(), t.limit(preview)
 
 
-def save_table(df: DataFrame, name: str, by: str = "", buckets: int = 0) -> None:
-    """Create-or-replace of a derived table; with `by`, dealt to buckets by that column and sorted in them, so that tables saved alike join without a shuffle."""
+def save_table(df: DataFrame, name: str, by: str = "", buckets: int = 0, path: str = "") -> None:
+    """Create-or-replace of a derived table; with `by`, dealt to buckets by that column and sorted in them, so that tables saved alike join without a shuffle.
+
+    With `path`, its files are there.
+    """
     writer = df.write.mode("overwrite")
+    writer = writer.option("path", path) if path else writer
     (writer.bucketBy(buckets, by).sortBy(by) if by else writer).saveAsTable(name)
 
 
@@ -182,16 +187,16 @@ def column_statistics(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*map(of, df.columns)).alias("columns")).select(F.inline("columns"))
 
 
-def describe_tables(spark: SparkSession) -> DataFrame:
-    """table_name, column_name, data_type of every table and view in the current database, from the catalog alone."""
-    rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
+def describe_tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """table_name, column_name, data_type of every table and view in the current database whose name fits the pattern, from the catalog alone."""
+    rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(pattern=pattern) for c in spark.catalog.listColumns(t.name)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
 
 
-def table_sizes(spark: SparkSession) -> DataFrame:
-    """table_name, rows, bytes of every table in the current database, by ANALYZE TABLE; views have no size and are left out."""
+def table_sizes(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """table_name, rows, bytes of every table in the current database whose name fits the pattern, by ANALYZE TABLE; views have no size and are left out."""
     rows = []
-    for t in spark.catalog.listTables():
+    for t in spark.catalog.listTables(pattern=pattern):
         if t.tableType in ("MANAGED", "EXTERNAL"):
             spark.sql(f"ANALYZE TABLE `{t.name}` COMPUTE STATISTICS")
             stats = spark.sql(f"DESCRIBE EXTENDED `{t.name}`").filter("col_name = 'Statistics'").select("data_type").first()
