@@ -64,9 +64,11 @@ PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 def price_percentiles(df: DataFrame, approx: bool = False) -> DataFrame:
     """Positive prices. Exact percentiles count every distinct price; approx keeps a bounded sketch instead."""
     df = df.filter("price > 0")
-    found = df.agg(F.percentile_approx("price", F.array(*map(F.lit, PERCENTILES))).alias("p")) if approx else percentiles(df, "price", PERCENTILES)
-    all_ = df.agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.avg("price").alias("avg_price")).crossJoin(F.broadcast(found))
-    return all_.select("min_price", *(F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTILES)), "max_price", "avg_price")
+    if approx:
+        all_ = df.agg(F.percentile_approx("price", F.array(*map(F.lit, PERCENTILES))).alias("p"), F.min("price").alias("least"), F.max("price").alias("greatest"), F.avg("price").alias("mean"))
+    else:
+        all_ = percentiles(df, "price", PERCENTILES)
+    return all_.select(F.col("least").alias("min_price"), *(F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTILES)), F.col("greatest").alias("max_price"), F.col("mean").alias("avg_price"))
 
 
 # fixed values: upper bounds and names of the price bands

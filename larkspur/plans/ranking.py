@@ -73,19 +73,35 @@ def ntiles(df: DataFrame, orders: dict[str, list[str]], tiles: int, key: str) ->
 
 
 def percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
-    """One row, p: the exact percentiles of a numeric column, as percentile() gives them, from the counts of its values."""
-    values = staged(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w")), "values")
-    place = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    """One row: p, the exact percentiles of a numeric column, as percentile() gives them, and its least, greatest and mean.
+
+    The values are counted and laid out once by ranges, a row a distinct value, so a value that very many rows share
+    makes no range larger. The ranges' sizes tell which of them hold a rank, and only those are put in order. Without
+    values the row holds nulls.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    values = staged(counts.repartitionByRange("v").select("v", "w", F.spark_partition_id().alias("part")), "values")
+    parts = values.groupBy("part").agg(F.sum("w").alias("size"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.sum(F.col("v") * F.col("w")).alias("sum"))
+    # a row a range, as many as the session shuffles to
+    whole, upto = Window.partitionBy(), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("size").over(whole)
+    facts = F.struct(total.alias("total"), F.min("least").over(whole).alias("least"), F.max("greatest").over(whole).alias("greatest"), (F.sum("sum").over(whole) / total).alias("mean"))
+    place = [F.lit(q) * (F.col("facts.total") - 1) for q in shares]
     ranks = F.array(*(x for p in place for x in (F.floor(p) + 1, F.ceil(p) + 1)))
-    rows = values.select(F.lit(0).alias("m"), "v", F.lit(0).cast("long").alias("key"), "w")
-    ends = rows_at(rows, ranks).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ends"))
-    total = F.broadcast(values.agg(F.sum("w").alias("total")))
+    asked = F.transform(ranks, lambda r, k: F.struct(k.alias("k"), (r - F.col("before")).alias("place")))
+    cells = parts.select("part", "size", (F.sum("size").over(upto) - F.col("size")).alias("before"), facts.alias("facts"))
+    cells = cells.select("part", "facts", F.filter(asked, lambda x: (x["place"] > 0) & (x["place"] <= F.col("size"))).alias("asked")).filter(F.size("asked") > 0)
+    reached = F.sum("w").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    held = values.join(F.broadcast(cells), "part").withColumn("reached", reached)
+    met = F.filter("asked", lambda x: (x["place"] <= F.col("reached")) & (x["place"] > F.col("reached") - F.col("w")))
+    found = held.select("facts", "v", F.explode(F.transform(met, lambda x: x["k"])).alias("k"))
+    ends = found.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ends"), F.first("facts").alias("facts"))
 
     def between(i: int, p: Column) -> Column:
         low, high, more = F.col("ends")[2 * i], F.col("ends")[2 * i + 1], p - F.floor(p)
         return F.when(low == high, low).otherwise(low * (1 - more) + high * more)
 
-    return ends.crossJoin(total).select(F.array(*(between(i, p) for i, p in enumerate(place))).alias("p"))
+    return ends.select(F.array(*(between(i, p) for i, p in enumerate(place))).alias("p"), "facts.least", "facts.greatest", "facts.mean")
 
 
 def with_median(df: DataFrame, column: str, name: str, totals: DataFrame) -> DataFrame:

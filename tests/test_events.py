@@ -96,6 +96,19 @@ def test_percentiles_equal_those_of_one_task(spark, n):
     assert got == pytest.approx(want) if n else got == want
 
 
+@pytest.mark.parametrize("expr", ["CAST(id * 7919 % 100003 AS DOUBLE)", "IF(id % 3 = 0, 5D, id / 7)", "5D", "IF(id % 2 = 0, 1D, 2D)"])
+def test_percentiles_over_several_ranges(spark, expr):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows end in one range
+    try:
+        df = spark.range(5000).selectExpr(f"{expr} AS x")
+        shares = (0.0, 0.1, 0.25, 0.4999, 0.5, 0.75, 0.999, 1.0)
+        got = percentiles(df, "x", shares).first()
+        want = df.selectExpr(f"percentile(x, array({', '.join(map(str, shares))})) AS p", "min(x) AS least", "max(x) AS greatest", "avg(x) AS mean").first()
+        assert got.p == pytest.approx(want.p) and (got.least, got.greatest) == (want.least, want.greatest) and got["mean"] == pytest.approx(want["mean"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_labels_of_all_scores(spark):
     grid = spark.createDataFrame([(r, f) for r in range(1, 6) for f in range(1, 6)], "r_score int, f_score int")
     f = {(r.r_score, r.f_score): r.x for r in grid.withColumn("x", rfm._labels(rfm.RULES_F, "At Risk")).collect()}
