@@ -52,7 +52,8 @@ def rows_at(rows: DataFrame, ranks: Column) -> DataFrame:
 def ntiles(df: DataFrame, orders: dict[str, list[str]], tiles: int, key: str) -> DataFrame:
     """Adds an NTILE column for each order, as ntile() over a window without partitions gives it.
 
-    An order is a numeric column, a minus before it for descending, and the key, a long. The rows that begin the
+    An order is a numeric column, a minus before it for descending, and the key, a long. Values are compared as doubles, so
+    whole numbers above 2**53 may tie; then the key decides, as it does between equal ones. The rows that begin the
     tiles are looked up for all orders at once, and every row is compared with them. df is written once and read back.
     """
     df = staged(df, "tiled")
