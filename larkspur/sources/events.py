@@ -102,10 +102,11 @@ def file_report(spark: SparkSession, path: str) -> DataFrame:
     """file_name, bytes, rows and codec of every Parquet file below path.
 
     Rows are counted by the reader from the footers, as no column is asked for; sizes come with the listing, the codec
-    from the name that Spark gave the file. Empty files of a write have no row here.
+    from the name that Spark gave the file. A task gives its files in different folders the same name, so a file is told by
+    its whole path. Empty files of a write have no row here.
     """
-    files = spark.read.option("recursiveFileLookup", "true").parquet(path).select("_metadata.file_name", "_metadata.file_size")
-    counts = files.groupBy("file_name", F.col("file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size")
+    counts = files.groupBy("file_path", "file_name", F.col("file_size").alias("bytes")).agg(F.count("*").alias("rows"))
     return counts.select("file_name", "bytes", "rows", F.regexp_extract("file_name", r"\.([a-z0-9]+)\.parquet$", 1).alias("codec"))
 
 

@@ -98,6 +98,14 @@ def test_slices_are_exact_and_in_order(spark, tmp_path, rows, size):
         assert {(r.file_name, r.bytes) for r in found} == {(p.name, p.stat().st_size) for p in files}
 
 
+def test_files_of_one_name_and_size_are_told_apart_by_folder(spark, tmp_path):
+    # a task that writes several slices gives them all one name, and equal rows make them equal in size
+    events.write_slices(spark.range(1200).select(F.lit(1).alias("x")), str(tmp_path), 100)
+    files = list(tmp_path.glob("slice=*/*.parquet"))
+    assert len(files) == 12 and len({(p.name, p.stat().st_size) for p in files}) < 12
+    assert [r.rows for r in events.file_report(spark, str(tmp_path)).collect()] == [100] * 12
+
+
 def test_lookups_skip_row_groups_by_bloom_filter(spark, tmp_path):
     # every row group spans all ids, so only the filters tell them apart
     df = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("product_id"), F.sha2(F.col("id").cast("string"), 256).alias("brand")).coalesce(1)
