@@ -249,6 +249,15 @@ def test_text_forms(spark):
     assert [tuple(r) for r in df.select(format_compact("x"), format_usd("x")).collect()] == [("1.2M", "$1,234,567.00"), ("999", "$999.00"), ("1.5K", "$1,500.00"), (None, None)]
 
 
+def test_compact_numbers_round_as_printf_does(spark):
+    known = [(1250.0, "1.2K"), (1350.0, "1.4K"), (1450.0, "1.4K"), (1750.0, "1.8K"), (1950.0, "1.9K"), (-1950.0, "-1.9K"), (0.5, "0"), (2.5, "2"), (999.5, "1000"), (12_250_000.0, "12.2M"), (1_050_000_000.0, "1.1B")]
+    got = spark.createDataFrame(known, "x double, shown string").select("shown", format_compact("x").alias("got")).collect()
+    assert [r.got for r in got] == [r.shown for r in got]
+    sums = [step * i for step in (1.0, 50.0, 50_000.0, 50_000_000.0) for i in range(900, 3000)]
+    want = [next(f"{x / size:.1f}{unit}" if unit else f"{x:.0f}" for size, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K"), (0, "")) if x >= size) for x in sums]
+    assert [r.got for r in spark.createDataFrame([(x,) for x in sums], "x double").select(format_compact("x").alias("got")).collect()] == want
+
+
 def test_files_there_and_back(spark, tmp_path):
     head = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
     (tmp_path / "a.csv").write_text(head + "2019-10-01 00:00:00 UTC,view,1,2,,acme,1.5,7,s\n")
