@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import is_type
-from larkspur.plans.staging import staged
+from larkspur.plans.staging import discard, staged
 from larkspur.sources.schema import PURCHASE
 
 
@@ -17,17 +17,28 @@ def baskets(df: DataFrame) -> DataFrame:
 
 #: Products of a session that meet each other in one task; a session with more is cut into blocks of about so many.
 BLOCK = 512
+#: Rows, and pairs, that a task takes: a larger table has more tasks, not larger ones.
+ROWS, PAIRS = 250_000, 500_000
 
 
-def basket_lines(rows: DataFrame) -> DataFrame:
-    """user_session, product_id, c: a session's products with their multiplicity."""
-    return rows.filter("user_session IS NOT NULL AND product_id IS NOT NULL").groupBy("user_session", "product_id").agg(F.count("*").alias("c"))
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by the keys to so many tasks; to those that Spark chooses where it has as many cores."""
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
 
 
-def shared_lines(lines: DataFrame) -> DataFrame:
+def basket_lines(rows: DataFrame, tasks: int = 0) -> DataFrame:
+    """user_session, product_id, c: a session's products with their multiplicity.
+
+    With a number of tasks the rows are dealt to so many first: as few rows repeat, counting before that saves nothing.
+    """
+    rows = dealt(rows.filter("user_session IS NOT NULL AND product_id IS NOT NULL"), tasks, "user_session", "product_id")
+    return rows.groupBy("user_session", "product_id").agg(F.count("*").alias("c"))
+
+
+def shared_lines(lines: DataFrame, tasks: int = 0) -> DataFrame:
     """The lines of sessions with several products, with how many these are and the most frequent one's multiplicity."""
-    each = lines.groupBy("user_session").agg(F.max("c").alias("most"), F.count("*").alias("products")).filter("products > 1")
-    return lines.join(each, "user_session")
+    own = Window.partitionBy("user_session")
+    return dealt(lines, tasks, "user_session").withColumns({"most": F.max("c").over(own), "products": F.count("*").over(own)}).filter("products > 1")
 
 
 def supported_lines(lines: DataFrame, min_support: int, distinct: bool) -> DataFrame:
@@ -61,12 +72,24 @@ def product_pairs(rows: DataFrame, min_support: int = 5, directed: bool = True,
     that can't reach min_support leave before the join. A session with many products is spread over as many tasks as it
     has cells (pair_cells), each with block * block pairs at most. Pairs are joined and counted one way; directed ones
     are turned around afterwards.
+
+    The rows are written once, unless staged() did, and so are the lines: they tell how many rows and pairs there are,
+    and so how many tasks it takes for each to hold a bounded part of them, whatever the session's settings. Pairs are
+    counted before they are dealt only where the products are so few that most pairs repeat.
     """
-    lines = supported_lines(staged(shared_lines(basket_lines(rows)), "lines"), min_support, distinct)
-    a, b = pair_cells(lines, block)
+    held = rows if hasattr(rows, "staged_at") else staged(rows, "baskets")
+    tasks = 1 + held.count() // ROWS
+    shared = staged(shared_lines(basket_lines(held, tasks), tasks), "lines")
+    if held is not rows:
+        discard(held)
+    size = shared.agg(F.count("*").alias("lines"), F.coalesce(F.sum((F.col("products") - 1) / 2), F.lit(0.0)).alias("pairs"), F.approx_count_distinct("product_id").alias("products")).first()
+    tasks = 1 + max(size.lines // ROWS, int(size.pairs) // PAIRS)
+    a, b = (dealt(side, tasks, "user_session", "p", "q") for side in pair_cells(supported_lines(shared, min_support, distinct), block))
     met = a.join(b, ["user_session", "p", "q"]).filter("p < q OR product_a < product_b")
+    met = met.select(F.least("product_a", "product_b").alias("product_a"), F.greatest("product_a", "product_b").alias("product_b"), "c_a", "c_b")
+    met = met if 2 * size.products**2 < size.pairs else dealt(met, tasks, "product_a", "product_b")
     n = F.count("*") if distinct else F.sum(F.col("c_a") * F.col("c_b"))
-    pairs = met.groupBy(F.least("product_a", "product_b").alias("product_a"), F.greatest("product_a", "product_b").alias("product_b")).agg(n.alias("pair_count")).filter(F.col("pair_count") >= min_support)
+    pairs = met.groupBy("product_a", "product_b").agg(n.alias("pair_count")).filter(F.col("pair_count") >= min_support)
     if not directed:
         return pairs
     ways = F.array(F.struct("product_a", "product_b"), F.struct(F.col("product_b").alias("product_a"), F.col("product_a").alias("product_b")))
@@ -77,19 +100,24 @@ def product_support(rows: DataFrame, distinct: bool = False) -> DataFrame:
     return rows.groupBy("product_id").agg((F.count_distinct("user_session") if distinct else F.count("*")).alias("support"))
 
 
+def total_sessions(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count_distinct("user_session").alias("total"))
+
+
 def total_purchase_sessions(df: DataFrame) -> DataFrame:
-    return df.filter(is_type(PURCHASE)).agg(F.count_distinct("user_session").alias("total"))
+    return total_sessions(df.filter(is_type(PURCHASE)))
 
 
 def affinity_rules(df: DataFrame, min_support: int = 5, variant: str = "f", min_lift: float | None = 1.2) -> DataFrame:
     """confidence = n(AB) / n(A), lift = n(AB) N / (n(A) n(B)), in doubles. F: row pairs, both ways. C: sessions, one way."""
-    distinct, rows = variant == "c", baskets(df)
-    support = product_support(rows, distinct)
+    distinct, rows = variant == "c", staged(baskets(df), "baskets")
+    # a product's sessions are its lines; those of products without a session are in no pair
+    support = product_support(basket_lines(rows, 1 + rows.count() // ROWS) if distinct else rows)
     pairs = product_pairs(rows, min_support, directed=not distinct, distinct=distinct)
     for x in "ab":
         pairs = pairs.join(support.select(F.col("product_id").alias(f"product_{x}"), F.col("support").cast("double").alias(f"n_{x}")), f"product_{x}")
     lift = F.col("pair_count").cast("double") * F.col("total") / (F.col("n_a") * F.col("n_b"))
-    rules = pairs.crossJoin(F.broadcast(total_purchase_sessions(df))).select("product_a", "product_b", "pair_count", (F.col("pair_count") / F.col("n_a")).alias("confidence"), lift.alias("lift"))
+    rules = pairs.crossJoin(F.broadcast(total_sessions(rows))).select("product_a", "product_b", "pair_count", (F.col("pair_count") / F.col("n_a")).alias("confidence"), lift.alias("lift"))
     return rules if min_lift is None else rules.filter(F.col("lift") > min_lift)
 
 

@@ -166,6 +166,18 @@ def test_pairs_equal_brute_force_whatever_the_blocks(spark, block):
     assert affinity.product_pairs(df.limit(0), 1, block=block).count() == 0
 
 
+def test_larger_tables_have_more_tasks_not_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "ROWS", 100, raising=False)
+    monkeypatch.setattr(affinity, "PAIRS", 200, raising=False)
+    rng, tasks = random.Random(4), []
+    for sessions in (60, 240):
+        rows = [(f"s{i}", rng.randrange(300)) for i in range(sessions) for _ in range(10)]
+        pairs = affinity.product_pairs(spark.createDataFrame(rows, "user_session string, product_id int"), 1, directed=False)
+        assert {(r.product_a, r.product_b): r.pair_count for r in pairs.collect()} == brute_pairs(rows, 1, False)
+        tasks.append(pairs.rdd.getNumPartitions())
+    assert 10 <= tasks[0] <= 14 and 3.5 * tasks[0] <= tasks[1] <= 4.5 * tasks[0]
+
+
 def test_support_prunes_products_before_the_join(spark):
     rows = [("hot", i) for i in range(500)] + [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 700), ("c", 700), ("c", 701)]
     lines = affinity.shared_lines(affinity.basket_lines(spark.createDataFrame(rows, "user_session string, product_id int")))
