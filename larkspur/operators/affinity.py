@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import is_type
+from larkspur.plans.dealing import ROWS, dealt
 from larkspur.plans.staging import discard, staged
 from larkspur.sources.schema import PURCHASE
 
@@ -17,13 +18,8 @@ def baskets(df: DataFrame) -> DataFrame:
 
 #: Products of a session that meet each other in one task; a session with more is cut into blocks of about so many.
 BLOCK = 512
-#: Rows, and pairs, that a task takes: a larger table has more tasks, not larger ones.
-ROWS, PAIRS = 250_000, 500_000
-
-
-def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
-    """df dealt by the keys to so many tasks; to those that Spark chooses where it has as many cores."""
-    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+#: Pairs that a task takes, as ROWS of rows.
+PAIRS = 500_000
 
 
 def basket_lines(rows: DataFrame, tasks: int = 0) -> DataFrame:
@@ -41,15 +37,21 @@ def shared_lines(lines: DataFrame, tasks: int = 0) -> DataFrame:
     return dealt(lines, tasks, "user_session").withColumns({"most": F.max("c").over(own), "products": F.count("*").over(own)}).filter("products > 1")
 
 
-def supported_lines(lines: DataFrame, min_support: int, distinct: bool) -> DataFrame:
+def supported_lines(lines: DataFrame, min_support: int, distinct: bool, tasks: int = 0) -> DataFrame:
     """Of shared_lines() those whose product may be in a pair of that support.
 
     By sessions, a pair has at most as many as either product. By row pairs, a product meets another in a session at most
     c times the most frequent product's c, so the sum of these bounds all its pairs.
+
+    With a number of tasks both sides are dealt to so many, the lines of a product with more than ROWS in parts of about
+    so many. There are at most as many such products as the lines make tasks, so they are broadcast.
     """
     reach = F.count("*") if distinct else F.sum(F.col("c") * F.col("most"))
-    able = lines.groupBy("product_id").agg(reach.alias("reach")).filter(F.col("reach") >= min_support).select("product_id")
-    return lines.join(able, "product_id", "left_semi")
+    able = lines.groupBy("product_id").agg(reach.alias("reach"), F.floor(1 + F.count("*") / ROWS).alias("parts")).filter(F.col("reach") >= min_support)
+    large = F.broadcast(able.filter("parts > 1").select("product_id", "parts"))
+    cut = lines.join(large, "product_id", "left").withColumn("part", F.pmod(F.xxhash64("user_session"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    able = able.select("product_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt(cut, tasks, "product_id", "part").join(dealt(able, tasks, "product_id", "part"), ["product_id", "part"], "left_semi").drop("part")
 
 
 def pair_cells(lines: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +75,7 @@ def product_pairs(rows: DataFrame, min_support: int = 5, directed: bool = True,
     has cells (pair_cells), each with block * block pairs at most. Pairs are joined and counted one way; directed ones
     are turned around afterwards.
 
-    The rows are written once, unless staged() did, and so are the lines: they tell how many rows and pairs there are,
+    The rows are written once, unless staged() did, and so are the lines, before and after that: they tell how many rows and pairs there are,
     and so how many tasks it takes for each to hold a bounded part of them, whatever the session's settings. Pairs are
     counted before they are dealt only where the products are so few that most pairs repeat.
     """
@@ -83,8 +85,10 @@ def product_pairs(rows: DataFrame, min_support: int = 5, directed: bool = True,
     if held is not rows:
         discard(held)
     size = shared.agg(F.count("*").alias("lines"), F.coalesce(F.sum((F.col("products") - 1) / 2), F.lit(0.0)).alias("pairs"), F.approx_count_distinct("product_id").alias("products")).first()
+    able = staged(supported_lines(shared, min_support, distinct, 1 + size.lines // ROWS), "able")
+    discard(shared)
     tasks = 1 + max(size.lines // ROWS, int(size.pairs) // PAIRS)
-    a, b = (dealt(side, tasks, "user_session", "p", "q") for side in pair_cells(supported_lines(shared, min_support, distinct), block))
+    a, b = (dealt(side, tasks, "user_session", "p", "q") for side in pair_cells(able, block))
     met = a.join(b, ["user_session", "p", "q"]).filter("p < q OR product_a < product_b")
     met = met.select(F.least("product_a", "product_b").alias("product_a"), F.greatest("product_a", "product_b").alias("product_b"), "c_a", "c_b")
     met = met if 2 * size.products**2 < size.pairs else dealt(met, tasks, "product_a", "product_b")

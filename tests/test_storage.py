@@ -178,6 +178,25 @@ def test_larger_tables_have_more_tasks_not_larger_ones(spark, monkeypatch):
     assert 10 <= tasks[0] <= 14 and 3.5 * tasks[0] <= tasks[1] <= 4.5 * tasks[0]
 
 
+def test_the_logs_join_has_tasks_by_its_lines(spark, monkeypatch):
+    few = adapters.retail(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(adapters, "ROWS", 500, raising=False)
+    many = adapters.retail(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert many.rdd.getNumPartitions() == 1 + lines // 500 > 8
+    assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0 and few.count() == lines
+
+
+def test_a_frequent_product_spreads_over_the_tasks_of_the_support(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "ROWS", 100, raising=False)
+    rows = [(f"s{i}", p) for i in range(600) for p in (7, 8 + i % 50, 1000 + i)]
+    lines = affinity.shared_lines(affinity.basket_lines(spark.createDataFrame(rows, "user_session string, product_id int")))
+    able = affinity.supported_lines(lines, 2, False, 19)
+    assert sorted(able.select("user_session", "product_id").collect()) == sorted(x for x in rows if x[1] < 1000)
+    where = able.filter("product_id = 7").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert able.rdd.getNumPartitions() == 19 and len(where) > 3 and max(r["count"] for r in where) < 300
+
+
 def test_support_prunes_products_before_the_join(spark):
     rows = [("hot", i) for i in range(500)] + [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 700), ("c", 700), ("c", 701)]
     lines = affinity.shared_lines(affinity.basket_lines(spark.createDataFrame(rows, "user_session string, product_id int")))
