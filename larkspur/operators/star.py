@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalars import count_type, day, is_type, revenue, rounded_seconds, seconds_between
+from larkspur.plans.dealing import dealt
 from larkspur.sources.schema import CART, PURCHASE, REMOVE, VIEW
 
 
 def dim_products(df: DataFrame, drop_null_key: bool = False) -> DataFrame:
-    """The newest row of each product; ties go to the highest price, then category, then brand. One aggregate, no window."""
+    """The newest row of each product; ties go to the highest price, then category, then brand, then category id. No window.
+
+    Spark sorts for this aggregate. Where the log tells how many tasks its rows take, they are dealt to so many: first by
+    product and hash of the row, so that a frequent product spreads too, then what is left by product.
+    """
+    tasks = vars(df).get("tasks", 0)
     df = df.filter("product_id IS NOT NULL") if drop_null_key else df
-    newest = F.max_by(F.struct("category_id", "category_code", "brand", "price"), F.struct("event_time", "price", "category_code", "brand"))
-    return df.groupBy("product_id").agg(newest.alias("r")).select(
+    rows = df.select("product_id", F.struct("event_time", "price", "category_code", "brand", "category_id").alias("r"))
+    if tasks > df.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("r.event_time", "r.price"), F.lit(tasks)))
+        rows = dealt(dealt(rows, tasks, "product_id", "part").groupBy("product_id", "part").agg(F.max("r").alias("r")), tasks, "product_id")
+    return rows.groupBy("product_id").agg(F.max("r").alias("r")).select(
         "product_id", "r.category_id", F.coalesce("r.category_code", F.lit("unknown")).alias("category_code"), F.coalesce("r.brand", F.lit("unknown")).alias("brand"), F.col("r.price").alias("current_price"),
     )
 

@@ -187,6 +187,20 @@ def test_the_logs_join_has_tasks_by_its_lines(spark, monkeypatch):
     assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0 and few.count() == lines
 
 
+def test_products_have_tasks_by_the_logs_lines_whatever_their_shares(spark, monkeypatch):
+    want = star.dim_products(adapters.retail(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(adapters, "ROWS", 500, raising=False)
+    log = adapters.retail(spark, "/root/testdata/sf0.001")
+    got = star.dim_products(log)
+    assert got.rdd.getNumPartitions() == 1 + log.count() // 500 > 8
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.count() > 0
+    hot = log.withColumn("product_id", F.lit(None).cast("long"))
+    hot.tasks = log.tasks
+    best = log.orderBy(*(F.desc(c) for c in ("event_time", "price", "category_code", "brand"))).first()
+    assert [(r.product_id, r.current_price, r.brand) for r in star.dim_products(hot).collect()] == [(None, best.price, best.brand)]
+    assert star.dim_products(hot, drop_null_key=True).count() == 0
+
+
 def test_a_frequent_product_spreads_over_the_tasks_of_the_support(spark, monkeypatch):
     monkeypatch.setattr(affinity, "ROWS", 100, raising=False)
     rows = [(f"s{i}", p) for i in range(600) for p in (7, 8 + i % 50, 1000 + i)]
